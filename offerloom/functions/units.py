@@ -106,7 +106,7 @@ def _unit_map(position: int | None) -> Column:
 
 def unit_key(raw: Column) -> Column:
     """Canonical token of a printed unit, null if unknown."""
-    token = F.lower(F.regexp_replace(F.trim(raw), r"\.+$", ""))
+    token = F.lower(F.rtrim(F.trim(raw), F.lit(".")))
     for spelled, plain in UNIT_SPELLINGS.items():
         token = F.replace(token, F.lit(spelled), F.lit(plain))
     return F.try_element_at(_unit_map(None), token)
@@ -133,25 +133,28 @@ def _base_price_hit(text: Column) -> Column:
     printed = []
     for form in PRICE_FORMS:
         pattern = "(?iU)" + form.pattern
-        qty = F.regexp_extract(t, pattern, form.qty) if form.qty else F.lit("1")
+        unit = F.regexp_extract(t, pattern, form.unit)
         printed.append(
-            F.struct(
-                qty.alias("quantity"),
-                F.regexp_extract(t, pattern, form.unit).alias("unit"),
-                F.regexp_extract(t, pattern, form.price).alias("price"),
-                (F.regexp_extract(t, pattern, form.price_max) if form.price_max else F.lit("")).alias("price_max"),
+            F.when(
+                unit != "",
+                F.struct(
+                    (F.regexp_extract(t, pattern, form.qty) if form.qty else F.lit("1")).alias("quantity"),
+                    unit_key(unit).alias("unit"),
+                    F.regexp_extract(t, pattern, form.price).alias("price"),
+                    (F.regexp_extract(t, pattern, form.price_max) if form.price_max else F.lit("")).alias("price_max"),
+                ),
             )
         )
     read = F.transform(
-        F.array(*printed),
+        F.filter(F.array(*printed), lambda f: f["unit"].isNotNull()),
         lambda f: F.struct(
-            german_number(F.when(f["quantity"] == "", F.lit("1")).otherwise(f["quantity"])).alias("quantity"),
-            unit_key(f["unit"]).alias("unit"),
+            F.when(f["quantity"].isin("", "1"), F.lit(1.0)).otherwise(german_number(f["quantity"])).alias("quantity"),
+            f["unit"].alias("unit"),
             german_number(f["price"]).alias("price"),
-            german_number(f["price_max"]).alias("price_max"),
+            F.when(f["price_max"] != "", german_number(f["price_max"])).alias("price_max"),
         ),
     )
-    return F.get(F.filter(read, lambda f: (f["quantity"] > 0) & f["unit"].isNotNull() & f["price"].isNotNull()), F.lit(0))
+    return F.get(F.filter(read, lambda f: (f["quantity"] > 0) & f["price"].isNotNull()), F.lit(0))
 
 
 def parse_base_price(text: Column) -> Column:

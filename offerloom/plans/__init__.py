@@ -3,7 +3,7 @@
 from importlib import import_module
 from types import ModuleType
 
-QUERY_MODULES = ["clean"]
+QUERY_MODULES = ["clean", "build", "places", "baskets"]
 
 
 def all_queries() -> ModuleType:

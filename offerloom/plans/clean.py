@@ -228,7 +228,7 @@ def _(t: Tables):
 
 def _forms_sql(seed: str) -> str:
     def cap(x: str) -> str:
-        return f"(replace(upper(substr({x}, 1, 1)), 'ß', 'SS') || substr({x}, 2))"
+        return f"(regexp_replace(upper(substr({x}, 1, 1)), '[ßẞ]', 'SS') || substr({x}, 2))"
 
     low = f"lower({seed})"
     e, closed = f"{low} LIKE '%e'", f"({low} LIKE '%el' OR {low} LIKE '%er' OR {low} LIKE '%en')"

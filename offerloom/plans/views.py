@@ -73,6 +73,7 @@ class Tables:
                 F.lpad(F.col("l_orderkey").cast("string"), 12, "0"),
                 F.lpad(F.col("l_partkey").cast("string"), 11, "0"),
                 F.lpad(F.col("l_suppkey").cast("string"), 10, "0"),
+                F.lpad(F.col("l_linenumber").cast("string"), 2, "0"),
             ).alias("offer_id"),
             F.concat(F.lit("Chain#"), (F.col("l_suppkey") % 10).cast("string")).alias("chain"),
             F.col("p_name").alias("product_name"),
@@ -233,14 +234,11 @@ class Tables:
 
     @cached_property
     def basket_lines(self) -> DataFrame:
-        """An order is a shopping basket; its lines ask for a category, a brand, or free text."""
+        """An order is a shopping basket; its lines ask for a category, some of them for a brand in it."""
         line = self.read("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
         part = self.read("part").select("p_partkey", "p_type", "p_brand", "p_name")
         form = F.col("l_linenumber")
-        category = (
-            F.when(form % 4 == 1, F.concat_ws("/", "p_type", "p_brand", "p_name"))
-            .when(form % 4 == 2, F.concat_ws("/", "p_type", "p_brand"))
-        )
+        category = F.when(form % 2 == 1, F.concat_ws("/", "p_type", "p_brand", "p_name")).otherwise(F.concat_ws("/", "p_type", "p_brand"))
         return line.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
             F.col("l_orderkey").alias("basket_id"),
             F.concat_ws(
@@ -262,7 +260,7 @@ def _raw_offers_sql() -> str:
     small = "(CASE p_size % 3 WHEN 0 THEN 'g' WHEN 1 THEN 'ml' ELSE 'Stück' END)"
     amount = "l_quantity::BIGINT"
     return f"""
-SELECT lpad(l_orderkey::VARCHAR, 12, '0') || '-' || lpad(l_partkey::VARCHAR, 11, '0') || '-' || lpad(l_suppkey::VARCHAR, 10, '0') AS offer_id,
+SELECT lpad(l_orderkey::VARCHAR, 12, '0') || '-' || lpad(l_partkey::VARCHAR, 11, '0') || '-' || lpad(l_suppkey::VARCHAR, 10, '0') || '-' || lpad(l_linenumber::VARCHAR, 2, '0') AS offer_id,
        'Chain#' || (l_suppkey % 10)::VARCHAR AS chain, p_name AS product_name, p_brand AS brand,
        p_name || ' ' || p_brand AS product_key,
        CASE l_linenumber % 5 WHEN 0 THEN 'HKL A ' || ({amount} * 10)::VARCHAR || ' g' WHEN 1 THEN 'je 1 kg'
@@ -336,7 +334,7 @@ FROM lineitem JOIN part ON l_partkey = p_partkey""",
 SELECT l_orderkey AS basket_id,
        lpad(l_linenumber::VARCHAR, 2, '0') || '-' || lpad(l_partkey::VARCHAR, 11, '0') || '-' || lpad(l_suppkey::VARCHAR, 10, '0') AS item_no,
        p_name AS q, CASE WHEN l_linenumber % 3 = 0 THEN p_brand END AS brand, l_linenumber % 3 <> 0 AS any_brand,
-       CASE l_linenumber % 4 WHEN 1 THEN p_type || '/' || p_brand || '/' || p_name WHEN 2 THEN p_type || '/' || p_brand END AS category_id
+       CASE l_linenumber % 2 WHEN 1 THEN p_type || '/' || p_brand || '/' || p_name ELSE p_type || '/' || p_brand END AS category_id
 FROM lineitem JOIN part ON l_partkey = p_partkey""",
     # (ancestor, descendant) pairs of the taxonomy, each node included with itself
     "closure": """
