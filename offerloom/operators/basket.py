@@ -67,7 +67,7 @@ def best_by_text(wanted: DataFrame, offers: DataFrame) -> DataFrame:
     named = offers.withColumn("text", offer_text(F.col("brand"), F.col("product_name")))
     texts = named.groupBy("text", "brand", "chain").agg(priced)
     queries = wanted.select("q").distinct()
-    scores = score_pairs(candidate_pairs(queries, texts.select("text").distinct())).where(F.col("score") >= MIN_SCORE_PRICED)
+    scores = score_pairs(candidate_pairs(queries, texts.select("text").distinct()), accepted_only=True).where(F.col("score") >= MIN_SCORE_PRICED)
     allowed = F.col("want").isNull() | brand_matches(F.lower(F.col("want")), F.lower(F.col("brand")))
     enough = F.col("score") >= F.when(F.col("has_price") == 1, MIN_SCORE_PRICED).otherwise(MIN_SCORE_UNPRICED)
     hits = (
@@ -163,3 +163,64 @@ def rank_stores(rows: DataFrame, keep: int | None = None) -> DataFrame:
         ranked = ranked.where(F.col("rank") <= keep)
     diff = F.when(F.col("rank") > 1, round_to(F.col("total") - F.first_value("total").over(w), 2))
     return ranked.withColumn("diff", diff)
+
+
+def split_sections(ranked: DataFrame) -> DataFrame:
+    """exact or similar section of each store where a basket insists on brands, all otherwise."""
+    has_brand = F.max(F.col("exact_store").isNotNull().cast("int")).over(W.partitionBy("basket_id")) == 1
+    section = F.when(~has_brand, "all").when(F.col("exact_store") == 1, "exact").otherwise("similar")
+    return ranked.withColumn("section", section)
+
+
+def savings(ranked: DataFrame) -> DataFrame:
+    """Dearest minus cheapest priced total of a basket, with the chains."""
+    return ranked.where(F.col("total").isNotNull()).groupBy("basket_id").agg(
+        F.min("total").alias("cheapest"), F.max("total").alias("dearest"),
+        F.min_by("chain", F.struct("total", "rank")).alias("cheapest_chain"),
+        F.max_by("chain", F.struct("total", -F.col("rank"))).alias("dearest_chain"),
+        round_to(F.max("total") - F.min("total"), 2).alias("saving"),
+    )
+
+
+def cheapest_split(priced: DataFrame, reach: DataFrame) -> DataFrame:
+    """Cheapest offer of every line over the chains in reach, met in the order of their nearest stores."""
+    nearest = reach.groupBy("basket_id", "chain").agg(F.min(F.struct("distance_km", "store_id")).alias("near"))
+    nearest = nearest.select("basket_id", "chain", "near.distance_km", "near.store_id")
+    rows = priced.join(nearest, ["basket_id", "chain"])
+    return cheapest_in_order(
+        rows, ["basket_id", "item_no"], ["distance_km", "store_id"], ["chain", "store_id", "offer_id", "price", "unit_group", "ppn"]
+    )
+
+
+def split_totals(split: DataFrame) -> DataFrame:
+    """Total of a split with the chains and stores it uses."""
+    return split.groupBy("basket_id").agg(
+        round_to(F.sum("price"), 2).alias("mix_total"),
+        F.count("price").alias("mix_lines"),
+        F.size(F.collect_set(F.when(F.col("price").isNotNull(), F.col("chain")))).cast("bigint").alias("chain_count"),
+        F.array_join(F.array_sort(F.collect_set(F.when(F.col("price").isNotNull(), F.col("chain")))), ",").alias("chains_used"),
+    )
+
+
+def best_pairs(priced: DataFrame, reach: DataFrame, pool_size: int = 25) -> DataFrame:
+    """Best two stores per basket: most lines priced, then least sum of unit prices (price where unknown).
+
+    The pool holds the best-covering stores of a basket, nearest first among equals; a pair is
+    a self join of the pool, so nothing larger than a basket's pool is combined.
+    """
+    value = F.when(F.col("price").isNotNull(), F.coalesce("ppn", "price"))
+    lines = priced.select("basket_id", "chain", "item_no", value.alias("value")).where(F.col("value").isNotNull())
+    cover = lines.groupBy("basket_id", "chain").agg(F.count(F.lit(1)).alias("cover"))
+    w = W.partitionBy("basket_id").orderBy(F.col("cover").desc(), "distance_km", "store_id")
+    pool = reach.join(cover, ["basket_id", "chain"]).withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= pool_size)
+    pool = pool.select("basket_id", "pos", "store_id", "chain")
+    a = pool.select("basket_id", F.col("pos").alias("pos_a"), F.col("store_id").alias("store_a"), F.col("chain").alias("chain_a"))
+    b = pool.select("basket_id", F.col("pos").alias("pos_b"), F.col("store_id").alias("store_b"), F.col("chain").alias("chain_b"))
+    pairs = a.join(b, "basket_id").where(F.col("pos_a") < F.col("pos_b"))
+    members = pairs.withColumn("chain", F.explode(F.array_distinct(F.array("chain_a", "chain_b"))))
+    keys = ["basket_id", "pos_a", "pos_b", "store_a", "store_b"]
+    items = members.join(lines, ["basket_id", "chain"]).groupBy(*keys, "item_no").agg(F.min("value").alias("value"))
+    rated = items.groupBy(*keys).agg(F.count(F.lit(1)).alias("coverage"), F.sum("value").alias("score"))
+    rank = F.struct(-F.col("coverage"), round_to(F.col("score"), 6), "pos_a", "pos_b")
+    best = rated.groupBy("basket_id").agg(F.min_by(F.struct("store_a", "store_b", "coverage", "score"), rank).alias("p"))
+    return best.select("basket_id", "p.*")

@@ -47,3 +47,29 @@ def occurrence_counts(offers: DataFrame, links: DataFrame) -> DataFrame:
     """Number of brochures per offer, zero where there is none."""
     counts = links.groupBy("offer_id").agg(F.count(F.lit(1)).alias("occurrence_count"))
     return offers.join(counts, "offer_id", "left").withColumn("occurrence_count", F.coalesce("occurrence_count", F.lit(0)))
+
+
+def ordered_index(rows: DataFrame, group: str, order: str) -> DataFrame:
+    """Position and total within the group and over all groups, without a global window.
+
+    Positions are counted inside ordered slices of a group; offsets of slices and groups come
+    from a small table of counts.
+    """
+    from pyspark.sql import Window as W
+
+    cuts = rows.groupBy(group).agg(F.percentile_approx(order, [i / 32 for i in range(1, 32)], 1000).alias("cuts"))
+    sliced = rows.join(F.broadcast(cuts), group).withColumn("slice", F.size(F.filter("cuts", lambda c: c < F.col(order)))).drop("cuts")
+    local = sliced.withColumn("pos", F.row_number().over(W.partitionBy(group, "slice").orderBy(order)))
+    sizes = sliced.groupBy(group, "slice").agg(F.count(F.lit(1)).alias("n"))
+    by_group, everything = W.partitionBy(group), W.partitionBy(F.lit(1))
+    running = sizes.select(
+        group, "slice",
+        (F.sum("n").over(by_group.orderBy("slice")) - F.col("n")).alias("before_slice"),
+        F.sum("n").over(by_group).alias("chain_total"),
+        (F.sum("n").over(everything.orderBy(group, "slice")) - F.col("n")).alias("before_all"),
+        F.sum("n").over(everything).alias("global_total"),
+    )
+    return local.join(running, [group, "slice"]).select(
+        order, group, (F.col("before_all") + F.col("pos")).alias("global_index"), "global_total",
+        (F.col("before_slice") + F.col("pos")).alias("chain_index"), "chain_total",
+    )

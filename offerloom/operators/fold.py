@@ -81,8 +81,7 @@ def step(best: Row | None, summary: dict) -> Row:
 def cheapest_in_order(offers: DataFrame, keys: list[str], order: list[str], payload: list[str], array_rows: int = 10_000) -> DataFrame:
     """One row per key with the payload of its cheapest offer.
 
-    ``offers`` needs ``price``, ``unit_group`` and ``ppn``; ``order`` is a total order of string
-    columns. Unpriced offers count only where a key has no priced one. Mixed groups above
+    ``offers`` needs ``price``, ``unit_group`` and ``ppn``; ``order`` is a total order. Unpriced offers count only where a key has no priced one. Mixed groups above
     ``array_rows`` take the segmented pass.
     """
     row = F.struct(*payload)
@@ -134,7 +133,7 @@ def _pass_through(rows: DataFrame, keys: list[str], order: list[str], payload: l
     slim = rows.select(*keys, *[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)], "__cg", "ppn", "price", F.to_json(F.struct(*payload)).alias("__row"))
     sort = [*keys, *[f"__o{i}" for i in range(len(order))]]
     segment_schema = T.StructType(
-        [*key_fields, *[T.StructField(f"__o{i}", T.StringType()) for i in range(len(order))], T.StructField("__open", T.BooleanType()),
+        [*key_fields, *[T.StructField(f"__o{i}", schema[c].dataType) for i, c in enumerate(order)], T.StructField("__open", T.BooleanType()),
          T.StructField("__seg", T.StringType())]
     )
     n_keys = len(keys)

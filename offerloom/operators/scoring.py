@@ -85,52 +85,67 @@ def structure(q: str = "qv", o: str = "ov") -> dict[str, Column]:
     }
 
 
-def contained_as_written(query: Column, offer: Column) -> Column:
-    """Query inside the offer text in lower case or with plain vowels."""
-    low = F.contains(F.lower(F.trim(offer)), F.lower(F.trim(query)))
-    return low | F.contains(base_vowel_text(offer), base_vowel_text(query))
+def _swapped(text: Column) -> Column:
+    """The text with one synonym put in for each synonym that occurs in it."""
+    table = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for x, y in SCORING_SYNONYMS for a, b in ((x, y), (y, x))])
+    return F.transform(F.filter(table, lambda p: F.contains(text, p["a"])), lambda p: F.replace(text, p["a"], p["b"]))
 
 
-def _variants(q: Column, o: Column) -> Column:
-    """(query, offer) wordings that are scored: as given, abbreviations, synonyms, one word in another form."""
-
-    def pair(a: Column, b: Column) -> Column:
-        return F.struct(a.alias("qv"), b.alias("ov"))
-
-    def swapped(text: Column, make) -> Column:
-        table = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for x, y in SCORING_SYNONYMS for a, b in ((x, y), (y, x))])
-        return F.transform(F.filter(table, lambda p: F.contains(text, p["a"])), lambda p: make(F.replace(text, p["a"], p["b"])))
-
-    tokens = words(q)
-    other_forms = F.flatten(
+def _other_forms(text: Column) -> Column:
+    """The text with one word at a time in another form."""
+    tokens = words(text)
+    return F.flatten(
         F.transform(
             tokens,
             lambda tok, i: F.transform(
                 F.filter(token_forms(tok), lambda f: (F.length(f) >= 3) & (f != tok)),
-                lambda f: pair(F.array_join(F.transform(tokens, lambda t, j: F.when(j == i, f).otherwise(t)), " "), o),
+                lambda f: F.array_join(F.transform(tokens, lambda t, j: F.when(j == i, f).otherwise(t)), " "),
             ),
         )
     )
-    return F.array_distinct(
-        F.concat(
-            F.array(pair(q, o), pair(q, expand_abbreviation(o)), pair(expand_abbreviation(q), o)),
-            swapped(q, lambda v: pair(v, o)),
-            swapped(o, lambda v: pair(q, v)),
-            other_forms,
-        )
-    )
 
 
-def score_pairs(pairs: DataFrame) -> DataFrame:
-    """(q, text, score) for distinct (q, text) pairs: the best score over all wordings."""
-    shown = pairs.select(
-        "q", "text", normalize_text(F.col("q")).alias("qn"), normalize_text(F.col("text")).alias("on"),
-        contained_as_written(F.col("q"), F.col("text")).alias("written"),
-    ).where("qn <> '' AND on <> ''")
-    wordings = shown.select("q", "text", "written", F.explode(_variants(F.col("qn"), F.col("on"))).alias("v")).select("q", "text", "written", "v.*")
+def _prepared(texts: DataFrame, column: str, forms: bool) -> DataFrame:
+    """Per distinct text: lower case, plain vowels, search form, and the other wordings that are scored."""
+    text = F.col(column)
+    base = texts.select(column).distinct().select(
+        column, F.lower(F.trim(text)).alias("low"), base_vowel_text(text).alias("vowel"), normalize_text(text).alias("norm")
+    ).where("norm <> ''")
+    norm = F.col("norm")
+    others = [F.array(expand_abbreviation(norm)), _swapped(norm)] + ([_other_forms(norm)] if forms else [])
+    unique = F.filter(F.array_distinct(F.concat(*others)), lambda v: v != norm)
+    return base.select(F.struct("low", "vowel", "norm", unique.alias("others")).alias(f"{column}_p"), column)
+
+
+def score_pairs(pairs: DataFrame, accepted_only: bool = False) -> DataFrame:
+    """(q, text, score) for distinct (q, text) pairs: the best score over all wordings.
+
+    Wordings are made once per phrase and once per text. A wording without common words and
+    without a near typo scores at most 50; with ``accepted_only`` it is left out before the
+    ratios are computed.
+    """
+    both = pairs.join(_prepared(pairs, "q", True), "q").join(_prepared(pairs, "text", False), "text")
+    q, t = F.col("q_p"), F.col("text_p")
+
+    def pair(a: Column, b: Column) -> Column:
+        return F.struct(a.alias("qv"), b.alias("ov"))
+
+    wordings = F.concat(
+        F.array(pair(q["norm"], t["norm"])),
+        F.transform(q["others"], lambda v: pair(v, t["norm"])),
+        F.transform(t["others"], lambda v: pair(q["norm"], v)),
+    )
+    written = F.contains(t["low"], q["low"]) | F.contains(t["vowel"], q["vowel"])
+    exploded = both.select("q", "text", written.alias("written"), F.explode(wordings).alias("v")).select("q", "text", "written", "v.*")
     facts = structure()
-    known = wordings.select("q", "text", "qv", "ov", (F.col("written") | F.contains("ov", F.col("qv"))).alias("sub"), *[c.alias(n) for n, c in facts.items()])
-    rated = known.withColumn("ratio", mean_ratio("qv", "ov"))
+    known = exploded.withColumn("sub", F.col("written") | F.contains("ov", F.col("qv")))
+    known = known.withColumns({n: facts[n] for n in ("n_words", "n_found", "exact")})
+    known = known.withColumn("typo", F.when(F.col("sub") | (F.col("n_found") == F.col("n_words")), F.lit(False)).otherwise(facts["typo"]))
+    if accepted_only:
+        known = known.where(F.col("sub") | (F.col("n_found") == F.col("n_words")) | F.col("typo"))
+    # the ratios are the expensive part: spread them over all tasks
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rated = known.repartition(tasks, "qv", "ov").withColumn("ratio", mean_ratio("qv", "ov"))
     return rated.withColumn("score", score_column()).groupBy("q", "text").agg(F.max("score").alias("score"))
 
 

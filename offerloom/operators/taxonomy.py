@@ -28,3 +28,98 @@ def expansion(categories: DataFrame) -> DataFrame:
     pairs = closure(categories).join(level, "ancestor_id")
     childless = (F.col("level") == 1) & (F.col("depth") == 0)
     return pairs.where(~childless).select(F.col("ancestor_id").alias("category_id"), F.col("descendant_id").alias("member_id"))
+
+
+def with_ancestors(rows: DataFrame, categories: DataFrame) -> DataFrame:
+    """Rows with a category_id gain its name and level and the names of parent and grandparent."""
+    node = categories.select("category_id", "name", "level", "parent_id")
+    parent = categories.select(F.col("category_id").alias("parent_id"), F.col("name").alias("parent_name"), F.col("parent_id").alias("grandparent_id"))
+    grand = categories.select(F.col("category_id").alias("grandparent_id"), F.col("name").alias("grandparent_name"))
+    return rows.join(node, "category_id").join(parent, "parent_id", "left").join(grand, "grandparent_id", "left")
+
+
+def siblings(categories: DataFrame, counts: DataFrame, limit: int) -> DataFrame:
+    """Nodes with the same parent and level, largest first; third-level nodes also get their parent if it has products."""
+    from pyspark.sql import Window as W
+
+    node = categories.where("level > 1 AND parent_id IS NOT NULL").select("category_id", "parent_id", "level")
+    other = node.select(F.col("category_id").alias("sibling_id"), "parent_id", "level").join(
+        counts.withColumnRenamed("category_id", "sibling_id"), "sibling_id", "left"
+    ).withColumn("n", F.coalesce("n", F.lit(0)))
+    # only the largest of a parent can become siblings, so the pairs stay small for a parent of any size
+    top = other.withColumn("rn", F.row_number().over(W.partitionBy("parent_id", "level").orderBy(F.desc("n"), "sibling_id"))).where(F.col("rn") <= limit + 1)
+    same = node.join(top.drop("rn"), ["parent_id", "level"]).where(F.col("category_id") != F.col("sibling_id")).select("category_id", "sibling_id", "n")
+    above = node.where("level = 3").join(counts.where("n > 0").withColumnRenamed("category_id", "parent_id"), "parent_id").select(
+        "category_id", F.col("parent_id").alias("sibling_id"), "n"
+    )
+    w = W.partitionBy("category_id").orderBy(F.desc("n"), "sibling_id")
+    return same.unionByName(above).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= limit).drop("rn")
+
+
+def alternative_offers(categories: DataFrame, offers: DataFrame, per_category: int, groups: int) -> DataFrame:
+    """Cheapest offers of the siblings (third level) or children (second level) of every category."""
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy("other_id").orderBy(F.col("sales_price").asc_nulls_last(), "offer_id")
+    cheap = offers.select(F.col("category_id").alias("other_id"), "offer_id", "sales_price").withColumn("rn", F.row_number().over(w))
+    cheap = cheap.where(F.col("rn") <= per_category)
+    sizes = cheap.groupBy("other_id").agg(F.count(F.lit(1)).alias("n"))
+    leaf = categories.where("level = 3 AND parent_id IS NOT NULL").select(F.col("category_id").alias("other_id"), "parent_id").join(sizes, "other_id")
+    # per parent only the first groups + 1 can be shown for any of its children
+    best = leaf.withColumn("gr", F.row_number().over(W.partitionBy("parent_id").orderBy(F.desc("n"), "other_id"))).where(F.col("gr") <= groups + 1).drop("gr")
+    for_leaf = categories.where("level = 3").select("category_id", "parent_id").join(best, "parent_id").where(F.col("category_id") != F.col("other_id"))
+    for_group = categories.where("level = 2").select("category_id", F.col("category_id").alias("parent_id")).join(best, "parent_id")
+    shown = for_leaf.select("category_id", "other_id", "n").unionByName(for_group.select("category_id", "other_id", "n"))
+    shown = shown.withColumn("gr", F.row_number().over(W.partitionBy("category_id").orderBy(F.desc("n"), "other_id"))).where(F.col("gr") <= groups)
+    return shown.join(cheap, "other_id").select("category_id", "other_id", "offer_id")
+
+
+def tiles(categories: DataFrame, offers: DataFrame, limit: int) -> DataFrame:
+    """Top-level categories by distinct priced offers below them."""
+    roots = categories.where("level = 1").select(F.col("category_id").alias("ancestor_id"))
+    per = offers.where(F.col("sales_price").isNotNull()).groupBy(F.col("category_id").alias("descendant_id")).agg(F.count(F.lit(1)).alias("n"))
+    below = closure(categories).where("depth > 0").join(roots, "ancestor_id").join(per, "descendant_id")
+    return below.groupBy(F.col("ancestor_id").alias("category_id")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "category_id").limit(limit)
+
+
+def drop_containing_names(names: DataFrame) -> DataFrame:
+    """Names that do not strictly contain another name of the list."""
+    from offerloom.operators.scoring import containing_words
+
+    low = names.select("name", F.lower("name").alias("word"))
+    needles = low.select(F.col("word").alias("needle")).distinct()
+    longer = containing_words(needles, low.select("word").distinct()).where(F.length("word") > F.length("needle")).select("word").distinct()
+    return low.join(longer, "word", "left_anti").select("name")
+
+
+def category_page(categories: DataFrame, offers: DataFrame, offset: int, limit: int) -> DataFrame:
+    """One page of the offers of every category subtree, cheapest first.
+
+    Every leaf first keeps only what can reach the page, so a subtree never gathers all its offers.
+    """
+    from pyspark.sql import Window as W
+
+    last = offset + limit
+    order = ["sales_price", "offer_id"]
+    priced = offers.where(F.col("sales_price").isNotNull()).select(F.col("category_id").alias("descendant_id"), *order)
+    top = priced.withColumn("rn", F.row_number().over(W.partitionBy("descendant_id").orderBy(*order))).where(F.col("rn") <= last).drop("rn")
+    tree = closure(categories).join(top, "descendant_id").select(F.col("ancestor_id").alias("category_id"), *order)
+    ranked = tree.withColumn("rn", F.row_number().over(W.partitionBy("category_id").orderBy(*order))).where(F.col("rn") <= last)
+    return ranked.where(F.col("rn") > offset)
+
+
+def count_check(categories: DataFrame, counts: DataFrame, labels: DataFrame) -> DataFrame:
+    """Second-level counts next to what direct labels and children add up to."""
+    direct = labels.groupBy("category_id").agg(F.count(F.lit(1)).alias("direct"))
+    child = categories.where("level = 3").select("category_id", "parent_id").join(counts, "category_id")
+    child = child.groupBy(F.col("parent_id").alias("category_id")).agg(F.sum("n").alias("below"))
+    group = categories.where("level = 2").select("category_id").join(counts.withColumnRenamed("n", "counted"), "category_id")
+    return group.join(direct, "category_id", "left").join(child, "category_id", "left").select(
+        "category_id", "counted", (F.coalesce("direct", F.lit(0)) + F.coalesce("below", F.lit(0))).alias("expected")
+    )
+
+
+def orphans(categories: DataFrame, parents: DataFrame) -> DataFrame:
+    """Nodes below level 1 without a parent one level up."""
+    up = parents.select(F.col("category_id").alias("parent_id"), (F.col("level") + 1).alias("level"))
+    return categories.where("level > 1").join(up, ["parent_id", "level"], "left_anti").select("category_id", "level")

@@ -163,3 +163,102 @@ def _(t: Tables):
 @query("bsk8_ranking_report", "SELECT basket_id, store_id, rank, items, found, total, diff, exact_store FROM store_ranking WHERE rank <= 5")
 def _(t: Tables):
     return ranking(t, keep=5).select("basket_id", "store_id", "rank", "items", "found", "total", "diff", "exact_store")
+
+
+VIEWS["mix_rows"] = f"""
+SELECT basket_id, item_no, w.chain AS chain, w.store_id AS store_id, w.offer_id AS offer_id, w.price AS price FROM (
+ SELECT l.basket_id, l.item_no, list_reduce(list({{'chain': l.chain, 'store_id': n.store_id, 'offer_id': l.offer_id, 'price': l.price, 'unit_group': l.unit_group, 'ppn': l.ppn}}
+  ORDER BY n.d, n.store_id), lambda a, x: CASE WHEN (CASE WHEN a.unit_group = x.unit_group AND a.ppn IS NOT NULL AND x.ppn IS NOT NULL
+  THEN x.ppn < a.ppn ELSE x.price < a.price END) THEN x ELSE a END) AS w
+ FROM priced_lines l JOIN (SELECT basket_id, chain, min(d) AS d, arg_min(store_id, (d, store_id)) AS store_id
+  FROM (SELECT *, {round_to_sql('distance_km', 6)} AS d FROM basket_reach) GROUP BY basket_id, chain) n ON n.basket_id = l.basket_id AND n.chain = l.chain
+ GROUP BY l.basket_id, l.item_no)"""
+VIEWS["mix_totals"] = f"""
+SELECT basket_id, {round_to_sql('sum(price)', 2)} AS mix_total, count(price) AS mix_lines, count(DISTINCT chain) AS chain_count,
+ string_agg(DISTINCT chain, ',' ORDER BY chain) AS chains_used FROM mix_rows GROUP BY basket_id"""
+
+
+def rounded_reach(t: Tables):
+    return reach(t).withColumn("distance_km", round_to(F.col("distance_km"), 6))
+
+
+def split(t: Tables):
+    return basket.cheapest_split(priced(t), rounded_reach(t))
+
+
+@query(
+    "bsk9_ranking_sections",
+    """SELECT basket_id, section, count(*) AS stores FROM (SELECT basket_id, CASE WHEN max(CASE WHEN exact_store IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY basket_id) = 0 THEN 'all'
+ WHEN exact_store = 1 THEN 'exact' ELSE 'similar' END AS section FROM store_ranking) GROUP BY basket_id, section""",
+)
+def _(t: Tables):
+    return basket.split_sections(ranking(t)).groupBy("basket_id", "section").agg(F.count(F.lit(1)).alias("stores"))
+
+
+@query(
+    "bsk10_savings",
+    f"""SELECT basket_id, min(total) AS cheapest, max(total) AS dearest, arg_min(chain, (total, rank)) AS cheapest_chain, arg_max(chain, (total, -rank)) AS dearest_chain,
+ {round_to_sql('max(total) - min(total)', 2)} AS saving FROM store_ranking WHERE total IS NOT NULL GROUP BY basket_id""",
+)
+def _(t: Tables):
+    return basket.savings(ranking(t))
+
+
+@query("bsk11_coverage_percent", "SELECT basket_id, chain, floor(found::DOUBLE / items * 100)::BIGINT AS percent FROM chain_totals")
+def _(t: Tables):
+    return totals(t).select("basket_id", "chain", F.floor(F.col("found") / F.col("items") * 100).alias("percent"))
+
+
+@query("mix1_cheapest_split", "SELECT basket_id, item_no, chain, store_id, offer_id, price FROM mix_rows")
+def _(t: Tables):
+    return split(t).select("basket_id", "item_no", "chain", "store_id", "offer_id", "price")
+
+
+@query(
+    "mix2_best_two_stores",
+    f"""WITH v AS (SELECT basket_id, chain, item_no, coalesce(ppn, price) AS value FROM priced_lines WHERE price IS NOT NULL),
+c AS (SELECT basket_id, chain, count(*) AS cover FROM v GROUP BY basket_id, chain),
+p AS (SELECT r.basket_id, r.store_id, r.chain, row_number() OVER (PARTITION BY r.basket_id ORDER BY c.cover DESC, {round_to_sql('distance_km', 6)}, r.store_id) AS pos
+ FROM basket_reach r JOIN c ON c.basket_id = r.basket_id AND c.chain = r.chain QUALIFY pos <= 25),
+i AS (SELECT a.basket_id, a.pos AS pos_a, b.pos AS pos_b, a.store_id AS store_a, b.store_id AS store_b, v.item_no, min(v.value) AS value
+ FROM p a JOIN p b ON a.basket_id = b.basket_id AND a.pos < b.pos JOIN v ON v.basket_id = a.basket_id AND v.chain IN (a.chain, b.chain) GROUP BY ALL),
+g AS (SELECT basket_id, pos_a, pos_b, store_a, store_b, count(*) AS coverage, sum(value) AS score FROM i GROUP BY ALL)
+SELECT basket_id, store_a, store_b, coverage, {round_to_sql('score', 4)} AS score FROM g
+QUALIFY row_number() OVER (PARTITION BY basket_id ORDER BY coverage DESC, {round_to_sql('score', 6)}, pos_a, pos_b) = 1""",
+)
+def _(t: Tables):
+    return basket.best_pairs(priced(t), rounded_reach(t)).withColumn("score", round_to(F.col("score"), 4))
+
+
+@query(
+    "mix3_saving_vs_best",
+    f"""SELECT m.basket_id, m.mix_total, r.total, CASE WHEN m.mix_total < r.total THEN {round_to_sql('r.total - m.mix_total', 2)} END AS saving, m.mix_lines, r.found
+FROM mix_totals m JOIN store_ranking r ON r.basket_id = m.basket_id AND r.rank = 1""",
+)
+def _(t: Tables):
+    first = ranking(t, keep=1).select("basket_id", "total", "found")
+    gain = F.when(F.col("mix_total") < F.col("total"), round_to(F.col("total") - F.col("mix_total"), 2))
+    return basket.split_totals(split(t)).join(first, "basket_id").select("basket_id", "mix_total", "total", gain.alias("saving"), "mix_lines", "found")
+
+
+@query(
+    "mix4_filtered_total",
+    f"SELECT basket_id, {round_to_sql('sum(price)', 2)} AS total, count(DISTINCT chain) AS chain_count FROM mix_rows WHERE chain IN ('Chain#0', 'Chain#2', 'Chain#4', 'Chain#6') GROUP BY basket_id",
+)
+def _(t: Tables):
+    kept = basket.split_totals(split(t).where(F.col("chain").isin("Chain#0", "Chain#2", "Chain#4", "Chain#6")))
+    return kept.select("basket_id", F.col("mix_total").alias("total"), "chain_count")
+
+
+@query(
+    "mix5_items_per_chain",
+    """SELECT l.basket_id, coalesce(m.chain, 'missing') AS chain, count(*) AS items, string_agg(l.q, '|' ORDER BY l.item_no, l.q) AS item_list
+FROM basket_lines l LEFT JOIN mix_rows m ON m.basket_id = l.basket_id AND m.item_no = l.item_no GROUP BY l.basket_id, coalesce(m.chain, 'missing')""",
+)
+def _(t: Tables):
+    chosen = split(t).select("basket_id", "item_no", "chain")
+    every = lines(t).select("basket_id", "item_no", "q").join(chosen, ["basket_id", "item_no"], "left").withColumn("chain", F.coalesce("chain", F.lit("missing")))
+    listed = F.array_sort(F.collect_list(F.struct("item_no", "q")))
+    return every.groupBy("basket_id", "chain").agg(
+        F.count(F.lit(1)).alias("items"), F.array_join(F.transform(listed, lambda x: x["q"]), "|").alias("item_list")
+    )
