@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from itertools import chain as flatten
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from offerloom.functions.literals import literal_map, literal_rows
+
 # Exact lower-case spellings of a chain.
 CHAIN_ALIASES: dict[str, str] = {
     "aldi": "Aldi",
@@ -50,14 +50,14 @@ CHAIN_PARTS: list[tuple[str, str]] = [
 
 
 def _by_part(low: Column) -> Column:
-    return F.coalesce(*[F.when(F.contains(low, F.lit(part)), F.lit(name)) for part, name in CHAIN_PARTS])
+    parts = literal_rows(["part", "name"], CHAIN_PARTS)
+    return F.get(F.filter(parts, lambda p: F.contains(low, p["part"])), F.lit(0))["name"]
 
 
 def canonical_chain(raw: Column) -> Column:
     """Exact alias, else the first part contained in the name, else null."""
     low = F.lower(F.trim(raw))
-    aliases = F.create_map(*flatten.from_iterable((F.lit(k), F.lit(v)) for k, v in CHAIN_ALIASES.items()))
-    return F.coalesce(F.try_element_at(aliases, low), _by_part(low))
+    return F.coalesce(F.try_element_at(literal_map(CHAIN_ALIASES.items()), low), _by_part(low))
 
 
 def chain_of_tags(brand: Column, operator: Column, name: Column) -> Column:

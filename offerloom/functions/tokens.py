@@ -10,6 +10,7 @@ from itertools import combinations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from offerloom.functions.literals import literal_array, literal_rows
 from offerloom.functions.text import words
 
 # Irregular word forms in search spelling (regular endings come from rules).
@@ -143,10 +144,6 @@ DEAL_WORDS = [
 ]
 
 
-def _literals(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
-
-
 def _capital(text: Column) -> Column:
     return F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, F.lit(2), F.length(text)))
 
@@ -216,7 +213,7 @@ def form_map(forms: list[tuple[str, ...]] | None = None) -> list[tuple[str, list
 
 def token_forms(token: Column, forms: list[tuple[str, ...]] | None = None) -> Column:
     """Sorted set of forms of a word: dictionary, else dictionary as the end of a compound, else rules."""
-    table = F.array(*[F.struct(F.lit(f).alias("form"), _literals(s).alias("all")) for f, s in form_map(forms)])
+    table = literal_rows(["form", "all"], form_map(forms))
     exact = F.get(F.filter(table, lambda e: e["form"] == token), F.lit(0))
     compound = F.get(
         F.filter(table, lambda e: F.endswith(token, e["form"]) & (F.length(token) > F.length(e["form"])) & (F.size(e["all"]) > 1)), F.lit(0)
@@ -234,13 +231,12 @@ def umlaut_variants(text: Column) -> Column:
     """Spellings with umlauts put in or taken out, fewest replacements first, at most seven."""
     options = []
     for plain, umlaut in UMLAUT_PAIRS:
-        blocked = F.lit(False)
-        for stem in NOT_UMLAUT.get(plain, []):
-            blocked = blocked | F.contains(text, F.lit(stem))
+        stems = NOT_UMLAUT.get(plain)
+        blocked = F.exists(literal_array(stems), lambda stem: F.contains(text, stem)) if stems else F.lit(False)
         options.append(F.when(F.contains(text, F.lit(plain)) & ~blocked, F.struct(F.lit(plain).alias("src"), F.lit(umlaut).alias("dst"))))
         options.append(F.when(F.contains(text, F.lit(umlaut)), F.struct(F.lit(umlaut).alias("src"), F.lit(plain).alias("dst"))))
     chosen = F.slice(F.array_compact(F.array(*options)), 1, 4)
-    subsets = F.array(*[F.array(*[F.lit(i) for i in c]) for size in (1, 2, 3, 4) for c in combinations(range(4), size)])
+    subsets = literal_array(list(c) for size in (1, 2, 3, 4) for c in combinations(range(4), size))
     usable = F.filter(subsets, lambda s: F.array_max(s) < F.size(chosen))
     spelled = F.transform(
         usable,
@@ -258,7 +254,7 @@ def synonym_variants(text: Column) -> Column:
     widen = [(a, b) for a, wider in WIDER_TERMS for b in wider]
 
     def replaced(pairs: list[tuple[str, str]]) -> Column:
-        table = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])
+        table = literal_rows(["a", "b"], pairs)
         tokens = F.split(F.lower(text), " ")
         return F.flatten(
             F.transform(
@@ -285,7 +281,7 @@ def expand_abbreviation(text: Column) -> Column:
 
 
 def asks_for_deals(query: Column) -> Column:
-    return F.arrays_overlap(words(F.lower(query)), _literals(DEAL_WORDS))
+    return F.arrays_overlap(words(F.lower(query)), literal_array(DEAL_WORDS))
 
 
 def without_deal_words(query: Column) -> Column:

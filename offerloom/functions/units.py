@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from itertools import chain
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from offerloom.functions.literals import literal_map
+
 # Unit token -> (unit group, factor to the canonical unit, canonical unit).
 UNITS: dict[str, tuple[str, float, str]] = {
     "kg": ("weight", 1000.0, "g"),
@@ -100,8 +101,7 @@ def german_number(text: Column) -> Column:
 
 
 def _unit_map(position: int | None) -> Column:
-    pairs = chain.from_iterable((F.lit(k), F.lit(k if position is None else v[position])) for k, v in UNITS.items())
-    return F.create_map(*pairs)
+    return literal_map((k, k if position is None else v[position]) for k, v in UNITS.items())
 
 
 def unit_key(raw: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from offerloom.functions.literals import literal_rows
 from offerloom.functions.ratios import mean_ratio
 from offerloom.functions.text import base_vowel_text, normalize_text, words
 from offerloom.functions.tokens import BLOCKING_SYNONYMS, SCORING_SYNONYMS, expand_abbreviation, token_forms
@@ -36,7 +37,7 @@ def query_needles(queries: DataFrame) -> DataFrame:
     tokens = words(normalize_text(F.col("q")))
     longer = F.filter(tokens, lambda w: F.length(w) >= 3)
     pairs = [(a, b) for x, y in BLOCKING_SYNONYMS for a, b in ((x, y), (y, x))]
-    table = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])
+    table = literal_rows(["a", "b"], pairs)
     synonyms = F.flatten(F.transform(longer, lambda w: F.transform(F.filter(table, lambda p: p["a"] == w), lambda p: p["b"])))
     wide = F.concat(F.flatten(F.transform(longer, lambda w: token_forms(w))), synonyms)
     chosen = F.when(F.size(longer) > 0, wide).otherwise(tokens)
@@ -87,7 +88,7 @@ def structure(q: str = "qv", o: str = "ov") -> dict[str, Column]:
 
 def _swapped(text: Column) -> Column:
     """The text with one synonym put in for each synonym that occurs in it."""
-    table = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for x, y in SCORING_SYNONYMS for a, b in ((x, y), (y, x))])
+    table = literal_rows(["a", "b"], [p for x, y in SCORING_SYNONYMS for p in ((x, y), (y, x))])
     return F.transform(F.filter(table, lambda p: F.contains(text, p["a"])), lambda p: F.replace(text, p["a"], p["b"]))
 
 

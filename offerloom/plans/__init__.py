@@ -3,7 +3,7 @@
 from importlib import import_module
 from types import ModuleType
 
-QUERY_MODULES = ["clean", "build", "places", "baskets", "reports"]
+QUERY_MODULES = ["clean", "build", "places", "baskets", "reports", "texts", "suggest"]
 
 
 def all_queries() -> ModuleType:

@@ -80,13 +80,13 @@ def _(t: Tables):
 @query(
     "bld7_store_carry_over",
     """SELECT store_id, arg_max(name, v) AS name, arg_max(chain, v) AS chain, max(v) AS version FROM (
-SELECT store_id, name, chain, 1 AS v FROM stores UNION ALL SELECT store_id, upper(name), chain, 2 FROM stores WHERE store_id % 3 = 0) GROUP BY store_id""",
+SELECT store_id, name, chain, 1 AS v FROM stores UNION ALL SELECT store_id, upper(name), chain, 2 FROM stores WHERE city IS NOT NULL) GROUP BY store_id""",
 )
 def _(t: Tables):
     """Existing stores survive a rebuild; a newer batch overrides them on the natural key."""
     cols = ["store_id", "name", "chain"]
     existing = t.stores.select(*cols).withColumn("version", F.lit(1))
-    incoming = t.stores.where("store_id % 3 = 0").select("store_id", F.upper("name").alias("name"), "chain").withColumn("version", F.lit(2))
+    incoming = t.stores.where("city IS NOT NULL").select("store_id", F.upper("name").alias("name"), "chain").withColumn("version", F.lit(2))
     return catalog.last_by(existing.unionByName(incoming), ["store_id"], [F.col("version")])
 
 
@@ -113,11 +113,11 @@ def _(t: Tables):
 @query(
     "jn3_scope_semi_join",
     """SELECT offer_id, chain FROM unique_offers WHERE chain = 'Chain#3' OR offer_id IN (
-SELECT offer_id FROM offer_links WHERE brochure_id IN (SELECT brochure_id FROM brochures WHERE store_id % 50 = 7))""",
+SELECT offer_id FROM offer_links WHERE brochure_id IN (SELECT brochure_id FROM brochures WHERE valid_from >= DATE '2000-01-01'))""",
 )
 def _(t: Tables):
     """Offers of brochures in scope, or of chains that are in scope as a whole."""
     offers = t.offers.select("offer_id", "chain")
-    scope = t.brochures.where("store_id % 50 = 7").select("brochure_id")
+    scope = t.brochures.where("valid_from >= DATE'2000-01-01'").select("brochure_id")
     printed = offers.join(t.offer_links.join(scope, "brochure_id", "left_semi").select("offer_id"), "offer_id", "left_semi")
     return printed.unionByName(offers.where(F.col("chain") == "Chain#3")).distinct()

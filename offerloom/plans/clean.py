@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from offerloom.functions import chains, numbers, text, tokens, units
+from offerloom.functions.literals import literal_array
 from offerloom.plans.registry import query
 from offerloom.plans.sqltext import base_vowel_sql, norm_sql, squeeze_sql
 from offerloom.plans.sqlunits import base_price_select_sql, number_sql, quantity_struct_sql, unit_attribute_sql
@@ -28,7 +29,7 @@ def _lit_list(values: list[str]) -> str:
 
 def _pick(values: list[str], key: str):
     """Element of a list chosen by a numeric key column."""
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.col(key) % len(values) + 1).cast("int"))
+    return F.element_at(literal_array(values), (F.col(key) % len(values) + 1).cast("int"))
 
 
 def _pick_sql(values: list[str], key: str) -> str:

@@ -186,12 +186,12 @@ def _(t: Tables):
 @query(
     "geo12_slug_coverage",
     """SELECT chain, count(*) AS stores, sum(CASE WHEN found THEN 1 ELSE 0 END)::BIGINT AS matched, sum(CASE WHEN found THEN 0 ELSE 1 END)::BIGINT AS unmatched
-FROM (SELECT s.chain, b.chain IS NOT NULL AS found FROM stores s LEFT JOIN (SELECT DISTINCT st.chain, st.postcode FROM brochures b JOIN stores st USING (store_id) WHERE b.brochure_id % 9 = 0) b
+FROM (SELECT s.chain, b.chain IS NOT NULL AS found FROM stores s LEFT JOIN (SELECT DISTINCT st.chain, st.postcode FROM brochures b JOIN stores st USING (store_id) WHERE b.valid_from >= DATE '2000-06-01') b
 ON b.chain = s.chain AND b.postcode = s.postcode) GROUP BY chain""",
 )
 def _(t: Tables):
     place = t.stores.select("store_id", "chain", "postcode")
-    covered = t.brochures.where("brochure_id % 9 = 0").select("store_id").join(place, "store_id").select("chain", "postcode", F.lit(1).alias("hit")).distinct()
+    covered = t.brochures.where("valid_from >= DATE'2000-06-01'").select("store_id").join(place, "store_id").select("chain", "postcode", F.lit(1).alias("hit")).distinct()
     return place.join(covered, ["chain", "postcode"], "left").groupBy("chain").agg(
         F.count(F.lit(1)).alias("stores"), F.count("hit").alias("matched"), (F.count(F.lit(1)) - F.count("hit")).alias("unmatched")
     )

@@ -309,9 +309,9 @@ def _(t: Tables):
     return priced(t).where(F.col("price").isNotNull()).join(top, ["basket_id", "chain"]).select("category_id", "q", "chain", "store_id", "price")
 
 
-@query("rep1_stores_per_chain", "SELECT chain, count(*) AS after, sum(CASE WHEN store_id % 3 = 0 THEN 0 ELSE 1 END)::BIGINT AS before FROM stores GROUP BY chain")
+@query("rep1_stores_per_chain", "SELECT chain, count(*) AS after, sum(CASE WHEN city IS NULL THEN 0 ELSE 1 END)::BIGINT AS before FROM stores GROUP BY chain")
 def _(t: Tables):
-    return t.stores.groupBy("chain").agg(rows().alias("after"), F.sum((F.col("store_id") % 3 != 0).cast("bigint")).alias("before"))
+    return t.stores.groupBy("chain").agg(rows().alias("after"), F.count("city").alias("before"))
 
 
 _RECONCILE_SQL = """SELECT coalesce(a.chain, b.chain) AS chain, coalesce(a.n, 0) AS stores, coalesce(b.n, 0) AS brochures, coalesce(b.n, 0) - coalesce(a.n, 0) AS delta
