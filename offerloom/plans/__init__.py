@@ -3,7 +3,7 @@
 from importlib import import_module
 from types import ModuleType
 
-QUERY_MODULES = ["clean", "build", "places", "baskets", "reports", "texts", "suggest", "ingest"]
+QUERY_MODULES = ["clean", "build", "places", "baskets", "reports", "texts", "suggest", "ingest", "labelling", "streams"]
 
 
 def all_queries() -> ModuleType:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,3 +36,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         configured = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(configured or os.path.join(tempfile.gettempdir(), "offerloom-checkpoints"))
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """New folder for intermediate tables under the folder the cluster names; a temporary one only where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "offerloom-checkpoints")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -19,3 +19,54 @@ def capture_search(raw: DataFrame) -> DataFrame:
             "radius_km": F.col("radius_km").try_cast("double"),
         }
     )
+
+
+def popular_windows(clicks: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """Clicks per category over 30-day windows sliding by a day: ``clicks`` is (ts, category_id)."""
+    window = F.window("ts", "30 days", "1 day")
+    counted = clicks.withWatermark("ts", delay).groupBy(window.alias("w"), "category_id").agg(F.count(F.lit(1)).alias("clicks"))
+    return counted.select(F.col("w.start").alias("start"), "category_id", "clicks")
+
+
+def daily_prices(samples: DataFrame, delay: str = "1 day") -> DataFrame:
+    """Daily price statistics per category: ``samples`` is (ts, category_id, price)."""
+    per_day = samples.withWatermark("ts", delay).groupBy(F.window("ts", "1 day").alias("w"), "category_id")
+    stats = per_day.agg(F.avg("price").alias("avg_price"), F.min("price").alias("min_price"), F.max("price").alias("max_price"), F.count(F.lit(1)).alias("samples"))
+    return stats.select(F.col("w.start").alias("day"), "category_id", "avg_price", "min_price", "max_price", "samples")
+
+
+def first_offers(offers: DataFrame, key: list[str], time: str, delay: str) -> DataFrame:
+    """Offers whose key was not seen within the watermark."""
+    return offers.withWatermark(time, delay).dropDuplicatesWithinWatermark(key)
+
+
+def run_to_table(stream: DataFrame, folder: str) -> DataFrame:
+    """Drain a stream into a Parquet table in append mode and read it back."""
+    query = (
+        stream.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/table").option("checkpointLocation", f"{folder}/checkpoint")
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/table")
+
+
+def upsert_stream(stream: DataFrame, folder: str, key: list[str], version: str) -> DataFrame:
+    """Keep the newest row per key over all batches.
+
+    Every batch writes a new version of the table next to the old one and the stream's own
+    batch number names it, so a repeated batch writes the same version again.
+    """
+    from offerloom.operators.catalog import last_by
+
+    spark = stream.sparkSession
+
+    def merge(batch: DataFrame, number: int) -> None:
+        rows = batch
+        if number > 0:
+            rows = rows.unionByName(batch.sparkSession.read.schema(stream.schema).parquet(f"{folder}/v{number - 1}"))
+        last_by(rows, key, [F.col(version)]).select(*stream.columns).write.mode("overwrite").parquet(f"{folder}/v{number}")
+
+    query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    last = query.lastProgress["batchId"]
+    return spark.read.schema(stream.schema).parquet(f"{folder}/v{last}")
