@@ -12,6 +12,7 @@ from offerloom.operators.fold import cheapest_in_order
 from offerloom.operators.matching import MIN_SCORE_PRICED, MIN_SCORE_UNPRICED, accepted, brand_matches
 from offerloom.operators.scoring import candidate_pairs, score_pairs
 from offerloom.operators.taxonomy import expansion
+from offerloom.session import cut_lineage
 
 PAYLOAD = ["offer_id", "product_name", "brand", "price", "unit_group", "ppn"]
 ORDER = ["product_name", "offer_id"]
@@ -57,17 +58,22 @@ def best_by_category(wanted: DataFrame, offers: DataFrame, categories: DataFrame
     return picked.select("category_id", "q", "chain", "b.*")
 
 
-def best_by_text(wanted: DataFrame, offers: DataFrame) -> DataFrame:
+def text_scores(queries: DataFrame, offers: DataFrame) -> DataFrame:
+    """Accepted (q, text, score), computed once per distinct phrase and offer text."""
+    texts = offers.select(offer_text(F.col("brand"), F.col("product_name")).alias("text")).distinct()
+    scores = score_pairs(candidate_pairs(queries.select("q").distinct(), texts), accepted_only=True)
+    return cut_lineage(scores.where(F.col("score") >= MIN_SCORE_PRICED))
+
+
+def best_by_text(wanted: DataFrame, offers: DataFrame, scores: DataFrame | None = None) -> DataFrame:
     """Best offer per (spec, chain) for rows (spec, q, brand): highest score, then priced, then cheaper.
 
-    Scores are computed once per distinct (phrase, offer text); the winning texts are found
-    before the offers are joined.
+    The winning texts are found before the offers are joined.
     """
     priced = F.max(F.col("price").isNotNull().cast("int")).alias("has_price")
     named = offers.withColumn("text", offer_text(F.col("brand"), F.col("product_name")))
     texts = named.groupBy("text", "brand", "chain").agg(priced)
-    queries = wanted.select("q").distinct()
-    scores = score_pairs(candidate_pairs(queries, texts.select("text").distinct()), accepted_only=True).where(F.col("score") >= MIN_SCORE_PRICED)
+    scores = text_scores(wanted, offers) if scores is None else scores
     allowed = F.col("want").isNull() | brand_matches(F.lower(F.col("want")), F.lower(F.col("brand")))
     enough = F.col("score") >= F.when(F.col("has_price") == 1, MIN_SCORE_PRICED).otherwise(MIN_SCORE_UNPRICED)
     hits = (
@@ -86,16 +92,17 @@ def best_by_text(wanted: DataFrame, offers: DataFrame) -> DataFrame:
 def best_by_text_with_fallback(wanted: DataFrame, offers: DataFrame) -> DataFrame:
     """Text match; where a brand finds nothing, without the brand, then by single words of four letters on, in order."""
     branded = ~F.col("any_brand") & F.col("brand").isNotNull()
-    first = best_by_text(wanted.select("spec", "q", F.when(branded, F.col("brand")).alias("brand")), offers).withColumn("stage", F.lit(0))
-    bare = F.trim(F.replace(F.lower("q"), F.lower("brand"), F.lit("")))
-    phrase = F.when(bare != "", bare).otherwise(F.col("q"))
     none = F.lit(None).cast("string").alias("brand")
-    again = wanted.where(branded).select("spec", phrase.alias("q"))
-    chains = offers.select("chain").distinct()
-    second = best_by_text(again.select("spec", "q", none), offers).join(first, ["spec", "chain"], "left_anti").withColumn("stage", F.lit(1))
-    tokens = again.select("spec", F.posexplode(words(F.col("q"))).alias("pos", "q")).where((F.length("q") >= 4))
-    several = tokens.join(again.where(F.size(words(F.col("q"))) > 1).select("spec"), "spec", "left_semi")
-    by_word = best_by_text(several.select(F.struct("spec", "pos").alias("spec"), "q", none), offers)
+    bare = F.trim(F.replace(F.lower("q"), F.lower("brand"), F.lit("")))
+    again = wanted.where(branded).select("spec", F.when(bare != "", bare).otherwise(F.col("q")).alias("q"))
+    several = again.where(F.size(words(F.col("q"))) > 1)
+    tokens = several.select("spec", F.posexplode(words(F.col("q"))).alias("pos", "q")).where(F.length("q") >= 4)
+    scores = text_scores(wanted.select("q").unionByName(again.select("q")).unionByName(tokens.select("q")), offers)
+    first = best_by_text(wanted.select("spec", "q", F.when(branded, F.col("brand")).alias("brand")), offers, scores).withColumn("stage", F.lit(0))
+    first = cut_lineage(first)
+    second = best_by_text(again.select("spec", "q", none), offers, scores).join(first, ["spec", "chain"], "left_anti").withColumn("stage", F.lit(1))
+    second = cut_lineage(second)
+    by_word = best_by_text(tokens.select(F.struct("spec", "pos").alias("spec"), "q", none), offers, scores)
     third = (
         by_word.groupBy(F.col("spec.spec").alias("spec"), "chain")
         .agg(F.min_by(F.struct(*PAYLOAD, "score"), F.col("spec.pos")).alias("b"))
@@ -103,7 +110,6 @@ def best_by_text_with_fallback(wanted: DataFrame, offers: DataFrame) -> DataFram
         .join(first.unionByName(second), ["spec", "chain"], "left_anti")
         .withColumn("stage", F.lit(2))
     )
-    del chains
     return first.unionByName(second).unionByName(third)
 
 
@@ -221,6 +227,6 @@ def best_pairs(priced: DataFrame, reach: DataFrame, pool_size: int = 25) -> Data
     keys = ["basket_id", "pos_a", "pos_b", "store_a", "store_b"]
     items = members.join(lines, ["basket_id", "chain"]).groupBy(*keys, "item_no").agg(F.min("value").alias("value"))
     rated = items.groupBy(*keys).agg(F.count(F.lit(1)).alias("coverage"), F.sum("value").alias("score"))
-    rank = F.struct(-F.col("coverage"), round_to(F.col("score"), 6), "pos_a", "pos_b")
+    rank = F.struct(-F.col("coverage"), round_to(F.col("score"), 9), "pos_a", "pos_b")
     best = rated.groupBy("basket_id").agg(F.min_by(F.struct("store_a", "store_b", "coverage", "score"), rank).alias("p"))
     return best.select("basket_id", "p.*")

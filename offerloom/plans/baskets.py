@@ -69,7 +69,10 @@ def lines(t: Tables):
 
 
 def best(t: Tables):
-    return basket.best_by_category(t.basket_lines, priced_offers(t), t.categories)
+    """Best offers per wanted category, phrase and chain: far fewer rows than lines, used by every later step."""
+    if "best" not in t.__dict__:
+        t.__dict__["best"] = cut_lineage(basket.best_by_category(t.basket_lines, priced_offers(t), t.categories))
+    return t.__dict__["best"]
 
 
 def priced(t: Tables):
@@ -223,11 +226,11 @@ p AS (SELECT r.basket_id, r.store_id, r.chain, row_number() OVER (PARTITION BY r
 i AS (SELECT a.basket_id, a.pos AS pos_a, b.pos AS pos_b, a.store_id AS store_a, b.store_id AS store_b, v.item_no, min(v.value) AS value
  FROM p a JOIN p b ON a.basket_id = b.basket_id AND a.pos < b.pos JOIN v ON v.basket_id = a.basket_id AND v.chain IN (a.chain, b.chain) GROUP BY ALL),
 g AS (SELECT basket_id, pos_a, pos_b, store_a, store_b, count(*) AS coverage, sum(value) AS score FROM i GROUP BY ALL)
-SELECT basket_id, store_a, store_b, coverage, {round_to_sql('score', 4)} AS score FROM g
-QUALIFY row_number() OVER (PARTITION BY basket_id ORDER BY coverage DESC, {round_to_sql('score', 6)}, pos_a, pos_b) = 1""",
+SELECT basket_id, store_a, store_b, coverage, {round_to_sql('score', 9)} AS score FROM g
+QUALIFY row_number() OVER (PARTITION BY basket_id ORDER BY coverage DESC, {round_to_sql('score', 9)}, pos_a, pos_b) = 1""",
 )
 def _(t: Tables):
-    return basket.best_pairs(priced(t), rounded_reach(t)).withColumn("score", round_to(F.col("score"), 4))
+    return basket.best_pairs(priced(t), rounded_reach(t)).withColumn("score", round_to(F.col("score"), 9))
 
 
 @query(

@@ -12,6 +12,7 @@ from offerloom.plans.clean import token_forms_sql
 from offerloom.plans.registry import query
 from offerloom.plans.sqltext import base_vowel_sql, norm_sql
 from offerloom.plans.views import VIEWS, Tables
+from offerloom.session import cut_lineage
 
 # Misspellings put into the last word of product names.
 TYPOS = [("gizmo", "gizzmo"), ("widget", "widgt"), ("plate", "plade"), ("anvil", "anvul")]
@@ -72,6 +73,13 @@ def search_column(brand="brand", title="product_name", note="description"):
 
 
 def index(t: Tables):
+    """Postings of the offers, written once because every search step reads them."""
+    if "index" not in t.__dict__:
+        t.__dict__["index"] = cut_lineage(offer_postings(t))
+    return t.__dict__["index"]
+
+
+def offer_postings(t: Tables):
     columns = {
         "name": F.col("product_name"), "brand": F.col("brand"), "description": F.col("description"), "search": search_column(), "chain": F.col("chain"),
     }
@@ -87,7 +95,7 @@ def shown_hits(t: Tables):
 
 @query("txt1_offer_postings", "SELECT token, offer_id, field, tf FROM tokens_of_offers")
 def _(t: Tables):
-    return index(t)
+    return offer_postings(t)
 
 
 @query(
