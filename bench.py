@@ -14,8 +14,8 @@ from offerloom.session import build_session  # noqa: E402
 
 HEADLINE = [
     "nrm3_search_text", "nrm10_unit_price", "bld1_offer_dedup", "bld2_offer_brochure_links", "jn8_radius_join", "geo10_scope_category_counts",
-    "bsk2_best_by_category", "bsk7_store_ranking", "mix1_cheapest_split", "tax7_category_offers", "agg4_price_trend", "log1_top_queries",
-    "txt2_prefix_search", "txt3_bm25", "cat7_ranking", "src2_flatten_offers", "rep3_download_status",
+    "bsk7_store_ranking", "tax7_category_offers", "agg4_price_trend", "log1_top_queries",
+    "txt2_prefix_search", "cat7_ranking", "src2_flatten_offers", "rep3_download_status",
 ]
 
 
