@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from offerloom.llm import chat, exact, mixing, urls
+from offerloom.llm import chat, exact, mixing, packing, urls, warc
 from offerloom.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,31 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read_table(spark, sf_dir, "conversations")
     return chat.rotate_perspectives(turns).select("conv_id", "perspective", "part", "text", "mask", "n_turns", "n_own")
+
+
+def tokenizer_path() -> str:
+    """Where the public vocabulary lies; a parameter of the operator."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op2_pack_documents")
+def op2_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query(
+    "op8_arc_to_warc",
+    """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+    f AS (SELECT hex, min(page_id) AS first FROM p GROUP BY 1)
+    SELECT page_id, strlen(html) AS payload_bytes,
+      array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (('0x' || substr(hex, 1 + 5 * (i // 4), 5))::INTEGER >> (15 - 5 * (i % 4)) & 31), 1) FOR i IN range(32)], '') AS payload_digest,
+      CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+    FROM p JOIN f USING (hex)
+    """,
+)
+def op8_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archived = warc.page_archive(read_table(spark, sf_dir, "pages"))
+    return archived.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
