@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from offerloom.llm import chat, exact, mixing, packing, urls, warc
+from offerloom.llm import chat, exact, fingerprint, mixing, packing, urls, warc
 from offerloom.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,3 +152,8 @@ def op2_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archived = warc.page_archive(read_table(spark, sf_dir, "pages"))
     return archived.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op5_fingerprints")
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(read_table(spark, sf_dir, "documents"))
