@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from offerloom.llm import chat, exact, fingerprint, mixing, packing, urls, warc
+from offerloom.llm import chat, exact, fingerprint, mixing, packing, quality, urls, warc
 from offerloom.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,3 +157,9 @@ def op8_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_fingerprints")
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(read_table(spark, sf_dir, "documents"))
+
+
+@query("op6_quality_classifier")
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.judge(docs).select("doc_id", "votes", "posterior", "score", "accepted")
