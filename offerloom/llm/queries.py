@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from offerloom.llm import chat, exact, fingerprint, mixing, near, packing, quality, urls, warc
+from offerloom.llm import chat, exact, fingerprint, mixing, near, packing, quality, suffix, urls, warc
 from offerloom.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,3 +169,8 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=2, percent=80)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query("op1_suffix_dedup")
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(read_table(spark, sf_dir, "documents"))
