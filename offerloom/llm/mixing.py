@@ -82,24 +82,44 @@ def hash_thresholds(rows: DataFrame, targets: DataFrame) -> DataFrame:
     return targets.join(found, F.col("source").eqNullSafe(F.col("of")), "left").drop("of", "rest")
 
 
+def _mark(docs: DataFrame, id_col: str, text: str) -> Column:
+    """60 bits of a hash of the document's id and text."""
+    mark = F.md5(F.concat(F.coalesce(docs[id_col].cast("string"), F.lit("")), F.lit("|"), F.coalesce(docs[text], F.lit(""))))
+    return F.conv(F.substring(mark, 1, BITS * LEVELS // 4), 16, 10).cast("long")
+
+
+def _copies() -> Column:
+    more = (F.col("h") < F.col("threshold")) | (F.col("edge") & (F.col("h") == F.col("threshold")))
+    return F.col("base") + F.coalesce(more.cast("long"), F.lit(0))
+
+
+def mix_plan(
+    docs: DataFrame, weights: Sequence[int], share: tuple[int, int], repeat: int, id_col: str, text: str, source: str
+) -> tuple[DataFrame, DataFrame]:
+    """The documents' (id, source, size, h) and one row per source (of, source_size, target, base, threshold, edge), both stored."""
+    size = F.regexp_count(F.coalesce(docs[text], F.lit("")), F.lit(WORD)).cast("long")
+    rows = stored(docs.select(docs[id_col].alias(id_col), docs[source].alias("source"), size.alias("size"), _mark(docs, id_col, text).alias("h")), "mix-rows")
+    targets = stored(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, repeat), "mix-targets")
+    return rows, stored(hash_thresholds(rows, targets).withColumnRenamed("source", "of"), "mix-thresholds")
+
+
 def mix_sources(
     docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: tuple[int, int] = (3, 2), repeat: int = 2,
     id_col: str = "doc_id", text: str = "text", source: str = "source",
 ) -> DataFrame:
-    """One row per document: id, ``size`` in words, ``source_size``, ``target`` of its source, ``taken`` words, ``copies``, ``h``."""
-    body = F.coalesce(docs[text], F.lit(""))
-    mark = F.md5(F.concat(F.coalesce(docs[id_col].cast("string"), F.lit("")), F.lit("|"), body))
-    rows = stored(
-        docs.select(
-            docs[id_col].alias(id_col), docs[source].alias("source"), F.regexp_count(body, F.lit(WORD)).cast("long").alias("size"),
-            F.conv(F.substring(mark, 1, BITS * LEVELS // 4), 16, 10).cast("long").alias("h"),
-        ),
-        "mix-rows",
-    )
-    targets = stored(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, repeat), "mix-targets")
-    limits = stored(hash_thresholds(rows, targets).withColumnRenamed("source", "of"), "mix-thresholds")
-    more = (F.col("h") < F.col("threshold")) | (F.col("edge") & (F.col("h") == F.col("threshold")))
-    copies = F.col("base") + F.coalesce(more.cast("long"), F.lit(0))
+    """One row per document: id, ``size`` in words, ``source_size``, ``target`` of its source, ``taken`` words, ``copies``."""
+    rows, limits = mix_plan(docs, weights, share, repeat, id_col, text, source)
     return rows.join(limits, F.col("source").eqNullSafe(F.col("of"))).select(
-        id_col, "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), "h"
+        id_col, "size", "source_size", "target", (F.col("size") * _copies()).alias("taken"), _copies().alias("copies")
     )
+
+
+def mixed_documents(
+    docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: tuple[int, int] = (3, 2), repeat: int = 2,
+    id_col: str = "doc_id", text: str = "text", source: str = "source",
+) -> DataFrame:
+    """The mix itself: ``docs`` with each row as often as it is taken; rows are tested in place, not shuffled."""
+    _, limits = mix_plan(docs, weights, share, repeat, id_col, text, source)
+    marked = docs.select(F.struct(*docs.columns).alias("doc"), docs[source].alias("source"), _mark(docs, id_col, text).alias("h"))
+    met = marked.join(limits, F.col("source").eqNullSafe(F.col("of")))
+    return met.select("doc", F.explode(F.array_repeat(F.lit(1), _copies().cast("int")))).select("doc.*")

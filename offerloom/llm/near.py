@@ -29,6 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from offerloom.llm.bloom import blocks_for, flagged, present_filter
 from offerloom.llm.common import attach_groups, stored
@@ -87,7 +88,7 @@ def post_coordinates(classes: DataFrame, matches: int) -> DataFrame:
     return gathered.select("cid", F.explode(prefix).alias("v")).select(F.col("v.token").alias("token"), "cid")
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def agreements(a: pd.Series, b: pd.Series) -> pd.Series:
     """In how many coordinates two signatures agree."""
     if not len(a):
@@ -167,7 +168,7 @@ def class_components(docs: DataFrame, classes: DataFrame, shingle: int, percent:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, matches: int = MATCHES, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: id, ``n_shingles``, ``component_id`` (smallest id of its component), ``kept``, ``h``."""
+    """One row per document: id, ``n_shingles``, ``component_id`` (smallest id of its component), ``kept``, ``group_size``, ``h``."""
     signed = stored(signatures(docs, shingle, id_col, text).withColumn("row", F.monotonically_increasing_id()), "near-signed")
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row", "h"))
     with_words = signed.where("n_shingles > 0")
@@ -175,10 +176,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, matche
     classes = stored(grouped.select(F.monotonically_increasing_id().alias("cid"), "key", "first", "members", "n_shingles", "sig", F.col("first.h").alias("h")), "near-classes")
     labels = class_components(docs, classes, shingle, percent, matches, id_col, text)
     rooted = stored(classes.join(labels, classes["cid"] == labels["node"], "left").select("key", "first", "members", F.coalesce("root", "cid").alias("root")), "near-rooted")
-    heads = stored(rooted.groupBy("root").agg(F.min("first").alias("head"), F.count("*").alias("size")), "near-heads")
+    heads = stored(rooted.groupBy("root").agg(F.min("first").alias("head"), F.count("*").alias("size"), F.sum("members").alias("group_size")), "near-heads")
     total = signed.count()
-    named = stored(attach_groups(rooted, heads, "root", "size", total).select("key", "members", "head"), "near-named")
+    named = stored(attach_groups(rooted, heads, "root", "size", total).select("key", "members", "head", "group_size"), "near-named")
     wide = attach_groups(with_words.select("id", "row", "h", "key", "n_shingles"), named, "key", "members", total)
-    linked = wide.select(F.col("id").alias(id_col), "n_shingles", F.col("head.id").alias("component_id"), (F.col("row") == F.col("head.row")).alias("kept"), "h")
-    empty = signed.where("n_shingles = 0").select(F.col("id").alias(id_col), "n_shingles", F.col("id").alias("component_id"), F.lit(True).alias("kept"), "h")
+    linked = wide.select(F.col("id").alias(id_col), "n_shingles", F.col("head.id").alias("component_id"), (F.col("row") == F.col("head.row")).alias("kept"), "group_size", "h")
+    empty = signed.where("n_shingles = 0").select(F.col("id").alias(id_col), "n_shingles", F.col("id").alias("component_id"), F.lit(True).alias("kept"), F.lit(1).cast("long").alias("group_size"), "h")
     return linked.unionByName(empty)
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, matches: int = MATCHES, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each component; rows without a partner are not shuffled."""
+    columns = docs.columns
+    found = near_duplicates(docs, shingle, percent, matches, id_col, text).where("group_size > 1")
+    touched = stored(found.groupBy(F.col(id_col).alias("__id"), F.col("h").alias("__g")).agg(F.max("kept").alias("__kept")), "near-touched")
+    blocks = blocks_for(touched.count())
+    hashed = flagged(docs.withColumn("__h", _row_hash(docs, id_col, text)), "__h", present_filter(touched, "__g", blocks), blocks)
+    alone = hashed.where("not __maybe").select(*columns)
+    maybe = hashed.where("__maybe").join(touched, (F.col("__h") == F.col("__g")) & F.col(id_col).eqNullSafe(F.col("__id")), "left")
+    apart = maybe.where("__kept is null").select(*columns)
+    one = maybe.where("__kept").dropDuplicates(["__id", "__g"]).select(*columns)
+    return alone.unionByName(apart).unionByName(one)
