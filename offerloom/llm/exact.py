@@ -52,13 +52,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row per distinct text, all columns kept; only possibly repeated rows are shuffled."""
-    columns = docs.columns
-    hashed = docs.withColumn("__h", F.xxhash64(_text(docs, text)))
+    order = F.struct(docs[id_col], F.xxhash64(*docs.columns)).alias("order")
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), _text(docs, text).alias("text"), F.xxhash64(_text(docs, text)).alias("h"), order)
     blocks = blocks_for(docs.count())
-    probed = flagged(hashed, "__h", repeated_filter(hashed.select("__h"), "__h", blocks), blocks)
-    order = F.struct(F.col(id_col), F.xxhash64(*columns))
-    best = (
-        probed.where("__maybe").groupBy(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
-        .agg(F.max_by(F.struct(*columns), order).alias("__row")).select("__row.*")
-    )
-    return probed.where("not __maybe").select(*columns).unionByName(best)
+    probed = flagged(rows, "h", repeated_filter(rows.select("h"), "h", blocks), blocks)
+    best = probed.where("__maybe").groupBy(F.sha2("text", 256)).agg(F.max_by("doc", "order").alias("doc"))
+    return probed.where("not __maybe").select("doc.*").unionByName(best.select("doc.*"))

@@ -187,13 +187,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, matche
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, matches: int = MATCHES, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each component; rows without a partner are not shuffled."""
-    columns = docs.columns
     found = near_duplicates(docs, shingle, percent, matches, id_col, text).where("group_size > 1")
-    touched = stored(found.groupBy(F.col(id_col).alias("__id"), F.col("h").alias("__g")).agg(F.max("kept").alias("__kept")), "near-touched")
+    touched = stored(found.groupBy(F.col(id_col).alias("same"), F.col("h").alias("g")).agg(F.max("kept").alias("stays")), "near-touched")
     blocks = blocks_for(touched.count())
-    hashed = flagged(docs.withColumn("__h", _row_hash(docs, id_col, text)), "__h", present_filter(touched, "__g", blocks), blocks)
-    alone = hashed.where("not __maybe").select(*columns)
-    maybe = hashed.where("__maybe").join(touched, (F.col("__h") == F.col("__g")) & F.col(id_col).eqNullSafe(F.col("__id")), "left")
-    apart = maybe.where("__kept is null").select(*columns)
-    one = maybe.where("__kept").dropDuplicates(["__id", "__g"]).select(*columns)
-    return alone.unionByName(apart).unionByName(one)
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), docs[id_col].alias("id"), _row_hash(docs, id_col, text).alias("h"))
+    probed = flagged(rows, "h", present_filter(touched, "g", blocks), blocks)
+    maybe = probed.where("__maybe").join(touched, (F.col("h") == F.col("g")) & F.col("id").eqNullSafe(F.col("same")), "left")
+    one = maybe.where("stays").dropDuplicates(["same", "g"])
+    return probed.where("not __maybe").select("doc.*").unionByName(maybe.where("stays is null").select("doc.*")).unionByName(one.select("doc.*"))

@@ -8,7 +8,8 @@ label for a logistic scorer over hashed features; the scorer is fitted on a samp
 
 Defined results: a null or blank text has no words and is rejected with score 1; one too short
 for the labellers gets few votes and is kept unless its features speak against it; copies get
-equal scores; an empty table gives an empty table; further columns are carried along.
+equal scores; an empty table gives an empty table; further columns are carried along, but for
+those with the names of the results, which are replaced.
 """
 
 from __future__ import annotations
@@ -243,5 +244,6 @@ def judge(docs: DataFrame, text: str = "text", train_docs: int = TRAIN_DOCS, rej
                 rows.append((pattern, known[pattern], scorer.score(t, about) if about.n else 1.0))
             yield pd.DataFrame(rows, columns=["votes", "posterior", "score"])
 
-    rated = docs.withColumn("__r", rate(F.col(text)))
-    return rated.select(*docs.columns, "__r.*").withColumn("accepted", F.col("score") < reject_from)
+    kept = [c for c in docs.columns if c not in ("votes", "posterior", "score", "accepted")]
+    rated = docs.select(F.struct(*kept).alias("doc"), rate(docs[text]).alias("rating"))
+    return rated.select("doc.*", "rating.*", (F.col("rating.score") < reject_from).alias("accepted"))

@@ -7,7 +7,8 @@ match wins. Rules without a whole literal token are candidates for every URL.
 
 Defined results: a null URL or one without ``://`` has an empty host and path and gets the
 method's verdict; repeated rows are judged alike; an empty table gives an empty table; further
-columns are carried along. Bound: the rule list is held by every task.
+columns are carried along, but for those with the names of the results, which are replaced.
+Bound: the rule list is held by every task.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 from offerloom.llm.common import ascii_lower
 
+RESULTS = ("host", "path", "rule", "verdict", "tried")
 TOKEN = "[A-Za-z0-9]+"
 HOST_AND_PATH = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -74,7 +76,8 @@ def judge_urls(
     counts: dict[str, int] | None = None,
 ) -> DataFrame:
     """``urls`` with ``host``, ``path``, ``rule`` (null if none fits), ``verdict`` and ``tried``, the expressions that were run."""
-    parts = urls.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
+    kept = [c for c in urls.columns if c not in RESULTS]
+    parts = urls.select(*kept, host_of(urls[url]).alias("host"), path_of(urls[url]).alias("path"))
     index = rarest_token_index(rules, token_counts(parts, rules) if counts is None else counts)
 
     @F.pandas_udf("struct<rule:string,verdict:string,tried:int>")
@@ -90,4 +93,5 @@ def judge_urls(
                 out.append((best.name if best else None, best.verdict if best else otherwise, len(candidates)))
             yield pd.DataFrame(out, columns=["rule", "verdict", "tried"])
 
-    return parts.withColumn("__j", judge("host", "path")).select("*", "__j.*").drop("__j")
+    judged = parts.select(F.struct(*parts.columns).alias("row"), judge("host", "path").alias("said"))
+    return judged.select("row.*", "said.*")
