@@ -13,29 +13,116 @@ from pyspark.sql import functions as F
 from offerloom.functions.literals import literal_array, literal_rows
 from offerloom.functions.text import words
 
-# Irregular word forms in search spelling (regular endings come from rules).
-WORD_FORMS: list[tuple[str, ...]] = [
-    ("apfel", "aepfel"),
-    ("tafelapfel", "tafelaepfel"),
-    ("mango", "mangos"),
-    ("ananas", "ananasse"),
-    ("wurst", "wuerste", "wuerstchen"),
-    ("bratwurst", "bratwuerste"),
-    ("haehnchen", "huhn", "huehnchen", "huehner"),
-    ("joghurt", "joghurts", "jogurt", "jogurts", "yoghurt", "yoghurts"),
-    ("kaese", "kaese"),
-    ("milch", "milch"),
-    ("butter", "butter"),
-    ("brot", "brote", "broetchen"),
-    ("kuchen", "kuchen"),
-    ("nuss", "nuesse"),
-    ("saft", "saefte"),
-    ("wasser", "waesser"),
-    ("glas", "glaeser"),
-    ("ei", "eier"),
-    ("pizza", "pizzen", "pizzas"),
-    ("keks", "kekse"),
-]
+# The forms of grocery words in search spelling, one group per line; a word alone has no other form.
+FORM_GROUPS = """
+apfel aepfel
+tafelapfel tafelaepfel
+banane bananen
+orange orangen
+zitrone zitronen
+traube trauben
+kirsche kirschen
+birne birnen
+pflaume pflaumen
+himbeere himbeeren
+erdbeere erdbeeren
+blaubeere blaubeeren
+heidelbeere heidelbeeren
+mango mangos
+avocado avocados
+kiwi kiwis
+clementine clementinen
+mandarine mandarinen
+nektarine nektarinen
+ananas ananasse
+tomate tomaten
+kartoffel kartoffeln
+zwiebel zwiebeln
+gurke gurken
+karotte karotten
+moehre moehren
+paprika paprikas
+zucchini zucchinis
+aubergine auberginen
+bohne bohnen
+erbse erbsen
+linse linsen
+olive oliven
+radieschen
+champignon champignons
+pilz pilze
+wurst wuerste wuerstchen
+bratwurst bratwuerste
+rostbratwurst rostbratwuerste
+currywurst currywuerste
+steak steaks
+filet filets
+schnitzel
+haehnchen huhn huehnchen huehner
+haehnchenbrustfilet haehnchenbrustfilets
+schinken
+wuerstchen
+frikadelle frikadellen
+bulette buletten
+garnele garnelen
+joghurt joghurts jogurt jogurts yoghurt yoghurts
+kaese
+milch
+butter
+sahne
+quark
+brot brote broetchen
+broetchen
+brezel brezeln
+croissant croissants
+kuchen
+torte torten
+semmel semmeln
+nudel nudeln
+spaghetti
+reis
+mehl
+zucker
+salz
+oel oele
+essig
+nuss nuesse
+haselnuss haselnuesse
+walnuss walnuesse
+erdnuss erdnuesse
+mandel mandeln
+wasser waesser
+saft saefte
+apfelsaft apfelsaefte
+orangensaft orangensaefte
+limonade limonaden
+bier biere
+wein weine
+flasche flaschen
+dose dosen
+packung packungen
+beutel
+stueck
+scheibe scheiben
+glas glaeser
+becher
+tafel tafeln
+riegel
+ei eier
+pfeffer
+gewuerz gewuerze
+chips
+keks kekse
+praline pralinen
+schokolade schokoladen
+bonbon bonbons
+muesli mueslis
+pizza pizzen pizzas
+tiefkuehlpizza tiefkuehlpizzen
+waffel waffeln
+pfannkuchen
+"""
+WORD_FORMS: list[tuple[str, ...]] = [tuple(line.split()) for line in FORM_GROUPS.split("\n") if line]
 # Short forms and the words they stand for, in the order they are tried.
 ABBREVIATIONS: list[tuple[str, str]] = [
     ("h milch", "haltbare milch"),
@@ -90,6 +177,8 @@ BLOCKING_SYNONYMS = SCORING_SYNONYMS[:5]
 # Groups whose members replace each other in a category search.
 SYNONYM_GROUPS: list[tuple[str, ...]] = [
     ("klopapier", "toilettenpapier"),
+    ("spüli", "spülmittel"),
+    ("spueli", "spuelmittel"),
     ("limo", "limonade"),
     ("pommes", "pommes frites", "fritten"),
     ("brötchen", "semmel", "schrippe"),
@@ -102,8 +191,16 @@ SYNONYM_GROUPS: list[tuple[str, ...]] = [
     ("sahne", "rahm"),
     ("quark", "topfen"),
     ("marmelade", "konfitüre", "konfituere"),
-    ("tomate", "paradeiser"),
+    ("paprika", "peperoni"),
     ("aprikose", "marille"),
+    ("blumenkohl", "karfiol"),
+    ("tomate", "paradeiser"),
+    ("pfifferlinge", "eierschwammerl"),
+    ("meerrettich", "kren"),
+    ("pflaumen", "zwetschgen", "zwetschken"),
+    ("berliner", "krapfen"),
+    ("feldsalat", "rapunzel", "nüsslisalat", "nuessisalat"),
+    ("aubergine", "melanzani"),
 ]
 # Specific word -> wider words, one direction only.
 WIDER_TERMS: list[tuple[str, tuple[str, ...]]] = [
@@ -111,15 +208,32 @@ WIDER_TERMS: list[tuple[str, tuple[str, ...]]] = [
     ("vollmilch", ("milch",)),
     ("buttermilch", ("milch",)),
     ("hafermilch", ("milch", "haferdrink")),
+    ("sojamilch", ("milch", "sojadrink")),
     ("espresso", ("kaffee",)),
     ("cappuccino", ("kaffee",)),
     ("latte macchiato", ("kaffee",)),
+    ("weizenbier", ("bier",)),
     ("pils", ("bier",)),
+    ("rotwein", ("wein",)),
+    ("weisswein", ("wein",)),
     ("orangensaft", ("saft",)),
     ("apfelsaft", ("saft",)),
+    ("multivitaminsaft", ("saft",)),
+    ("schwarztee", ("tee",)),
+    ("gruentee", ("tee",)),
+    ("fruechtetee", ("tee",)),
+    ("cheddar", ("kaese",)),
     ("gouda", ("kaese",)),
+    ("mozzarella", ("kaese",)),
+    ("emmentaler", ("kaese",)),
+    ("salami", ("wurst",)),
+    ("leberwurst", ("wurst",)),
+    ("bratwurst", ("wurst",)),
     ("spaghetti", ("nudeln", "pasta")),
+    ("penne", ("nudeln", "pasta")),
+    ("fusilli", ("nudeln", "pasta")),
     ("basmati", ("reis",)),
+    ("jasminreis", ("reis",)),
 ]
 # Fixed values: (pattern, replacement, the short form put back in the other direction).
 PHRASE_SYNONYMS: list[tuple[str, str, str]] = [

@@ -24,7 +24,7 @@ def normalize_lines(lines: DataFrame, names: DataFrame) -> DataFrame:
     named = lines.join(names.select("category_id", F.col("name").alias("category_name")), "category_id", "left")
     q = F.trim(F.coalesce(F.when(F.trim("q") != "", F.col("q")), F.col("category_name"), F.lit("")))
     return named.select(
-        "basket_id", "item_no", q.alias("q"), brand.alias("brand"), (F.col("any_brand") | brand.isNull()).alias("any_brand"), "category_id"
+        "basket_id", "item_no", q.alias("q"), brand.alias("brand"), (F.col("any_brand") | brand.isNull()).alias("any_brand"), "category_id", "category_name"
     ).where((F.col("q") != "") | F.col("category_id").isNotNull())
 
 
@@ -90,11 +90,16 @@ def best_by_text(wanted: DataFrame, offers: DataFrame, scores: DataFrame | None
 
 
 def best_by_text_with_fallback(wanted: DataFrame, offers: DataFrame) -> DataFrame:
-    """Text match; where a brand finds nothing, without the brand, then by single words of four letters on, in order."""
+    """Text match; where a brand finds nothing, without the brand, then by single words of four letters on, in order.
+
+    Rows are (spec, q, brand, any_brand) and, where a line came from a category, category_name, which replaces the
+    phrase in the later stages. The brand is cut as whole words.
+    """
     branded = ~F.col("any_brand") & F.col("brand").isNotNull()
     none = F.lit(None).cast("string").alias("brand")
-    bare = F.trim(F.replace(F.lower("q"), F.lower("brand"), F.lit("")))
-    again = wanted.where(branded).select("spec", F.when(bare != "", bare).otherwise(F.col("q")).alias("q"))
+    base = F.coalesce("category_name", "q") if "category_name" in wanted.columns else F.col("q")
+    bare = F.trim(F.regexp_replace(base, F.concat(F.lit(r"(?iU)\b\Q"), "brand", F.lit(r"\E\b")), F.lit("")))
+    again = wanted.where(branded).select("spec", F.when(bare != "", bare).otherwise(base).alias("q"))
     several = again.where(F.size(words(F.col("q"))) > 1)
     tokens = several.select("spec", F.posexplode(words(F.col("q"))).alias("pos", "q")).where(F.length("q") >= 4)
     scores = text_scores(wanted.select("q").unionByName(again.select("q")).unionByName(tokens.select("q")), offers)
@@ -129,6 +134,28 @@ def price_lines(lines: DataFrame, best: DataFrame) -> DataFrame:
     return joined.withColumn("match_type", kind)
 
 
+def price_all_lines(lines: DataFrame, best: DataFrame, offers: DataFrame) -> DataFrame:
+    """As ``price_lines``, and at the chains where a line's category has no offer, or for lines without category, the best text match.
+
+    ``lines`` come from ``normalize_lines``. Text is matched once per distinct wish, and only for wishes
+    that miss a category match at some chain.
+    """
+    by_category = price_lines(lines, best)
+    columns = by_category.columns
+    parts = ["category_id", "q", "brand", "any_brand", "category_name"]
+    spec = F.to_json(F.struct(*parts)).alias("spec")
+    wishes = lines.select(*parts, spec).distinct()
+    hits = wishes.join(best.select("category_id", "q", "chain"), ["category_id", "q"]).select("spec", "chain")
+    chains = offers.select("chain").distinct().agg(F.count(F.lit(1)).alias("chains"))
+    covered = hits.groupBy("spec").agg(F.count(F.lit(1)).alias("hit")).crossJoin(F.broadcast(chains)).where("hit >= chains").select("spec")
+    wanted = cut_lineage(wishes.join(covered, "spec", "left_anti").drop("category_id"))
+    text = best_by_text_with_fallback(wanted, offers).join(hits, ["spec", "chain"], "left_anti")
+    found = text.select("spec", "chain", *PAYLOAD, "score").withColumnRenamed("brand", "offer_brand")
+    joined = lines.withColumn("spec", spec).join(found, "spec")
+    kind = match_type(F.col("any_brand"), F.col("brand"), F.col("offer_brand"), F.col("score"))
+    return by_category.unionByName(joined.withColumn("match_type", kind).select(*columns))
+
+
 def chain_totals(priced: DataFrame, lines: DataFrame) -> DataFrame:
     """Totals per (basket, chain). Every store of a chain sees the same offers, so stores are joined later."""
     size = lines.groupBy("basket_id").agg(F.count(F.lit(1)).alias("items"))

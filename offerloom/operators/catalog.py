@@ -58,7 +58,7 @@ def ordered_index(rows: DataFrame, group: str, order: str) -> DataFrame:
     from pyspark.sql import Window as W
 
     cuts = rows.groupBy(group).agg(F.percentile_approx(order, [i / 32 for i in range(1, 32)], 1000).alias("cuts"))
-    sliced = rows.join(F.broadcast(cuts), group).withColumn("slice", F.size(F.filter("cuts", lambda c: c < F.col(order)))).drop("cuts")
+    sliced = rows.join(cuts, group).withColumn("slice", F.size(F.filter("cuts", lambda c: c < F.col(order)))).drop("cuts")
     local = sliced.withColumn("pos", F.row_number().over(W.partitionBy(group, "slice").orderBy(order)))
     sizes = sliced.groupBy(group, "slice").agg(F.count(F.lit(1)).alias("n"))
     by_group, everything = W.partitionBy(group), W.partitionBy(F.lit(1))

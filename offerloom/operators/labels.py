@@ -193,8 +193,11 @@ def decompose(labels: DataFrame, manual: list[tuple[str, list[str]]], min_length
     return long.join(parts, "label").select("product_name", F.explode("parts").alias("label"))
 
 
-def resolve_merges(merges: DataFrame, rounds: int = 16) -> DataFrame:
-    """(source, target) pairs followed to their last target; pointer doubling, so chains halve every round."""
+def resolve_merges(merges: DataFrame, rounds: int = 64) -> DataFrame:
+    """(source, target) pairs followed to their last target; pointer doubling, so chains halve every round.
+
+    Two names that merge into each other swap; a longer cycle has no last target and is an error.
+    """
     current = merges.where("source <> target").groupBy("source").agg(F.min("target").alias("target"))
     for _ in range(rounds):
         onward = current.select(F.col("source").alias("target"), F.col("target").alias("further"))
@@ -202,35 +205,36 @@ def resolve_merges(merges: DataFrame, rounds: int = 16) -> DataFrame:
         moved = linked.where((F.col("further").isNotNull()) & (F.col("further") != F.col("source")))
         current = cut_lineage(linked.select("source", F.when(F.col("further") != F.col("source"), F.col("further")).otherwise(F.col("target")).alias("target")))
         if moved.isEmpty():
-            break
-    return current
+            return current
+    raise ValueError("the merges contain a cycle of more than two names")
 
 
 def regroup(categories: DataFrame, merges: DataFrame, groups: DataFrame) -> DataFrame:
-    """Three-level tree (name, level, parent, n) out of second-level categories (ober, name, n).
+    """Three-level tree (ober, name, level, parent, n) out of second-level categories (ober, name, n).
 
-    ``merges`` is (source, target) and ``groups`` (ober, group, child), all names lower case. A merged
-    category adds its count to its target; a group reuses the category of its name; what no
-    group lists goes to the group "sonstiges" of its top category.
+    ``merges`` is (source, target) and ``groups`` (ober, group, child), all names lower case. Equal
+    names under different top categories stay apart. A merged category adds its count to its
+    target; a group reuses the category of its name; what no group lists goes to the group
+    "sonstiges" of its top category.
     """
     final = resolve_merges(merges)
+    key = ["ober", "name"]
     moved = categories.join(final, categories["name"] == final["source"], "left").select("ober", F.coalesce("target", "name").alias("name"), "n")
-    level2 = moved.groupBy("name").agg(F.min("ober").alias("ober"), F.sum("n").alias("n"))
+    level2 = moved.groupBy(*key).agg(F.sum("n").alias("n"))
     heads = groups.select("ober", F.col("group").alias("name")).distinct()
-    placed = groups.where("child <> group").groupBy(F.col("child").alias("name")).agg(F.min("group").alias("parent"))
-    own = level2.join(heads.select("name", F.col("ober").alias("head_ober")), "name", "left").join(placed, "name", "left")
-    children = own.where("head_ober IS NULL").select("name", F.coalesce("parent", F.concat(F.lit("sonstiges/"), "ober")).alias("parent"), "n", "ober")
-    direct = own.where("head_ober IS NOT NULL").select("name", "n")
-    below = children.groupBy(F.col("parent").alias("name")).agg(F.sum("n").alias("below"), F.min("ober").alias("child_ober"))
+    placed = groups.where("child <> group").groupBy("ober", F.col("child").alias("name")).agg(F.min("group").alias("parent"))
+    own = level2.join(heads.withColumn("is_head", F.lit(True)), key, "left").join(placed, key, "left")
+    children = own.where("is_head IS NULL").select(*key, F.coalesce("parent", F.concat(F.lit("sonstiges/"), "ober")).alias("parent"), "n")
+    direct = own.where("is_head").select(*key, "n")
+    below = children.groupBy("ober", F.col("parent").alias("name")).agg(F.sum("n").alias("below"))
     zero = F.lit(0).cast("bigint")
-    head_rows = heads.join(direct, "name", "left").join(below, "name", "full_outer").select(
-        "name", F.coalesce("ober", "child_ober").alias("parent"), (F.coalesce("n", zero) + F.coalesce("below", zero)).alias("n")
-    )
-    tops = head_rows.groupBy(F.col("parent").alias("name")).agg(F.sum("n").alias("n"))
+    head_rows = heads.join(direct, key, "left").join(below, key, "full_outer").select(*key, (F.coalesce("n", zero) + F.coalesce("below", zero)).alias("n"))
+    tops = head_rows.groupBy("ober").agg(F.sum("n").alias("n"))
+    columns = ["ober", "name", "level", "parent", "n"]
     return (
-        children.select("name", F.lit(3).alias("level"), "parent", "n")
-        .unionByName(head_rows.select("name", F.lit(2).alias("level"), "parent", "n"))
-        .unionByName(tops.select("name", F.lit(1).alias("level"), F.lit(None).cast("string").alias("parent"), "n"))
+        children.withColumn("level", F.lit(3)).select(*columns)
+        .unionByName(head_rows.withColumns({"level": F.lit(2), "parent": F.col("ober")}).select(*columns))
+        .unionByName(tops.withColumns({"level": F.lit(1), "name": F.col("ober"), "parent": F.lit(None).cast("string")}).select(*columns))
     )
 
 

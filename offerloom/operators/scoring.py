@@ -33,14 +33,15 @@ def containing_words(needles: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 def query_needles(queries: DataFrame) -> DataFrame:
-    """(q, needle): word forms and synonyms of the longer words; of phrases with short words only, those words."""
+    """(q, needle): word forms and synonyms of the longer words; of phrases with short words only, those words and what they abbreviate."""
     tokens = words(normalize_text(F.col("q")))
     longer = F.filter(tokens, lambda w: F.length(w) >= 3)
     pairs = [(a, b) for x, y in BLOCKING_SYNONYMS for a, b in ((x, y), (y, x))]
     table = literal_rows(["a", "b"], pairs)
     synonyms = F.flatten(F.transform(longer, lambda w: F.transform(F.filter(table, lambda p: p["a"] == w), lambda p: p["b"])))
     wide = F.concat(F.flatten(F.transform(longer, lambda w: token_forms(w))), synonyms)
-    chosen = F.when(F.size(longer) > 0, wide).otherwise(tokens)
+    spelled = words(expand_abbreviation(normalize_text(F.col("q"))))
+    chosen = F.when(F.size(longer) > 0, wide).otherwise(F.concat(tokens, spelled))
     return queries.select("q", F.explode(F.array_distinct(chosen)).alias("needle"))
 
 

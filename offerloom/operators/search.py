@@ -106,12 +106,12 @@ def cascade(prefix: DataFrame, substring: DataFrame, fuzzy: DataFrame, doc_id: s
 
 
 def group_candidates(hits: DataFrame) -> DataFrame:
-    """One candidate per (query, chain, product, brand, category): first id, cheapest row's prices, latest validity."""
+    """One candidate per (query, chain, product, brand, category): first id, lowest prices, latest validity."""
     keys = ["q", "chain", "product_name", "brand", "category_id"]
     return hits.groupBy(*keys).agg(
         F.min("offer_id").alias("offer_id"),
         F.min("sales_price").alias("sales_price"),
-        F.min_by("regular_price", F.struct("sales_price", "offer_id")).alias("regular_price"),
+        F.min("regular_price").alias("regular_price"),
         F.max("valid_from").alias("valid_from"),
         F.max("valid_until").alias("valid_until"),
     )

@@ -6,17 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def closure(categories: DataFrame, levels: int = 3) -> DataFrame:
-    """(ancestor_id, descendant_id, depth) of every node with itself and all nodes above it."""
+def closure(categories: DataFrame, deepest: int = 100) -> DataFrame:
+    """(ancestor_id, descendant_id, depth) of every node with itself and all nodes above it, at any depth.
+
+    A step is made for each level until none is left; a tree of more than ``deepest`` levels is taken for a cycle.
+    """
     up = categories.where(F.col("parent_id").isNotNull()).select(F.col("category_id").alias("node"), "parent_id")
     reach = categories.select(F.col("category_id").alias("ancestor_id"), F.col("category_id").alias("descendant_id"), F.lit(0).alias("depth"))
     result = reach
-    for depth in range(1, levels):
+    for depth in range(1, deepest + 1):
         reach = reach.join(up, F.col("ancestor_id") == F.col("node")).select(
             F.col("parent_id").alias("ancestor_id"), "descendant_id", F.lit(depth).alias("depth")
         )
+        if reach.isEmpty():
+            return result
         result = result.unionByName(reach)
-    return result
+    raise ValueError(f"the category tree has a cycle or more than {deepest} levels")
 
 
 def expansion(categories: DataFrame) -> DataFrame:

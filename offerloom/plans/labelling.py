@@ -174,20 +174,23 @@ def _(t: Tables):
 
 @query(
     "bld20_regrouped_tree",
-    """WITH c AS (SELECT 'all' AS ober, p_name AS name, count(*) AS n FROM part GROUP BY p_name),
+    """WITH c AS (SELECT split_part(p_type, ' ', 1) AS ober, p_name AS name, count(*) AS n FROM part GROUP BY 1, 2),
 m AS (SELECT ober, CASE split_part(name, ' ', 1) WHEN 'new' THEN 'hot ' || split_part(name, ' ', 2) WHEN 'old' THEN 'hot ' || split_part(name, ' ', 2) ELSE name END AS name, n FROM c),
-l AS (SELECT name, min(ober) AS ober, sum(n)::BIGINT AS n FROM m GROUP BY name),
-k AS (SELECT name, n, CASE WHEN split_part(name, ' ', 2) IN ('bolt', 'ring', 'gear') THEN split_part(name, ' ', 2) ELSE 'sonstiges/' || ober END AS parent FROM l),
-g AS (SELECT parent AS name, 'all' AS parent, sum(n)::BIGINT AS n FROM k GROUP BY parent)
-SELECT name, 3 AS level, parent, n FROM k UNION ALL SELECT name, 2, parent, n FROM g UNION ALL SELECT 'all', 1, NULL, sum(n)::BIGINT FROM g""",
+l AS (SELECT ober, name, sum(n)::BIGINT AS n FROM m GROUP BY ober, name),
+k AS (SELECT l.ober, l.name, n, CASE WHEN p.name IS NOT NULL THEN split_part(l.name, ' ', 2) ELSE 'sonstiges/' || l.ober END AS parent FROM l
+  LEFT JOIN (SELECT DISTINCT split_part(p_type, ' ', 1) AS ober, p_name AS name FROM part WHERE split_part(p_name, ' ', 2) IN ('bolt', 'ring', 'gear')) p ON p.ober = l.ober AND p.name = l.name),
+h AS (SELECT DISTINCT split_part(p_type, ' ', 1) AS ober, split_part(p_name, ' ', 2) AS name FROM part WHERE split_part(p_name, ' ', 2) IN ('bolt', 'ring', 'gear')),
+g AS (SELECT ober, name, coalesce(n, 0)::BIGINT AS n FROM h FULL JOIN (SELECT ober, parent AS name, sum(n)::BIGINT AS n FROM k GROUP BY ober, parent) USING (ober, name))
+SELECT ober, name, 3 AS level, parent, n FROM k UNION ALL SELECT ober, name, 2, ober, n FROM g UNION ALL SELECT ober, ober, 1, NULL, sum(n)::BIGINT FROM g GROUP BY ober""",
 )
 def _(t: Tables):
-    """Names grouped by noun; "new" merges into "old" and "old" into "hot"; some nouns have no group."""
-    noun = F.split_part("p_name", F.lit(" "), F.lit(2))
-    names = t.read("part").groupBy(F.col("p_name").alias("name")).agg(F.count(F.lit(1)).alias("n")).withColumn("ober", F.lit("all"))
+    """Names grouped by noun under each kind of product; "new" merges into "old" and "old" into "hot"; some nouns have no group."""
+    noun, ober = F.split_part("p_name", F.lit(" "), F.lit(2)), F.split_part("p_type", F.lit(" "), F.lit(1)).alias("ober")
+    part = t.read("part")
+    names = part.groupBy(ober, F.col("p_name").alias("name")).agg(F.count(F.lit(1)).alias("n"))
     chain = lambda a, b: F.struct(F.concat(F.lit(a + " "), noun).alias("source"), F.concat(F.lit(b + " "), noun).alias("target"))
-    merges = t.read("part").select(F.explode(F.array(chain("new", "old"), chain("old", "hot"))).alias("m")).select("m.*").distinct()
-    groups = t.read("part").where(noun.isin("bolt", "ring", "gear")).select(F.lit("all").alias("ober"), noun.alias("group"), F.col("p_name").alias("child")).distinct()
+    merges = part.select(F.explode(F.array(chain("new", "old"), chain("old", "hot"))).alias("m")).select("m.*").distinct()
+    groups = part.where(noun.isin("bolt", "ring", "gear")).select(ober, noun.alias("group"), F.col("p_name").alias("child")).distinct()
     return lb.regroup(names.select("ober", "name", "n"), merges, groups)
 
 

@@ -128,13 +128,13 @@ def _(t: Tables):
 
 @query(
     "geo6_stores_by_distance",
-    "SELECT location_id, store_id, rank FROM (SELECT location_id, store_id, row_number() OVER (PARTITION BY location_id ORDER BY distance_km, store_id) AS rank FROM in_reach) WHERE rank <= 80",
+    "SELECT location_id, store_id, row_number() OVER (PARTITION BY location_id ORDER BY distance_km, store_id) AS rank FROM in_reach",
 )
 def _(t: Tables):
     from pyspark.sql import Window as W
 
     w = W.partitionBy("location_id").orderBy("distance_km", "store_id")
-    return in_reach(t).withColumn("rank", F.row_number().over(w)).where("rank <= 80").select("location_id", "store_id", "rank")
+    return in_reach(t).withColumn("rank", F.row_number().over(w)).select("location_id", "store_id", "rank")
 
 
 @query(

@@ -118,7 +118,7 @@ def _(t: Tables):
 
 @query(
     "txt4_candidate_groups",
-    """SELECT q, chain, product_name, brand, category_id, min(offer_id) AS offer_id, min(sales_price) AS sales_price, arg_min(regular_price, (sales_price, offer_id)) AS regular_price,
+    """SELECT q, chain, product_name, brand, category_id, min(offer_id) AS offer_id, min(sales_price) AS sales_price, min(regular_price) AS regular_price,
  max(valid_from) AS valid_from, max(valid_until) AS valid_until FROM (SELECT * FROM prefix_hits JOIN offers USING (offer_id)) GROUP BY q, chain, product_name, brand, category_id""",
 )
 def _(t: Tables):
@@ -309,8 +309,8 @@ def _(t: Tables):
 
 @query(
     "flt9_chain_facet",
-    "SELECT q, offer_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, offer_id) AS rank FROM shown_hits WHERE chain IN ('Chain#1', 'Chain#3') QUALIFY rank <= 60",
+    "SELECT q, offer_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, offer_id) AS rank FROM shown_hits WHERE chain IN ('Chain#1', 'Chain#3')",
 )
 def _(t: Tables):
     kept = shown_hits(t).where(F.col("chain").isin("Chain#1", "Chain#3"))
-    return kept.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "offer_id"))).where("rank <= 60").select("q", "offer_id", "rank")
+    return kept.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "offer_id"))).select("q", "offer_id", "rank")

@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerloom.functions.numbers import round_to, round_to_sql
@@ -24,6 +24,14 @@ BASE = (
 ).split()
 
 
+def offer_key() -> list[Column]:
+    """What makes two printed offers the same; spellings that differ in case or accents are equal."""
+    return [
+        F.col("chain"), normalize_search_text(F.col("product_name")).alias("name_key"), normalize_search_text(F.col("brand")).alias("brand_key"),
+        F.col("sales_price"), F.col("valid_from"), F.col("valid_until"),
+    ]
+
+
 class Tables:
     """Lazy access to the views of one data folder."""
 
@@ -93,18 +101,7 @@ class Tables:
     @cached_property
     def offers(self) -> DataFrame:
         """Deduplicated offers with unit prices and the effective category of their label."""
-        unique = deduplicate_offers(
-            self.raw_offers,
-            key=[
-                F.col("chain"),
-                normalize_search_text(F.col("product_name")),
-                normalize_search_text(F.col("brand")),
-                F.col("sales_price"),
-                F.col("valid_from"),
-                F.col("valid_until"),
-            ],
-            order="offer_id",
-        )
+        unique = deduplicate_offers(self.raw_offers, key=offer_key(), order="offer_id")
         unit = parse_base_price(F.col("base_price_text"))
         labels = self.product_labels.select("product_key", F.col("category_id").alias("label_category_id"))
         return (
@@ -122,13 +119,10 @@ class Tables:
     @cached_property
     def offer_links(self) -> DataFrame:
         """Offer of every printed occurrence: (offer_id of the kept row, brochure_id, page_number)."""
-        key = ["chain", "product_name", "brand", "sales_price", "valid_from", "valid_until"]
-        kept = self.raw_offers.groupBy(*key).agg(F.min("offer_id").alias("kept_id"))
-        return (
-            self.raw_offers.select(*key, "brochure_id", "page_number", F.col("offer_id").alias("raw_id"))
-            .join(kept, key)
-            .select(F.col("kept_id").alias("offer_id"), "raw_id", "brochure_id", "page_number", "chain")
-        )
+        # Nulls inside a struct are equal to one another, so that offers without brand or date keep their links.
+        printed = self.raw_offers.select(F.struct(*offer_key()).alias("key"), "brochure_id", "page_number", "chain", F.col("offer_id").alias("raw_id"))
+        kept = printed.groupBy("key").agg(F.min("raw_id").alias("offer_id"))
+        return printed.join(kept, "key").select("offer_id", "raw_id", "brochure_id", "page_number", "chain")
 
     @cached_property
     def categories(self) -> DataFrame:
@@ -293,8 +287,8 @@ SELECT * FROM raw_offers QUALIFY row_number() OVER (
     "offers": f"""
 SELECT b.* EXCLUDE (quantity, unit, price, price_max, normalized_unit), coalesce(l.category_id, b.own_category_id) AS category_id
 FROM ({base_price_select_sql('base_price_text', 'unique_offers')}) b LEFT JOIN product_labels l ON l.product_key = b.product_key""",
-    "offer_links": """
-SELECT min(offer_id) OVER (PARTITION BY chain, product_name, brand, sales_price, valid_from, valid_until) AS offer_id,
+    "offer_links": f"""
+SELECT min(offer_id) OVER (PARTITION BY chain, {norm_sql('product_name')}, {norm_sql('brand')}, sales_price, valid_from, valid_until) AS offer_id,
        offer_id AS raw_id, brochure_id, page_number, chain FROM raw_offers""",
     "categories": """
 SELECT DISTINCT p_type AS category_id, p_type AS name, 1 AS level, NULL::VARCHAR AS parent_id FROM part
@@ -344,6 +338,10 @@ UNION ALL SELECT p.parent_id, c.category_id, 2 FROM categories c JOIN categories
 }
 
 
+#: Views that a statement reads several times at a cost.
+WRITTEN = {"categories", "closure", "category_counts", "product_labels"}
+
+
 def with_views(sql: str) -> str:
     """Put the views a statement uses in front of it, in the order they depend on each other."""
     needed: list[str] = []
@@ -357,7 +355,7 @@ def with_views(sql: str) -> str:
 
     visit(sql)
     sql = sql.strip()
-    ctes = [f"{name} AS ({VIEWS[name].strip()})" for name in needed]
+    ctes = [f"{name} AS {'MATERIALIZED ' * (name in WRITTEN)}({VIEWS[name].strip()})" for name in needed]
     if sql[:5].upper() == "WITH ":
         return "WITH " + ", ".join([*ctes, sql[5:]]) if ctes else sql
     return ("WITH " + ", ".join(ctes) + " " + sql) if ctes else sql

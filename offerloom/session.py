@@ -28,17 +28,22 @@ def build_session(app: str = "offerloom", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def shared_base(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the cluster's, or for a local master a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return (base or os.path.join(tempfile.gettempdir(), "offerloom-checkpoints")).rstrip("/")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names; a temporary one only where none is set."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """Reliable checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(configured or os.path.join(tempfile.gettempdir(), "offerloom-checkpoints"))
+        context.setCheckpointDir(shared_base(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """New folder for intermediate tables under the folder the cluster names; a temporary one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "offerloom-checkpoints")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """New folder for intermediate tables below the shared one."""
+    return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"

@@ -65,8 +65,11 @@ def upsert_stream(stream: DataFrame, folder: str, key: list[str], version: str)
         if number > 0:
             rows = rows.unionByName(batch.sparkSession.read.schema(stream.schema).parquet(f"{folder}/v{number - 1}"))
         last_by(rows, key, [F.col(version)]).select(*stream.columns).write.mode("overwrite").parquet(f"{folder}/v{number}")
+        spark.createDataFrame([(number,)], "number long").write.mode("append").parquet(f"{folder}/versions")
 
     query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    last = query.lastProgress["batchId"]
-    return spark.read.schema(stream.schema).parquet(f"{folder}/v{last}")
+    written = spark.createDataFrame([], "number long").write.mode("append")
+    written.parquet(f"{folder}/versions")
+    last = spark.read.schema("number long").parquet(f"{folder}/versions").agg(F.max("number")).first()[0]
+    return spark.createDataFrame([], stream.schema) if last is None else spark.read.schema(stream.schema).parquet(f"{folder}/v{last}")

@@ -84,3 +84,20 @@ def test_classifier(spark):
     assert got["Hähnchenbrustfilet"].product_type == "Haehnchenbrustfilet"
     assert got["Scheuermilch"].parent_category == "Haushalt"
     assert (got["Butter"].search_scope, got["Butter"].confidence) == ("broad", 0.94)
+
+
+def test_fixed_word_tables_are_whole(spark):
+    """Expectations are stated here, not taken from the tables."""
+    from offerloom.functions import tokens
+
+    def forms(word):
+        return set(spark.range(1).select(tokens.token_forms(F.lit(word))).first()[0])
+
+    assert {"pflaume", "pflaumen"} <= forms("pflaumen") and forms("quark") == {"quark"} and forms("chips") == {"chips"}
+    assert {"haselnuss", "haselnuesse"} <= forms("haselnuesse") and "currywuerste" in forms("currywurst") and "tomaten" in forms("tomate")
+
+    def others(text):
+        return set(spark.range(1).select(tokens.synonym_variants(F.lit(text))).first()[0])
+
+    assert "spülmittel" in others("spüli") and "peperoni" in others("paprika") and {"zwetschgen", "zwetschken"} <= others("pflaumen")
+    assert "wein" in others("rotwein") and "rotwein" not in others("wein") and "wurst" in others("salami") and "krapfen" in others("berliner")

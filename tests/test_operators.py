@@ -1,12 +1,14 @@
 import json
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from offerloom.operators import fold, geo, labels, scoring
+from offerloom.operators import basket, fold, geo, labels, scoring, taxonomy
 from offerloom.operators.categories import correct_words
+from offerloom.operators.skew import spread_join
 from offerloom.sources import brochures, exchange, pages
 
 OFFER = st.tuples(st.sampled_from(["w", "v", None]), st.integers(1, 9), st.integers(1, 9))
@@ -149,3 +151,66 @@ def test_bad_embedded_json(spark):
     html = ['<script id="__NEXT_DATA__" type="x">{"a": 1}</script>', '<script id="__NEXT_DATA__">{oops</script>', "<p></p>"]
     df = spark.createDataFrame([(h,) for h in html], "html string")
     assert [r[0] for r in df.select(pages.embedded_json(F.col("html"))).collect()] == ['{"a": 1}', None, None]
+
+
+def test_merge_cycles_are_errors(spark):
+    swap = spark.createDataFrame([("a", "b"), ("b", "a")], "source string, target string")
+    assert {(r.source, r.target) for r in labels.resolve_merges(swap).collect()} == {("a", "b"), ("b", "a")}
+    ring = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "source string, target string")
+    with pytest.raises(ValueError, match="cycle"):
+        labels.resolve_merges(ring, rounds=5)
+
+
+def test_equal_names_of_two_top_categories_stay_apart(spark):
+    categories = spark.createDataFrame([("o1", "milch", 3), ("o2", "milch", 4), ("o1", "kaese", 2)], "ober string, name string, n long")
+    none = spark.createDataFrame([], "source string, target string")
+    groups = spark.createDataFrame([("o1", "molkerei", "milch")], "ober string, group string, child string")
+    got = {(r.ober, r.name, r.level, r.parent, r.n) for r in labels.regroup(categories, none, groups).collect()}
+    assert got == {
+        ("o1", "milch", 3, "molkerei", 3), ("o1", "kaese", 3, "sonstiges/o1", 2), ("o2", "milch", 3, "sonstiges/o2", 4), ("o1", "molkerei", 2, "o1", 3),
+        ("o1", "sonstiges/o1", 2, "o1", 2), ("o2", "sonstiges/o2", 2, "o2", 4), ("o1", "o1", 1, None, 5), ("o2", "o2", 1, None, 4),
+    }
+
+
+def test_closure_of_any_depth(spark):
+    rows = [(f"n{i}", f"n{i - 1}" if i else None) for i in range(7)]
+    tree = spark.createDataFrame(rows, "category_id string, parent_id string")
+    got = {(r.ancestor_id, r.descendant_id, r.depth) for r in taxonomy.closure(tree).collect()}
+    assert got == {(f"n{a}", f"n{d}", d - a) for d in range(7) for a in range(d + 1)}
+    with pytest.raises(ValueError, match="cycle"):
+        taxonomy.closure(spark.createDataFrame([("a", "b"), ("b", "a")], "category_id string, parent_id string"), deepest=4)
+
+
+def test_heavy_keys_are_spread(spark):
+    big = spark.createDataFrame([(i % 3 if i < 30 else 9, i) for i in range(300)], "k long, v long")
+    small = spark.createDataFrame([(k, n) for k in (0, 1, 9, 10) for n in range(2)], "k long, w long")
+    got = sorted((r.k, r.v, r.w) for r in spread_join(big, small, ["k"], [F.col("v")], rows_per_task=50).collect())
+    assert got == sorted((r.k, r.v, r.w) for r in big.join(small, "k").collect()) and len(got) == 2 * 290
+
+
+OFFERS = [
+    ("o1", "A", "Alt Tilsiter", "Hofgut", 2.0, None, None, "c1"), ("o2", "B", "Tilsiter Scheiben", "Jaeger", 1.5, None, None, "c2"),
+    ("o3", "A", "Jasminreis", "Ja", 1.0, None, None, "c3"), ("o4", "B", "Jasminreis", "Gut", 0.9, None, None, "c3"),
+]
+
+
+def test_text_fills_in_where_the_category_finds_nothing(spark):
+    offers = spark.createDataFrame(OFFERS, "offer_id string, chain string, product_name string, brand string, price double, unit_group string, ppn double, category_id string")
+    names = spark.createDataFrame([("c1", "Tilsiter"), ("c9", "Jasminreis")], "category_id string, name string")
+    tree = spark.createDataFrame([("c1", None, 3), ("c9", None, 3)], "category_id string, parent_id string, level int")
+    lines = spark.createDataFrame(
+        [("b", 1, "Tilsiter", None, True, "c1"), ("b", 2, "", None, True, "c9"), ("b", 3, "Ja Jasminreis", "Ja", False, None), ("b", 4, " ", None, True, None)],
+        "basket_id string, item_no int, q string, brand string, any_brand boolean, category_id string",
+    )
+    clean = basket.normalize_lines(lines, names)
+    best = basket.best_by_category(clean, offers, tree)
+    got = {(r.item_no, r.chain): (r.offer_id, r.match_type) for r in basket.price_all_lines(clean, best, offers).collect()}
+    assert got == {
+        (1, "A"): ("o1", None), (1, "B"): ("o2", None), (2, "A"): ("o3", None), (2, "B"): ("o4", None), (3, "A"): ("o3", "exact"), (3, "B"): ("o4", "similar"),
+    }
+    assert {r.missing for r in basket.chain_totals(basket.price_all_lines(clean, best, offers), clean).collect()} == {0}
+
+
+def test_short_phrases_reach_what_they_abbreviate(spark):
+    queries, texts = spark.createDataFrame([("tk",)], "q string"), spark.createDataFrame([("Tiefkühl Pizza",), ("Brot",)], "text string")
+    assert [r.text for r in scoring.candidate_pairs(queries, texts).collect()] == ["Tiefkühl Pizza"]
