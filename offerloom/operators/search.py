@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -43,17 +45,42 @@ def all_tokens_hit(hits: DataFrame, doc_id: str) -> DataFrame:
     return once.groupBy("q", doc_id).agg(F.count(F.lit(1)).alias("hit"), F.first("n_tokens").alias("n")).where("hit = n").select("q", doc_id)
 
 
+def all_tokens_met(found: DataFrame, forms: DataFrame, index: DataFrame, doc_id: str, meets: Callable[[Column, Column], Column]) -> DataFrame:
+    """(q, doc) in which every query token is met, from the rarest token of each query.
+
+    ``found`` is (q, n_tokens, token_no, token) of the vocabulary words that meet a form. The token
+    whose words stand in the fewest documents gives the candidates; the others are tested against
+    the candidate's own words, so that a word of all documents is never expanded.
+    """
+    held = index.select("token", doc_id).distinct()
+    found = found.select("q", "n_tokens", "token_no", "token").distinct()
+    cost = found.join(held.groupBy("token").agg(F.count(F.lit(1)).alias("docs")), "token").groupBy("q", "n_tokens", "token_no").agg(F.sum("docs").alias("docs"))
+    first = cost.groupBy("q", "n_tokens").agg(F.count(F.lit(1)).alias("met"), F.min(F.struct("docs", "token_no"))["token_no"].alias("first")).where("met = n_tokens")
+    first = first.select("q", "first")
+    rarest = found.join(first, "q").where("token_no = first").select("q", "token")
+    candidates = rarest.join(held, "token").select("q", doc_id).distinct()
+    by_token = forms.join(first, "q").where("token_no <> first").groupBy("q", "token_no").agg(F.collect_set("form").alias("forms"))
+    tests = by_token.groupBy("q").agg(F.collect_list("forms").alias("tests"))
+    own = held.groupBy(doc_id).agg(F.collect_set("token").alias("own"))
+    tested = candidates.join(tests, "q").join(own, doc_id).where(
+        F.forall("tests", lambda fs: F.exists("own", lambda w: F.exists(fs, lambda f: meets(w, f))))
+    )
+    alone = candidates.join(tests.select("q"), "q", "left_anti")
+    return tested.select("q", doc_id).unionByName(alone)
+
+
 def prefix_search(queries: DataFrame, index: DataFrame, doc_id: str) -> DataFrame:
     """Documents containing, for every query word, a word starting with one of its forms."""
-    found = prefix_words(query_forms(queries), index.select("token").distinct())
-    return all_tokens_hit(found.join(index.select("token", doc_id).distinct(), "token"), doc_id)
+    forms = query_forms(queries)
+    found = prefix_words(forms, index.select("token").distinct())
+    return all_tokens_met(found, forms, index, doc_id, F.startswith)
 
 
 def substring_search(queries: DataFrame, index: DataFrame, doc_id: str) -> DataFrame:
     """As prefix search, with the forms anywhere inside a word."""
-    needles = query_forms(queries).withColumnRenamed("form", "needle")
-    found = containing_words(needles, index.select(F.col("token").alias("word")).distinct())
-    return all_tokens_hit(found.join(index.select(F.col("token").alias("word"), doc_id).distinct(), "word"), doc_id)
+    forms = query_forms(queries)
+    found = containing_words(forms.withColumnRenamed("form", "needle"), index.select(F.col("token").alias("word")).distinct())
+    return all_tokens_met(found.withColumnRenamed("word", "token"), forms, index, doc_id, F.contains)
 
 
 def bm25(queries: DataFrame, index: DataFrame, doc_id: str) -> DataFrame:
