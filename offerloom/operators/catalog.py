@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from offerloom.functions.units import parse_base_price
+
 
 def deduplicate_offers(raw: DataFrame, key: list[Column], order: str) -> DataFrame:
     """Keep the first row of each key, nulls being equal.
@@ -22,6 +24,12 @@ def deduplicate_offers(raw: DataFrame, key: list[Column], order: str) -> DataFra
     )
 
 
+def with_base_prices(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """``rows`` with the parsed unit price of a price text; every distinct text is parsed once and joined back."""
+    parsed = rows.select(F.col(text).alias("__text")).where("__text IS NOT NULL").distinct().withColumn(name, parse_base_price(F.col("__text")))
+    return rows.join(parsed, F.col(text) == F.col("__text"), "left").drop("__text")
+
+
 def first_by(df: DataFrame, keys: list[str], order: list[Column], keep: list[str] | None = None) -> DataFrame:
     """Row with the smallest order value per key, by partial aggregation."""
     rest = [c for c in (keep or df.columns) if c not in keys]

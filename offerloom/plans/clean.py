@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from offerloom.functions import chains, numbers, text, tokens, units
 from offerloom.functions.literals import literal_array
+from offerloom.operators.catalog import with_base_prices
 from offerloom.plans.registry import query
 from offerloom.plans.sqltext import base_vowel_sql, norm_sql, squeeze_sql
 from offerloom.plans.sqlunits import base_price_select_sql, number_sql, quantity_struct_sql, unit_attribute_sql
@@ -144,7 +145,7 @@ def _(t: Tables):
     + base_price_select_sql("base_price_text", "raw_offers", "offer_id") + ")",
 )
 def _(t: Tables):
-    parsed = t.raw_offers.select("offer_id", units.parse_base_price(F.col("base_price_text")).alias("u"))
+    parsed = with_base_prices(t.raw_offers.select("offer_id", "base_price_text"), "base_price_text", "u")
     return parsed.select(
         "offer_id", "u.quantity", "u.unit", "u.unit_group", "u.price", "u.normalized_unit",
         F.floor(F.col("u.price_per_normalized") * 1e9 + 0.5).cast("double").alias("ppn_nano"),
@@ -185,7 +186,7 @@ def _(t: Tables):
 FROM ({base_price_select_sql('base_price_text', 'raw_offers', 'offer_id')})""",
 )
 def _(t: Tables):
-    parsed = t.raw_offers.select("offer_id", units.parse_base_price(F.col("base_price_text")).alias("u"))
+    parsed = with_base_prices(t.raw_offers.select("offer_id", "base_price_text"), "base_price_text", "u")
     shown = units.display_unit_price(F.col("u.price"), F.col("u.unit"), F.col("u.quantity"))
     return parsed.select("offer_id", shown.alias("d")).select("offer_id", numbers.round_to(F.col("d.value"), 2).alias("value"), F.col("d.unit").alias("unit_label"))
 

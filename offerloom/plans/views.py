@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 
 from offerloom.functions.numbers import round_to, round_to_sql
 from offerloom.functions.text import normalize_search_text
-from offerloom.functions.units import parse_base_price
-from offerloom.operators.catalog import deduplicate_offers
+from offerloom.operators.catalog import deduplicate_offers, with_base_prices
 from offerloom.plans.sqltext import norm_sql
 from offerloom.plans.sqlunits import base_price_select_sql
 
@@ -102,10 +101,9 @@ class Tables:
     def offers(self) -> DataFrame:
         """Deduplicated offers with unit prices and the effective category of their label."""
         unique = deduplicate_offers(self.raw_offers, key=offer_key(), order="offer_id")
-        unit = parse_base_price(F.col("base_price_text"))
         labels = self.product_labels.select("product_key", F.col("category_id").alias("label_category_id"))
         return (
-            unique.withColumn("unit", unit)
+            with_base_prices(unique, "base_price_text", "unit")
             .join(labels, "product_key", "left")
             .select(
                 "offer_id", "chain", "product_name", "brand", "product_key", "description", "sales_price", "regular_price",
