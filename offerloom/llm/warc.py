@@ -6,7 +6,8 @@ declared lengths. The converter synthesises what WARC has and ARC lacks: record
 types, payload and block digests, and revisit records for payloads seen before.
 
 Files are read whole, one at a time, by Spark's binary reader; the writers here keep them to
-about ``FILE_BYTES``. Text files written by Spark carry the archives, so any file system will do.
+about ``FILE_BYTES`` before compression. Spark's text writer carries the archives, gzipped as
+usual, so any file system will do.
 
 Defined results: a null page is an empty payload; a null URL is ``unknown:``; a record cut short
 by the end of its file is kept and marked ``truncated``; a header line that can't be read is an
@@ -17,10 +18,10 @@ number come last), also among repeated rows; an empty table gives an empty archi
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
-from math import ceil
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -28,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from offerloom.llm.bloom import blocks_for, flagged, present_filter
 from offerloom.llm.common import attach_groups, stored
 from offerloom.session import shared_folder
 
@@ -48,8 +50,14 @@ def sha1_base32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def file_count(total_bytes: int | None) -> int:
-    return max(1, ceil((total_bytes or 0) / FILE_BYTES))
+def records_per_file(rows: DataFrame, size: Column) -> int:
+    """How many records of average size make a file of ``FILE_BYTES``."""
+    mean = rows.select(F.avg(size)).first()[0]
+    return max(2, int(FILE_BYTES // (mean or FILE_BYTES)))
+
+
+def _unpacked(data: bytes) -> bytes:
+    return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
 
 
 # ARC
@@ -58,18 +66,22 @@ def file_count(total_bytes: int | None) -> int:
 def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url: str = "url", html: str = "html") -> None:
     """Pages as HTTP responses in ARC files, by turns of version 1 and version 2."""
     chosen = pages.select(pages[id_col].cast("string"), F.coalesce(pages[url], F.lit("unknown:")), F.encode(F.coalesce(pages[html], F.lit("")), "UTF-8"))
-    files = file_count(pages.select(F.sum(F.octet_length(pages[html]) + 200)).first()[0])
+    most = records_per_file(pages, F.coalesce(F.octet_length(pages[html]), F.lit(0)) + 200)
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId()
         version = "2" if number % 2 else "1"
         about = f"{version} 0 Converter\n{' '.join(ARC_FIELDS[version])}\n".encode()
         given = {"URL": f"filedesc://{number}.arc", "IP-address": "0.0.0.0", "Archive-date": CAPTURED, "Content-type": "text/plain"}
-        first = [" ".join([given.get(f, "-") for f in ARC_FIELDS[version][:-1]] + [str(len(about))]).encode() + b"\n" + about]
+        first = " ".join([given.get(f, "-") for f in ARC_FIELDS[version][:-1]] + [str(len(about))]).encode() + b"\n" + about
+        written = 0
         for batch in batches:
-            out = first
-            first = []
+            out = []
             for page, address, body in zip(*(batch.column(i) for i in range(3)), strict=True):
+                if written % most == 0:  # Spark begins a new file here
+                    out.append(first)
+                    written += 1
+                written += 1
                 payload = body.as_py()
                 page_line = b"" if page.as_py() is None else PAGE_HEADER + b" " + page.as_py().encode() + b"\r\n"
                 block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + page_line + b"\r\n" + payload
@@ -80,7 +92,8 @@ def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url: str = "
                 out.append(" ".join([given.get(f, "-") for f in ARC_FIELDS[version][:-1]] + [str(len(block))]).encode() + b"\n" + block)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
-    chosen.repartition(files).mapInArrow(records, "record binary").select(F.col("record").cast("string")).write.option("lineSep", "\n").text(path)
+    lines = chosen.mapInArrow(records, "record binary").select(F.col("record").cast("string"))
+    lines.write.options(lineSep="\n", compression="gzip", maxRecordsPerFile=most).text(path)
 
 
 def parse_arc(data: bytes, name: str) -> Iterator[tuple]:
@@ -137,7 +150,7 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch.column(0), batch.column(1), strict=True):
-                yield from _batches(parse_arc(data.as_py(), name.as_py().rsplit("/", 1)[-1]), schema)
+                yield from _batches(parse_arc(_unpacked(data.as_py()), name.as_py().rsplit("/", 1)[-1]), schema)
 
     return _read_files(spark, path).mapInArrow(parse, ARC_ROW)
 
@@ -181,16 +194,21 @@ def with_revisits(records: DataFrame, min_bytes: int = 0) -> DataFrame:
     same = records.where((F.col("kind") == "response") & (F.col("payload_bytes") >= min_bytes) & ~F.col("truncated")).select("record_id", "payload_digest", "page", "date", "url")
     groups = stored(same.groupBy("payload_digest").agg(first, F.count("*").alias("n")).where("n > 1"), "warc-groups")
     met = attach_groups(same.select("record_id", "payload_digest"), groups, "payload_digest", "n", same.count())
-    revisits = met.where("record_id <> original.record_id").select("record_id", "original")
-    return records.join(revisits, "record_id", "left")
+    revisits = stored(met.where("record_id <> original.record_id").select("record_id", "original", F.xxhash64("record_id").alias("r")), "warc-revisits")
+    # Only records that may be revisits are shuffled with their blocks.
+    blocks = blocks_for(revisits.count())
+    probed = flagged(records.withColumn("r", F.xxhash64("record_id")), "r", present_filter(revisits, "r", blocks), blocks).drop("r")
+    none = F.lit(None).cast(revisits.schema["original"].dataType)
+    alone = probed.where("not __maybe").withColumn("original", none)
+    return alone.unionByName(probed.where("__maybe").join(revisits.drop("r"), "record_id", "left")).drop("__maybe")
 
 
 def _line(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit(""))
 
 
-def write_warc(records: DataFrame, path: str) -> None:
-    """Records with ``original`` as WARC files; a revisit keeps its HTTP header only."""
+def write_warc(records: DataFrame, path: str, most: int) -> None:
+    """Records with ``original`` as WARC files of at most ``most`` records; a revisit keeps its HTTP header only."""
     again = F.col("original").isNotNull()
     block = F.when(again, F.substring("block", F.lit(1), F.col("header_bytes").cast("int"))).otherwise(F.col("block"))
     head = F.concat(
@@ -201,9 +219,8 @@ def write_warc(records: DataFrame, path: str) -> None:
         _line("WARC-Refers-To-Target-URI", F.col("original.url")), _line("WARC-Refers-To-Date", F.col("original.date")),
         _line("Content-Type", F.col("mime")), _line("Content-Length", F.octet_length(block).cast("string")), F.lit("\r\n"),
     )
-    files = file_count(records.select(F.sum(F.octet_length("block") + 700)).first()[0])
     record = F.concat(F.encode(head, "UTF-8"), block, F.encode(F.lit("\r\n"), "UTF-8"))
-    records.select(record.cast("string").alias("record")).repartition(files).write.option("lineSep", "\r\n").text(path)
+    records.select(record.cast("string").alias("record")).write.options(lineSep="\r\n", compression="gzip", maxRecordsPerFile=most).text(path)
 
 
 def parse_warc(data: bytes, name: str) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -243,7 +260,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch.column(0), batch.column(1), strict=True):
-                yield from _batches((row(*r) for r in parse_warc(data.as_py(), name.as_py())), schema)
+                yield from _batches((row(*r) for r in parse_warc(_unpacked(data.as_py()), name.as_py())), schema)
 
     return _read_files(spark, path).mapInArrow(
         parse, "record_id string, record_type string, url string, date string, refers_to_id string, page_id long, payload_bytes long, payload_digest string"
@@ -251,7 +268,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def convert(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: int = 0) -> None:
-    write_warc(with_revisits(stored(synthesise(read_arc(spark, arc_path)), "warc-records"), min_bytes), warc_path)
+    records = stored(synthesise(read_arc(spark, arc_path)), "warc-records")
+    write_warc(with_revisits(records, min_bytes), warc_path, records_per_file(records, F.octet_length("block") + 700))
 
 
 def page_archive(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
