@@ -123,6 +123,34 @@ def similar_pairs(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent
     return both.where(F.col("common") * 100 >= (F.size("set_a") + F.size("set_b") - F.col("common")) * percent).select("a", "b")
 
 
+def _between_components(lists: DataFrame) -> DataFrame:
+    """The posting lists (token, cid, n_shingles, root, ...) that members of several components are on."""
+    mixed = lists.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
+    return lists.join(stored(mixed, "near-mixed"), "token")
+
+
+def _feasible(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``lists`` with ``shared``, how many shingles of a class any other on these lists has, less the rows that rules out.
+
+    A near copy with many changes of its own cannot be similar to anything of its size, and a list
+    tells that from the sizes on it alone, without a trial.
+    """
+    lists = stored(lists, "near-contested")
+    contested = lists.select("cid").distinct().join(sets, "cid").select("cid", F.explode("shingles").alias("shingle"))
+    single = contested.groupBy("shingle").agg(F.count("*").alias("n"), F.min("cid").alias("cid")).where("n = 1")
+    own = stored(single.groupBy("cid").agg(F.count("*").alias("own")), "near-own")
+    left = lists.join(own, "cid", "left").withColumn("shared", F.col("n_shingles") - F.coalesce("own", F.lit(0))).drop("own")
+    # At least percent of the union in common: a partner has at most this many shingles.
+    largest = F.floor(F.col("shared") * (100 + percent) / percent) - F.col("n_shingles")
+    for _ in range(2):
+        left = stored(left, "near-left")
+        sizes = left.groupBy("token").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
+        fits = (F.col("low") <= largest) & (F.col("high") * 100 >= F.col("n_shingles") * percent)
+        left = left.join(stored(sizes, "near-sizes"), "token").where(fits).drop("low", "high")
+        left = _between_components(stored(left, "near-left"))
+    return left
+
+
 def class_components(docs: DataFrame, classes: DataFrame, shingle: int, percent: int, matches: int, id_col: str, text: str) -> DataFrame:
     """(node, root) of the classes that are linked with others. ``classes``: (cid, h, n_shingles, sig), stored."""
     # A smaller set cannot be similar to a set that is not equal.
@@ -137,15 +165,15 @@ def class_components(docs: DataFrame, classes: DataFrame, shingle: int, percent:
     sized = F.least("n", "n_shingles") * 100 >= F.greatest("n", "n_shingles") * percent
     edges = labels = tried = None
     for step in range(ROUNDS + 1):
+        known = lists.withColumn("root", F.col("cid"))
         if labels is not None:
             known = lists.join(labels, lists["cid"] == labels["node"], "left").select(lists["*"], F.coalesce("root", "cid").alias("root"))
-            known = stored(known, "near-known")
-            mixed = stored(known.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token"), "near-mixed")
-            lists = stored(known.join(mixed, "token").drop("root"), "near-lists")
-            known = known.join(mixed, "token")
-        else:
-            known = lists.withColumn("root", F.col("cid"))
-        if lists.isEmpty():
+            known = _between_components(stored(known, "near-known"))
+        if step == ROUNDS:
+            known = _feasible(known, sets, percent)
+        known = stored(known, "near-lists")
+        lists = known.drop("root")
+        if known.isEmpty():
             break
         if step < ROUNDS:
             order = F.struct(F.xxhash64("cid", F.lit(step)), "cid", "n_shingles", "root")
@@ -153,8 +181,9 @@ def class_components(docs: DataFrame, classes: DataFrame, shingle: int, percent:
             met = known.join(pivots, "token").where((F.col("root") != F.col("other")) & sized)
             pairs = met.select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b"))
         else:
-            other = known.select("token", F.col("cid").alias("pivot"), F.col("n_shingles").alias("n"), F.col("root").alias("other"))
-            met = known.join(other, "token").where((F.col("cid") < F.col("pivot")) & (F.col("root") != F.col("other")) & sized)
+            other = known.select("token", F.col("cid").alias("pivot"), F.col("n_shingles").alias("n"), F.col("root").alias("other"), F.col("shared").alias("most"))
+            enough = (F.col("n") + F.col("n_shingles")) * percent <= F.least("shared", "most") * (100 + percent)
+            met = known.join(other, "token").where((F.col("cid") < F.col("pivot")) & (F.col("root") != F.col("other")) & sized & enough)
             pairs = met.select(F.col("cid").alias("a"), F.col("pivot").alias("b"))
         pairs = pairs.distinct()
         pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
