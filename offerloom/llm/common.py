@@ -28,14 +28,15 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, share: int = 1024) -> DataFrame:
+def attach_groups(rows: DataFrame, groups: DataFrame, key: str | list[str], size: str, total: int, share: int = 1024) -> DataFrame:
     """Join each row with the one row of its group, also where one group holds most of all rows.
 
     Groups of more than ``total / share`` rows number less than ``share``, so that they can be
     broadcast; the rest is an ordinary join whose largest key is small. ``groups`` should be stored.
     """
+    keys = [key] if isinstance(key, str) else key
     heavy = groups.where(F.col(size) * share > total)
     light = groups.where(F.col(size) * share <= total)
-    in_heavy = rows.join(F.broadcast(heavy), key)
-    in_light = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key)
+    in_heavy = rows.join(F.broadcast(heavy), keys)
+    in_light = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light, keys)
     return in_heavy.unionByName(in_light)

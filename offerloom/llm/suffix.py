@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerloom.llm.bloom import blocks_for, flagged, present_filter
-from offerloom.llm.common import stored
+from offerloom.llm.common import attach_groups, stored
 from offerloom.llm.shingles import _Powers, mix
 
 SPAN = 200
@@ -269,7 +269,8 @@ def repeated_intervals(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> D
     edges = edge_intervals(docs, classes.join(crowds, "anchor"), span)
     whole = [(F.col("at") - F.col("hi")).alias("start"), (F.col("at") - F.col("lo") + span).alias("stop")]
     same = met.where("not differ").select("id", "h", *whole)
-    copies = differ.join(classes.where("n > 1").select("anchor", "context"), ["anchor", "context"]).select("id", "h", *whole)
+    again = classes.where("n > 1").select("anchor", "context", "n")
+    copies = attach_groups(differ.drop("differ"), again, ["anchor", "context"], "n", met.count()).select("id", "h", *whole)
     return same.unionByName(copies).unionByName(edges)
 
 
