@@ -26,13 +26,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     join with one row per node; at least half of the nodes that still have edges go in a round.
     """
     left = stored(edges.select(F.greatest(a, b).alias("high"), F.least(a, b).alias("low")).where("high <> low").distinct(), "cc-edges")
-    labels = stored(left.select(F.col("high").alias("node")).union(left.select("low")).distinct().withColumn("root", F.col("node")), "cc-labels")
+    labels = left.select(F.col("high").alias("node")).union(left.select("low")).distinct().withColumn("root", F.col("node"))
     while not left.isEmpty():
         roots = _roots(stored(left.groupBy(F.col("high").alias("node")).agg(F.min("low").alias("parent")), "cc-hooks"))
         renamed = roots.select(F.col("node").alias("root"), "parent")
-        labels = stored(labels.join(renamed, "root", "left").select("node", F.coalesce("parent", "root").alias("root")), "cc-labels")
+        labels = labels.join(renamed, "root", "left").select("node", F.coalesce("parent", "root").alias("root"))
         for side in ("high", "low"):
             moved = roots.select(F.col("node").alias(side), F.col("parent").alias("to"))
             left = left.join(moved, side, "left").withColumn(side, F.coalesce("to", side)).drop("to")
         left = stored(left.select(F.greatest("high", "low").alias("high"), F.least("high", "low").alias("low")).where("high <> low").distinct(), "cc-edges")
-    return labels
+    return stored(labels, "cc-labels")

@@ -39,7 +39,7 @@ from offerloom.llm.shingles import Signer, set_key, shingle_set
 COORDINATES = 64
 #: Coordinates in which two sets at the threshold of 0.8 agree at least: mean 51.2, deviation 3.2, so 4.1 deviations below.
 MATCHES = 38
-ROUNDS = 3
+ROUNDS = 2
 
 
 def _row_hash(docs: DataFrame, id_col: str, text: str):
@@ -80,7 +80,7 @@ def post_coordinates(classes: DataFrame, matches: int) -> DataFrame:
                 owners = np.repeat(part.column(0).to_numpy(), values.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(owners), pa.array(tokens.ravel())], ["cid", "token"])
 
-    tokens = stored(classes.select("cid", "sig").mapInArrow(spread, "cid long, token long"), "near-tokens")
+    tokens = classes.select("cid", "sig").mapInArrow(spread, "cid long, token long")
     shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     met = tokens.join(stored(shared, "near-shared"), "token")
     gathered = met.groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("values")).where(F.size("values") >= matches)
@@ -110,14 +110,22 @@ def class_sets(docs: DataFrame, wanted: DataFrame, shingle: int, id_col: str, te
                 found = [shingle_set(x.as_py(), shingle).view(np.int64) for x in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], ["h", "shingles"])
 
-    return near.join(wanted, "h").select("cid", "text").dropDuplicates(["cid"]).select(F.col("cid").alias("h"), "text").mapInArrow(sets, "h long, shingles array<long>").withColumnRenamed("h", "cid")
+    return near.join(wanted, "h").select("h", "cid", "text").dropDuplicates(["h", "cid"]).select(F.col("cid").alias("h"), "text").mapInArrow(sets, "h long, shingles array<long>").withColumnRenamed("h", "cid")
+
+
+def _among(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows (cid, ...) that a Bloom filter says may be among the ids ``wanted``, a few more included, without a shuffle."""
+    hashed = stored(wanted.toDF("cid").select(F.xxhash64("cid").alias("h")).distinct(), "near-ids")
+    blocks = blocks_for(hashed.count())
+    return flagged(rows.withColumn("h", F.xxhash64("cid")), "h", present_filter(hashed, "h", blocks), blocks).where("__maybe").drop("h", "__maybe")
 
 
 def similar_pairs(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, matches: int) -> DataFrame:
     """Of the pairs (a, b), those that pass on signatures and then on the full sets."""
-    sig_a, sig_b = (classes.select(F.col("cid").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
+    sig_a, sig_b = (_among(classes.select("cid", "sig"), pairs.select(F.explode(F.array("a", "b")))).select(F.col("cid").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
     close = pairs.join(sig_a, "a").join(sig_b, "b").where(agreements("sig_a", "sig_b") >= matches).select("a", "b")
     close = stored(close, "near-close")
+    sets = _among(sets, close.select(F.explode(F.array("a", "b"))))
     set_a, set_b = (sets.select(F.col("cid").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
     both = close.join(set_a, "a").join(set_b, "b").withColumn("common", F.size(F.array_intersect("set_a", "set_b")))
     return both.where(F.col("common") * 100 >= (F.size("set_a") + F.size("set_b") - F.col("common")) * percent).select("a", "b")
@@ -136,7 +144,7 @@ def _feasible(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     tells that from the sizes on it alone, without a trial.
     """
     lists = stored(lists, "near-contested")
-    contested = lists.select("cid").distinct().join(sets, "cid").select("cid", F.explode("shingles").alias("shingle"))
+    contested = _among(sets, lists.select("cid")).select("cid", F.explode("shingles").alias("shingle"))
     single = contested.groupBy("shingle").agg(F.count("*").alias("n"), F.min("cid").alias("cid")).where("n = 1")
     own = stored(single.groupBy("cid").agg(F.count("*").alias("own")), "near-own")
     left = lists.join(own, "cid", "left").withColumn("shared", F.col("n_shingles") - F.coalesce("own", F.lit(0))).drop("own")
