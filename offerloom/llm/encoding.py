@@ -47,33 +47,35 @@ class PieceEncoder:
         self.hits = np.zeros(1 << 16, np.int32)
         self.ids = np.zeros(1 << 18, np.uint32)
         self.filled = 0
-        self._add([END], [np.array([self.end_id], np.uint32)])
+        self._add([END], np.array([1]), np.array([self.end_id], np.uint32))
 
-    def _add(self, pieces: Sequence[str], ids: Sequence[np.ndarray]) -> None:
-        first, sizes = len(self.slot), np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-        while first + len(ids) > len(self.start):
-            self.start, self.size, self.hits = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.hits))
+    def _add(self, pieces: Sequence[str], sizes: np.ndarray, flat: np.ndarray) -> None:
+        """New pieces with their ids one after the other in ``flat``."""
         while self.filled + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.start[first : first + len(ids)] = self.filled + np.cumsum(sizes) - sizes
-        self.size[first : first + len(ids)] = sizes
-        self.hits[first : first + len(ids)] = 0
         self.ids[self.filled : self.filled + len(flat)] = flat
+        self._point(pieces, self.filled + np.cumsum(sizes) - sizes, sizes)
         self.filled += len(flat)
-        self.slot.update(zip(pieces, range(first, first + len(ids)), strict=True))
 
-    def _of(self, piece: str) -> np.ndarray:
-        at = self.slot[piece]
-        return self.ids[self.start[at] : self.start[at] + self.size[at]]
+    def _point(self, pieces: Sequence[str], starts: np.ndarray, sizes: np.ndarray) -> None:
+        """New pieces whose ids are held already."""
+        first, last = len(self.slot), len(self.slot) + len(pieces)
+        while last > len(self.start):
+            self.start, self.size, self.hits = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.hits))
+        self.start[first:last], self.size[first:last], self.hits[first:last] = starts, sizes, 0
+        self.slot.update(zip(pieces, range(first, last), strict=True))
+
+    def _gather(self, slots: np.ndarray) -> np.ndarray:
+        """Ids of the slots, one after the other."""
+        sizes = self.size[slots].astype(np.int64)
+        ends = np.cumsum(sizes)
+        return self.ids[np.repeat(self.start[slots] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
     def _encode_new(self, pieces: list[str]) -> None:
         for i in range(0, len(pieces), 10_000):
             part = pieces[i : i + 10_000]
             coded = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            owner = np.array(coded.word_ids, np.int64)
-            ids = np.array(coded.ids, np.uint32)
-            self._add(part, np.split(ids, np.searchsorted(owner, np.arange(1, len(part)))))
+            self._add(part, np.bincount(np.array(coded.word_ids, np.int64), minlength=len(part)), np.array(coded.ids, np.uint32))
 
     def _learn(self, pieces: set[str]) -> None:
         derived, new = [], set()
@@ -86,15 +88,21 @@ class PieceEncoder:
             else:
                 new.add(piece)
         self._encode_new(sorted(new))
-        derived = [d for d in derived if d[0] not in self.slot]
-        self._add([d[0] for d in derived], [np.concatenate([self._of(core), self._of(stop)]) if stop else self._of(core) for _, core, stop in derived])
+        bare = [(piece, self.slot[core]) for piece, core, stop in derived if not stop and piece not in self.slot]
+        ended = [(piece, self.slot[core], self.slot[stop]) for piece, core, stop in derived if stop and piece not in self.slot]
+        cores = np.array([at for _, at in bare], np.int64)
+        self._point([piece for piece, _ in bare], self.start[cores], self.size[cores])
+        pairs = np.array([x[1:] for x in ended], np.int64).reshape(-1, 2)
+        self._add([piece for piece, *_ in ended], self.size[pairs].sum(axis=1).astype(np.int64), self._gather(pairs.ravel()))
 
     def _shrink(self) -> None:
         """Keep what was seen more than once since the last time."""
-        kept = [(p, self._of(p).copy()) for p, at in self.slot.items() if self.hits[at] > 1 and p != END]
+        kept = [(piece, at) for piece, at in self.slot.items() if self.hits[at] > 1 and piece != END]
+        slots = np.array([at for _, at in kept], np.int64)
+        sizes, flat = self.size[slots].astype(np.int64), self._gather(slots)
         self._clear()
         if len(kept) < MAX_PIECES // 2:
-            self._add([p for p, _ in kept], [x for _, x in kept])
+            self._add([piece for piece, _ in kept], sizes, flat)
 
     def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
         """Ids of each text, followed by the end id."""
@@ -107,9 +115,7 @@ class PieceEncoder:
             self._learn(missing)
         slots = np.fromiter(map(self.slot.__getitem__, flat), np.int64, len(flat))
         np.add.at(self.hits, slots, 1)
-        sizes = self.size[slots].astype(np.int64)
-        ends = np.cumsum(sizes)
-        ids = self.ids[np.repeat(self.start[slots] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        ends, ids = np.cumsum(self.size[slots], dtype=np.int64), self._gather(slots)
         bounds = ends[np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces))) - 1] if pieces else []
         found = np.split(ids, bounds[:-1]) if len(bounds) else []
         for i in np.flatnonzero(unsure):
