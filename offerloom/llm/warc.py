@@ -10,8 +10,9 @@ about ``FILE_BYTES`` before compression. Spark's text writer carries the archive
 usual, so any file system will do.
 
 Defined results: a null page is an empty payload; a null URL is ``unknown:``; a record cut short
-by the end of its file is kept and marked ``truncated``; a header line that can't be read is an
-error that names the file; of equal payloads the smallest page is the response (pages without a
+by the end of its file is kept and marked ``truncated``; a record that starts with an HTTP header
+is a response if that header names a page, whatever its URL, or if its URL is of HTTP or of no
+scheme; a header line that can't be read is an error that names the file; of equal payloads the smallest page is the response (pages without a
 number come last), also among repeated rows; an empty table gives an empty archive and table.
 """
 
@@ -20,6 +21,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import re
 import uuid
 from collections.abc import Iterator
 from urllib.parse import quote
@@ -42,6 +44,7 @@ ARC_FIELDS = {
 }
 REVISIT_PROFILE = "http://netpreservation.org/warc/1.1/revisit/identical-payload-digest"
 PAGE_HEADER = b"X-Page-Id:"
+SCHEME = re.compile(r"([A-Za-z][A-Za-z0-9+.-]*):")
 
 ARC_ROW = "file string, offset long, url string, archived string, mime string, status string, block binary, truncated boolean"
 
@@ -83,7 +86,7 @@ def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url: str = "
                     written += 1
                 written += 1
                 payload = body.as_py()
-                page_line = b"" if page.as_py() is None else PAGE_HEADER + b" " + page.as_py().encode() + b"\r\n"
+                page_line = PAGE_HEADER + b" " + (page.as_py() or "").encode() + b"\r\n"
                 block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + page_line + b"\r\n" + payload
                 given = {
                     "URL": quote(address.as_py(), safe="!#$%&'()*+,/:;=?@[]~"), "IP-address": "192.0.2.1", "Archive-date": CAPTURED,
@@ -158,6 +161,21 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
 # WARC
 
 
+def _page_of(head: bytes) -> tuple[bool, int | None]:
+    """Whether an HTTP header names a page, and its number; a page without one has an empty value."""
+    value = next((x[len(PAGE_HEADER) :].strip() for x in head.split(b"\r\n") if x.startswith(PAGE_HEADER)), None)
+    return value is not None, int(value) if value and value.removeprefix(b"-").isdigit() else None
+
+
+def _http_header(url: str, block: bytes) -> bytes:
+    """The HTTP header of a record that is a response, else nothing."""
+    end = block.find(b"\r\n\r\n") + 4
+    if end < 4 or not block.startswith(b"HTTP/"):
+        return b""
+    scheme = SCHEME.match(url)
+    return block[:end] if _page_of(block[:end])[0] or scheme is None or scheme[1].lower() in ("http", "https", "unknown") else b""
+
+
 def synthesise(arc: DataFrame) -> DataFrame:
     """ARC records with what a WARC record needs: id, date, kind, digests and the length of the HTTP header (0: none)."""
     schema = pa.schema([
@@ -168,14 +186,13 @@ def synthesise(arc: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for r in batch.to_pylist():
-                block, http = r["block"], r["url"].split(":", 1)[0].lower() in ("http", "https", "unknown") and r["block"].startswith(b"HTTP/")
-                end = block.find(b"\r\n\r\n") + 4 if http else 0
-                head, payload = (block[:end], block[end:]) if end >= 4 else (b"", block)
+                block, head = r["block"], _http_header(r["url"], r["block"])
+                payload = block[len(head) :]
                 day = (r["archived"] + "0101000000"[len(r["archived"]) - 4 :] if len(r["archived"]) < 14 else r["archived"])[:14]
                 date = f"{day[:4]}-{day[4:6]}-{day[6:8]}T{day[8:10]}:{day[10:12]}:{day[12:14]}Z"
                 whole = sha1_base32(block)
                 name = uuid.uuid5(uuid.NAMESPACE_URL, f"{r['file']}:{r['offset']} {r['url']} {whole}")
-                page = next((int(x[len(PAGE_HEADER) :]) for x in head.split(b"\r\n") if x.startswith(PAGE_HEADER)), None)
+                page = _page_of(head)[1]
                 mime = "application/http; msgtype=response" if head else r["mime"]
                 yield f"urn:uuid:{name}", date, "response" if head else "resource", r["url"], mime, len(head), len(payload), sha1_base32(payload), whole, page, r["truncated"], block
 
@@ -246,7 +263,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     def row(head: dict[str, str], block: bytes) -> tuple:
         http = head["Content-Type"].startswith("application/http")
         end = block.find(b"\r\n\r\n") + 4 if http else 0
-        page = next((int(x[len(PAGE_HEADER) :]) for x in block[:end].split(b"\r\n") if x.startswith(PAGE_HEADER)), None)
+        page = _page_of(block[:end])[1]
         revisit = head["WARC-Type"] == "revisit"
         declared = head.get("WARC-Payload-Digest", "").removeprefix("sha1:")
         found = declared if revisit else sha1_base32(block[end:])

@@ -37,6 +37,13 @@ def test_small_payloads_are_never_revisits(spark):
     assert found == {(1, "response"), (3, "response")}
 
 
+def test_pages_of_any_url_are_responses(spark):
+    urls = ["http://a.org/", "", "example.org/x", "example.org:80/x", "ftp://a.org/f", "mailto:a@b", "HTTPS://a.org/", "filedesc://x", None]
+    rows = [(i, u, "same") for i, u in enumerate(urls)] + [(None, "ftp://a.org/f", "other"), (-3, "", "below")]
+    got = {(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.page_archive(pages(spark, rows).repartition(2)).collect()}
+    assert got == {(i, 4, "revisit" if i else "response", 0 if i else None) for i in range(len(urls))} | {(None, 5, "response", None), (-3, 5, "response", None)}
+
+
 def test_no_rows(spark):
     assert warc.page_archive(pages(spark, [])).count() == 0
 
