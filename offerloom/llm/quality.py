@@ -3,8 +3,9 @@
 Labellers look at a whole text and vote good, bad or nothing. Only the number of documents per
 vote pattern matters to the label model (at most 3 ** labellers counts, over all documents), so
 expectation-maximisation runs on those counts. The posterior of a document's pattern is its
-label for a logistic scorer over hashed features; the scorer is fitted on a sample of about
-``train_docs`` documents chosen by hash and then judges every document by its whole text.
+label for a logistic scorer over hashed features; the scorer is fitted on a sample of at most
+``train_docs`` distinct texts and then judges every document by its whole text. A text with
+many copies is drawn in proportion to them, and comes in once with a weight.
 
 Defined results: a null or blank text has no words and is rejected with score 1; one too short
 for the labellers gets few votes and is kept unless its features speak against it; copies get
@@ -172,8 +173,8 @@ class Scorer:
         return float(_sigmoid(self.weights[at] @ value + self.bias))
 
 
-def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray, float]], rounds: int = 300, rate: float = 0.5, ridge: float = 1e-5) -> Scorer:
-    """Logistic regression on posterior labels by full-batch AdaGrad."""
+def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray, float]], rounds: int = 300, rate: float = 0.5, ridge: float = 1e-5, weight: list[float] | None = None) -> Scorer:
+    """Logistic regression on posterior labels by full-batch AdaGrad; a row counts as often as its ``weight``, or once."""
     weights, bias = np.zeros(FEATURES), 0.0
     if not rows:
         return Scorer(weights, -2.0)
@@ -181,10 +182,12 @@ def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray, float]], rounds: int = 3
     value = np.concatenate([r[1] for r in rows])
     owner = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
     label = np.array([r[2] for r in rows])
+    part = np.ones(len(rows)) if weight is None else np.array(weight, float)
+    part /= part.sum()
     past, past_bias = np.full(FEATURES, 1e-8), 1e-8
     for _ in range(rounds):
         margin = np.bincount(owner, weights[at] * value, len(rows)) + bias
-        error = (1 / (1 + np.exp(-np.clip(margin, -50, 50))) - label) / len(rows)
+        error = (1 / (1 + np.exp(-np.clip(margin, -50, 50))) - label) * part
         slope = np.bincount(at, error[owner] * value, FEATURES) + ridge * weights
         past += slope**2
         past_bias += error.sum() ** 2
@@ -206,25 +209,45 @@ def pattern_counts(docs: DataFrame, text: str = "text") -> dict[int, int]:
     return {r["pattern"]: r["n"] for r in counted.collect()}
 
 
+def draw(docs: DataFrame, share: float, most: int, text: str = "text") -> DataFrame:
+    """(h, weight): hashes of at most ``most`` distinct texts and how many sampled documents each stands for.
+
+    A text with n copies is drawn with probability n * ``share``, where that is under 1, and else
+    for certain with weight n * ``share``. The limit takes the smallest values of hash / n.
+    """
+    counted = docs.select(F.xxhash64(docs[text]).alias("h")).where(docs[text].isNotNull()).groupBy("h").agg(F.count("*").alias("n"))
+    place = F.shiftrightunsigned("h", 11) / F.lit(2.0**53) / F.col("n")
+    drawn = counted.select("h", place.alias("place"), F.greatest(F.lit(1.0), F.col("n") * share).alias("weight")).where(F.col("place") < share)
+    return drawn.orderBy("place", "h").limit(most).select("h", "weight")
+
+
 def fit(docs: DataFrame, text: str = "text", train_docs: int = TRAIN_DOCS) -> tuple[LabelModel, Scorer]:
     """Both models from the documents; no given labels are read."""
     counts = pattern_counts(docs, text)
     model = fit_label_model(counts)
-    share = min(1.0, train_docs / max(1, sum(counts.values())))
-    part = docs.select(docs[text].alias("text")).where((F.shiftrightunsigned(F.xxhash64("text"), 32) / F.lit(2.0**32) < share) & F.col("text").isNotNull())
+    chosen = draw(docs, min(1.0, train_docs / max(1, sum(counts.values()))), train_docs, text)
+    part = docs.select(F.xxhash64(docs[text]).alias("h"), docs[text].alias("text")).where("text is not null").join(F.broadcast(chosen), "h")
 
     def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
         for batch in batches:
             rows = []
-            for t in batch["text"]:
+            for h, t, weight in zip(batch["h"], batch["text"], batch["weight"], strict=True):
+                if h in seen:
+                    continue
+                seen.add(h)
                 about = Text.of(t)
                 at, value = features(t, about)
-                rows.append((votes_of(about), at.astype("<i4").tobytes(), value.astype("<f4").tobytes()))
-            yield pd.DataFrame(rows, columns=["pattern", "at", "value"])
+                rows.append((h, weight, votes_of(about), at.astype("<i4").tobytes(), value.astype("<f4").tobytes()))
+            yield pd.DataFrame(rows, columns=["h", "weight", "pattern", "at", "value"])
 
     known = {p: model.posterior(p) for p in counts}
-    rows = part.mapInPandas(sample, "pattern long, at binary, value binary").collect()
-    return model, fit_scorer([(np.frombuffer(r["at"], "<i4").astype(np.int64), np.frombuffer(r["value"], "<f4").astype(float), known[r["pattern"]]) for r in rows])
+    one = F.max(F.struct("weight", "pattern", "at", "value")).alias("r")
+    found = part.select("h", "text", "weight").mapInPandas(sample, "h long, weight double, pattern long, at binary, value binary").groupBy("h").agg(one).collect()
+    rows = [x["r"] for x in sorted(found, key=lambda x: x["h"])]
+    return model, fit_scorer(
+        [(np.frombuffer(r["at"], "<i4").astype(np.int64), np.frombuffer(r["value"], "<f4").astype(float), known[r["pattern"]]) for r in rows], weight=[r["weight"] for r in rows]
+    )
 
 
 def judge(docs: DataFrame, text: str = "text", train_docs: int = TRAIN_DOCS, reject_from: float = 0.5) -> DataFrame:

@@ -2,6 +2,7 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from offerloom.llm import quality
 
@@ -52,3 +53,16 @@ def test_label_model_finds_accuracies():
 def test_clean_texts_alone_are_kept(spark):
     docs = spark.createDataFrame([(i, f"The plain text number {i} says a few things in order. It ends here, as it should.") for i in range(50)], "doc_id long, text string")
     assert quality.judge(docs).where("not accepted").count() == 0
+
+
+def test_sample_is_bounded_with_many_copies(spark, monkeypatch):
+    """Texts of the smallest hashes, each with a third of all rows, come in once and with the weight of their copies."""
+    ids = spark.range(3000).select(F.concat(F.lit("hot text "), "id").alias("text"))
+    hot = [r.text for r in ids.orderBy(F.shiftrightunsigned(F.xxhash64("text"), 1)).limit(2).collect()]
+    rows = [(t,) for t in hot * 200] + [(f"single text {i}",) for i in range(200)]
+    held, fitted = [], quality.fit_scorer
+    monkeypatch.setattr(quality, "fit_scorer", lambda rows, **kw: held.append((rows, kw.get("weight"))) or fitted(rows, **kw))
+    quality.fit(spark.createDataFrame(rows, "text string").repartition(3), train_docs=30)
+    (sample, weight), = held
+    assert 2 < len(sample) <= 30
+    assert sorted(weight)[-2:] == [10.0, 10.0] and set(sorted(weight)[:-2]) == {1.0}
