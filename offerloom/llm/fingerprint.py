@@ -1,9 +1,10 @@
 """Document fingerprints: threshold-scaled sketches of word shingles, from built-in functions only.
 
 A sketch keeps every shingle hash below a fixed fraction of the hash range, and always the
-smallest hash, so that no sketch is empty. Its size grows with the document, hence the share of
-a short document that a long one contains can be estimated; the sketch of a union is made from
-the sketches of its parts.
+smallest hash, so that no sketch is empty. Its size grows with the document; the sketch of a
+union is made from the sketches of its parts. Sketches say little of documents with few
+shingles: where the shorter of two documents has at most ``WHOLE`` of them, the two are compared
+by all their hashes, which come from the texts, and the results are exact.
 
 Defined results: a null text is empty; a text of fewer than five words is one shingle; of the
 documents in ascending id, rows with equal ids follow one another by the hash of their text and
@@ -13,7 +14,7 @@ an empty table gives an empty table; further columns are left out.
 
 from __future__ import annotations
 
-from math import ceil, log2
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,25 +24,33 @@ from offerloom.llm.common import WORD
 SHINGLE = 5
 #: One hash in so many is kept.
 SCALE = 8
-#: Most groups of neighbouring ids; their first rows are broadcast.
+#: Documents of at most so many shingles are compared by all of them.
+WHOLE = 512
+#: Most groups of neighbouring ids, and rows looked at for each to find the bounds; the groups' first rows are broadcast.
 MAX_GROUPS = 65_536
+LOOKED_AT = 16
 
 
 def _below(hashes: Column, scale: int) -> Column:
     """The retained part of an array of hashes in [0, 2**63), sorted."""
-    limit = F.lit(2**63 // scale)
-    return F.array_sort(F.array_distinct(F.concat(F.array(F.array_min(hashes)), F.filter(hashes, lambda h: h < limit))))
+    last = F.lit(2**63 // scale - 1)
+    return F.array_sort(F.array_distinct(F.concat(F.array(F.array_min(hashes)), F.filter(hashes, lambda h: h <= last))))
 
 
 def sketch(text: Column, scale: int = SCALE, shingle: int = SHINGLE) -> Column:
     """Sorted array of the retained shingle hashes of a text."""
+    return sized_sketch(text, scale, shingle)["kept"]
+
+
+def sized_sketch(text: Column, scale: int = SCALE, shingle: int = SHINGLE) -> Column:
+    """``kept``: the sketch of a text, and ``n``: its number of shingles."""
 
     def of(words: Column) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (shingle - 1), F.lit(1)))
         return F.transform(starts, lambda i: F.shiftrightunsigned(F.xxhash64(F.slice(words, i, shingle)), 1))
 
     words = F.array(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({WORD})")))
-    return F.transform(F.transform(words, of), lambda hashes: _below(hashes, scale))[0]
+    return F.transform(F.transform(words, of), lambda hashes: F.struct(F.size(hashes).alias("n"), _below(hashes, scale).alias("kept")))[0]
 
 
 def merged(a: Column, b: Column, scale: int = SCALE) -> Column:
@@ -64,18 +73,41 @@ def as_text(hashes: Column) -> Column:
     return F.array_join(F.transform(hashes, lambda h: F.lower(F.hex(h))), ",")
 
 
+def _bounds(keyed: DataFrame, tie: str, n: int) -> list[tuple]:
+    """(key, tie) at which groups of about equal size begin, from a sample of the rows."""
+    groups = max(1, min(MAX_GROUPS, n // 2048))
+    if groups == 1:
+        return []
+    looked_at = sorted(tuple(r) for r in keyed.select("__key", tie).sample(min(1.0, LOOKED_AT * groups / n), 7).collect())
+    return sorted(set(looked_at[LOOKED_AT::LOOKED_AT]))
+
+
+def _group(bounds: list[tuple], key: Column, tie: Column) -> Column:
+    """How many bounds are at or below (key, tie), by halving."""
+    if not bounds:
+        return F.lit(0).cast("long")
+    keys, ties = (F.array(*map(F.lit, x)) for x in zip(*bounds, strict=True))
+    keys = keys.cast("array<decimal(20,0)>")
+
+    def halve(at: Column, step: Column) -> Column:
+        i = (at + step - 1).cast("int")
+        at_or_below = (F.get(keys, i) < key) | ((F.get(keys, i) == key) & (F.get(ties, i) <= tie))
+        return F.when(F.coalesce(at_or_below, F.lit(False)), at + step).otherwise(at)
+
+    steps = F.array(*(F.lit(2**k).cast("long") for k in reversed(range(len(bounds).bit_length()))))
+    return F.aggregate(steps, F.lit(0).cast("long"), halve)
+
+
 def with_next(rows: DataFrame, id_col: str, tie: str, values: list[str]) -> DataFrame:
     """``rows`` with ``next_<value>`` of the row that follows in ascending id, the first after the last.
 
     Rows meet in groups of neighbouring ids; the first row of each group also goes to the group
     before it. There are at most ``MAX_GROUPS`` groups, however many rows.
     """
-    low, high, n = rows.agg(F.min(id_col), F.max(id_col), F.count("*")).first()
-    low, high = (low, high) if low is not None else (0, 0)
-    groups = max(1, min(MAX_GROUPS, n // 2048))
-    width = 2 ** max(0, ceil(log2((high - low + 1) / groups)))
-    key = F.coalesce((F.col(id_col).cast("decimal(20,0)") - low), F.lit(high - low + 1).cast("decimal(20,0)"))
-    placed = rows.withColumn("__key", key).withColumn("__group", F.floor(F.col("__key") / width).cast("long"))
+    high, n = rows.agg(F.max(id_col), F.count("*")).first()
+    key = F.coalesce(F.col(id_col).cast("decimal(20,0)"), F.lit(Decimal((high if high is not None else 0) + 1)).cast("decimal(20,0)"))
+    keyed = rows.withColumn("__key", key)
+    placed = keyed.withColumn("__group", _group(_bounds(keyed, tie, n), F.col("__key"), F.col(tie)))
     firsts = placed.groupBy("__group").agg(F.min(F.struct("__key", tie)).alias("__first"))
     order = Window.orderBy("__group")
     before = F.coalesce(F.lag("__group").over(order), F.max("__group").over(Window.partitionBy()))
@@ -91,20 +123,32 @@ def with_next(rows: DataFrame, id_col: str, tie: str, values: list[str]) -> Data
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", scale: int = SCALE) -> DataFrame:
     """One row per document: its sketch, that of its edited text and how alike they and the next document's are."""
     body = F.coalesce(docs[text], F.lit(""))
-    rows = docs.select(docs[id_col].alias(id_col), body.alias("text"), F.xxhash64(body).alias("__tie"), sketch(body, scale).alias("sketch"))
-    met = with_next(rows, id_col, "__tie", ["text", "sketch"])
-    n = F.char_length("text")
-    moved = F.floor(n / 4).cast("int")
+    sized = docs.select(docs[id_col].alias(id_col), body.alias("text"), F.xxhash64(body).alias("__tie"), sized_sketch(body, scale).alias("sized"))
+    rows = sized.select(id_col, "text", "__tie", F.col("sized.n").alias("n"), F.col("sized.kept").alias("sketch"))
+    met = with_next(rows, id_col, "__tie", ["text", "n", "sketch"])
+    length = F.char_length("text")
+    moved = F.floor(length / 4).cast("int")
     edited = met.select(
-        id_col, n.cast("long").alias("n_chars"), "sketch", "next_sketch",
-        F.concat(F.substring("text", F.lit(1), n - moved), F.substring("next_text", F.lit(1), moved)).alias("edited"),
-    )
-    known = edited.select(
-        id_col, "n_chars", "sketch", "next_sketch", F.sha2("edited", 256).alias("edited_sha256"), sketch(F.col("edited"), scale).alias("edited_sketch")
+        id_col, length.cast("long").alias("n_chars"), "text", "n", "sketch", "next_text", "next_n", "next_sketch",
+        F.concat(F.substring("text", F.lit(1), length - moved), F.substring("next_text", F.lit(1), moved)).alias("edited"),
     )
-    own, other, following = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
-    return known.select(
-        id_col, "n_chars", "edited_sha256", as_text(own).alias("fingerprint"), as_text(other).alias("edited_fingerprint"),
-        containment(own, other).alias("near_edited"), containment(own, following).alias("near_next"),
-        resemblance(own, other, scale).alias("jaccard_edited"), resemblance(own, following, scale).alias("jaccard_next"),
+    known = edited.withColumn("edited_sized", sized_sketch(F.col("edited"), scale))
+    known = known.withColumns({"edited_n": F.col("edited_sized.n"), "edited_sketch": F.col("edited_sized.kept")})
+    few = {other: F.least("n", f"{other}_n") <= WHOLE for other in ("edited", "next")}
+    own = known.withColumn("all", F.when(few["edited"] | few["next"], sketch(F.col("text"), 1)))
+    own = own.withColumns({
+        "edited_all": F.when(few["edited"], sketch(F.col("edited"), 1)), "next_all": F.when(few["next"], sketch(F.col("next_text"), 1)),
+    })
+
+    def likeness(of: str) -> tuple[Column, Column]:
+        whole, kept = (F.col("all"), F.col(f"{of}_all")), (F.col("sketch"), F.col(f"{of}_sketch"))
+        return (
+            F.when(few[of], containment(*whole)).otherwise(containment(*kept)).alias(f"near_{of}"),
+            F.when(few[of], resemblance(*whole, 1)).otherwise(resemblance(*kept, scale)).alias(f"jaccard_{of}"),
+        )
+
+    (near_edited, jaccard_edited), (near_next, jaccard_next) = likeness("edited"), likeness("next")
+    return own.select(
+        id_col, "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("sketch")).alias("fingerprint"), as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
+        near_edited, near_next, jaccard_edited, jaccard_next,
     )

@@ -51,3 +51,27 @@ def test_sketches_merge_and_estimate(spark):
     ).first()
     assert out.c == pytest.approx(996 / 1196, abs=0.1) and out.j == pytest.approx(996 / 4196, abs=0.06)
     assert set(out.m) <= set(out.u) and len(set(out.u) - set(out.m)) <= 6
+
+
+def test_short_texts_are_found_in_long_ones(spark):
+    rows = []
+    for i in range(40):
+        words = [f"w{i}x{j}" for j in range(3000)]
+        rows += [(2 * i, " ".join(words[100 : 105 + i % 10])), (2 * i + 1, " ".join(words))]
+    got = {r.doc_id: r for r in fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[2 * i].near_next == 1.0 for i in range(40))
+    assert all(got[2 * i].jaccard_next == (1 + i % 10) / 2996 for i in range(40))
+    assert all(got[2 * i + 1].near_next == 0.0 for i in range(40))
+
+
+def test_an_outlying_id_or_null_ids_do_not_fill_one_group(spark):
+    rows = [(i, f"w{i}") for i in range(20_000)] + [(2**62, "far"), (-(2**62), "low")] + [(None, f"n{i}") for i in range(20_000)]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(5)
+    n = len(rows)
+    keyed = df.withColumn("__key", fingerprint.F.coalesce(df["id"].cast("decimal(20,0)"), fingerprint.F.lit(2**62 + 1).cast("decimal(20,0)")))
+    bounds = fingerprint._bounds(keyed, "text", n)
+    sizes = keyed.groupBy(fingerprint._group(bounds, keyed["__key"], keyed["text"])).count().collect()
+    assert max(r["count"] for r in sizes) < n / 5
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    found = {r.text: r.next_text for r in fingerprint.with_next(df, "id", "text", ["text"]).collect()}
+    assert found == {a[1]: b[1] for a, b in zip(order, order[1:] + order[:1], strict=True)}
