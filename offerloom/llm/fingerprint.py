@@ -43,14 +43,14 @@ def sketch(text: Column, scale: int = SCALE, shingle: int = SHINGLE) -> Column:
 
 
 def sized_sketch(text: Column, scale: int = SCALE, shingle: int = SHINGLE) -> Column:
-    """``kept``: the sketch of a text, and ``n``: its number of shingles."""
+    """``kept``: the sketch of a text (of scale 1: all hashes, unsorted), and ``n``: its number of shingles."""
 
     def of(words: Column) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (shingle - 1), F.lit(1)))
         return F.transform(starts, lambda i: F.shiftrightunsigned(F.xxhash64(F.slice(words, i, shingle)), 1))
 
     words = F.array(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({WORD})")))
-    return F.transform(F.transform(words, of), lambda hashes: F.struct(F.size(hashes).alias("n"), _below(hashes, scale).alias("kept")))[0]
+    return F.transform(F.transform(words, of), lambda hashes: F.struct(F.size(hashes).alias("n"), (_below(hashes, scale) if scale > 1 else F.array_distinct(hashes)).alias("kept")))[0]
 
 
 def merged(a: Column, b: Column, scale: int = SCALE) -> Column:
@@ -142,9 +142,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sc
 
     def likeness(of: str) -> tuple[Column, Column]:
         whole, kept = (F.col("all"), F.col(f"{of}_all")), (F.col("sketch"), F.col(f"{of}_sketch"))
+        both = F.size(F.array_intersect(*whole))
         return (
             F.when(few[of], containment(*whole)).otherwise(containment(*kept)).alias(f"near_{of}"),
-            F.when(few[of], resemblance(*whole, 1)).otherwise(resemblance(*kept, scale)).alias(f"jaccard_{of}"),
+            F.when(few[of], both / (F.size(whole[0]) + F.size(whole[1]) - both)).otherwise(resemblance(*kept, scale)).alias(f"jaccard_{of}"),
         )
 
     (near_edited, jaccard_edited), (near_next, jaccard_next) = likeness("edited"), likeness("next")
