@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from offerloom.llm.common import stored
 
 
-def _roots(parents: DataFrame) -> DataFrame:
+def forest_roots(parents: DataFrame) -> DataFrame:
     """(node, parent) forest to (node, root): paths halve in every step."""
     while True:
         above = parents.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
@@ -28,7 +28,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     left = stored(edges.select(F.greatest(a, b).alias("high"), F.least(a, b).alias("low")).where("high <> low").distinct(), "cc-edges")
     labels = left.select(F.col("high").alias("node")).union(left.select("low")).distinct().withColumn("root", F.col("node"))
     while not left.isEmpty():
-        roots = _roots(stored(left.groupBy(F.col("high").alias("node")).agg(F.min("low").alias("parent")), "cc-hooks"))
+        roots = forest_roots(stored(left.groupBy(F.col("high").alias("node")).agg(F.min("low").alias("parent")), "cc-hooks"))
         renamed = roots.select(F.col("node").alias("root"), "parent")
         labels = labels.join(renamed, "root", "left").select("node", F.coalesce("parent", "root").alias("root"))
         for side in ("high", "low"):

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from offerloom.llm import chat, exact, fingerprint, mixing, near, packing, quality, suffix, urls, warc
+from offerloom.llm import chat, exact, fingerprint, mixing, near, negatives, ngrams, packing, quality, suffix, urls, variants, warc
 from offerloom.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,3 +175,74 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_suffix_dedup")
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
+@query("op11_quality_rules")
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = ngrams.judge(docs, read_table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "bad_probability")
+
+
+@query(
+    "op12_hard_negatives",
+    """
+    WITH v AS (
+      SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label::BIGINT END AS label, [floor(256 * x::DOUBLE) FOR x IN embedding] AS q
+      FROM embeddings
+      WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+    s AS (
+      SELECT a.vec_id AS anchor_id, r.vec_id AS other_id, a.label = r.label AS same, list_dot_product(a.q, r.q)::BIGINT AS score
+      FROM v a, v r WHERE a.vec_id % 100 = 0 AND r.vec_id IS DISTINCT FROM a.vec_id),
+    p AS (
+      SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id NULLS LAST) <= 5),
+    n AS (
+      SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id NULLS LAST)::INTEGER AS rank,
+        other_id AS negative_id, positive_score, score AS negative_score
+      FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 100 * score BETWEEN 30 * positive_score AND 90 * positive_score)
+    SELECT * FROM n WHERE rank <= 10
+    """,
+)
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
+    return negatives.mine_negatives(vectors, F.col("vec_id") % 100 == 0, label)
+
+
+#: Latin-1 letters stand for single bytes in the SQL, whose edit distance counts bytes.
+ONE_BYTE = "translate({0}, 'ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖ×ØÙÚÛÜÝÞßàáâãäåæçèéêëìíîïðñòóôõö÷øùúûüýþÿ', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789!#$%&()*+,-./:;<=>?@[]^_{{|')"
+
+VARIANTS_SQL = rf"""
+    WITH RECURSIVE crc AS (
+      SELECT [list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) FOR i IN range(256)] AS steps),
+    runs AS (
+      SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+    counted AS (SELECT doc_id, run, count(*) AS n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS hexed FROM runs GROUP BY ALL),
+    hashed AS (
+      SELECT run, n, xor(4294967295::BIGINT, list_reduce(
+        list_prepend(4294967295::BIGINT, [('0x' || substr(hexed, 2 * i + 1, 2))::BIGINT FOR i IN range(length(hexed) // 2)]),
+        lambda c, b: xor(c >> 8, steps[1 + (xor(c, b) & 255)]))) AS h
+      FROM counted, crc),
+    words AS (
+      SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::INTEGER) || substr(run, (h % length(run))::INTEGER + 2) ELSE run END AS word, sum(n)::BIGINT AS n
+      FROM hashed GROUP BY 1 HAVING length(word) >= 6 AND sum(n) >= 5),
+    cuts AS (SELECT word, n, unnest(list_prepend(word, [substr(word, 1, i) || substr(word, i + 2) FOR i IN range(length(word))])) AS cut FROM words),
+    met AS (SELECT DISTINCT a.word, b.word AS form, b.n FROM cuts a JOIN cuts b ON a.cut = b.cut AND a.word <> b.word),
+    near AS (
+      SELECT word, count(*) AS n_near, min(struct_pack(less := -n, form := form)) AS best
+      FROM met WHERE levenshtein({ONE_BYTE.format('word')}, {ONE_BYTE.format('form')}) = 1 GROUP BY 1),
+    formed AS (
+      SELECT w.word, CASE WHEN -best.less >= 5 * n THEN best.form END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.less >= 5 * n THEN -best.less END AS form_n
+      FROM words w LEFT JOIN near USING (word)),
+    chain AS (
+      SELECT word, word AS root FROM formed
+      UNION ALL SELECT c.word, f.form FROM chain c JOIN formed f ON f.word = c.root WHERE f.form IS NOT NULL)
+    SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n
+    FROM formed f JOIN chain c ON c.word = f.word JOIN formed last ON last.word = c.root AND last.form IS NULL
+    """
+
+
+@query("op13_spelling_variants", VARIANTS_SQL)
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(read_table(spark, sf_dir, "documents"))
