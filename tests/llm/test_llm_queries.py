@@ -19,7 +19,7 @@ def test_query(spark, name):
         assert len(rows) >= spark.read.parquet(f"{FOLDER}/documents.parquet").count()
         return
     db = duckdb.connect()
-    for table in ("documents", "pages", "conversations"):
+    for table in ("documents", "pages", "conversations", "embeddings"):
         db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
     cur = db.execute(ORACLES[name])
     columns = [d[0] for d in cur.description]
