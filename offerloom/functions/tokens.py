@@ -402,8 +402,11 @@ def without_deal_words(query: Column) -> Column:
     return F.array_join(F.filter(words(F.lower(query)), lambda w: ~w.isin(*DEAL_WORDS)), " ")
 
 
-def typo_patterns(token: Column, limit: int = 20) -> Column:
-    """Patterns within one edit: deletions, then `_` in place of a letter, then `_` between letters."""
+def typo_patterns(token: Column, limit: int | None = None, longest: int | None = None) -> Column:
+    """Patterns within one edit: deletions, then `_` in place of a letter, then `_` between letters.
+
+    ``limit`` keeps the first patterns only, ``longest`` gives longer words none.
+    """
     n = F.length(token)
 
     def cut(i: Column, fill: str, skip: int) -> Column:
@@ -413,6 +416,8 @@ def typo_patterns(token: Column, limit: int = 20) -> Column:
     drop = F.filter(F.transform(places, lambda i: cut(i, "", 1)), lambda v: F.length(v) >= 2)
     swap = F.transform(places, lambda i: cut(i, "_", 1))
     grow = F.transform(F.sequence(F.lit(0), n), lambda i: cut(i, "_", 0))
-    patterns = F.slice(F.array_distinct(F.concat(drop, swap, grow)), 1, limit)
-    none = F.array().cast("array<string>")
-    return F.when(n < 3, F.array(token)).when(n > 12, none).otherwise(patterns)
+    patterns = F.array_distinct(F.concat(drop, swap, grow))
+    if limit is not None:
+        patterns = F.slice(patterns, 1, limit)
+    found = F.when(n < 3, F.array(token)).otherwise(patterns)
+    return found if longest is None else F.when(n <= longest, found).otherwise(F.array().cast("array<string>"))

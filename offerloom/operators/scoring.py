@@ -52,27 +52,22 @@ def candidate_pairs(queries: DataFrame, texts: DataFrame) -> DataFrame:
     return hits.select("q", "word").distinct().join(postings, "word").select("q", "text").distinct()
 
 
-def close_typo(query_words: Column, offer_words: Column) -> Column:
-    """Every query word has five or more letters and is within one or two edits of an offer word, or of a part of a barely longer one."""
-
-    def near(qw: Column) -> Column:
-        limit = F.when(F.length(qw) <= 7, 1).otherwise(2)
+def near_word(word: Column, other: Column) -> Column:
+    """The query word has five or more letters and is within one or two edits of the other, or of a part of it if that is barely longer."""
+    limit = F.when(F.length(word) <= 7, 1).otherwise(2)
 
-        def within(other: Column) -> Column:
-            return F.levenshtein(qw, other) <= limit
+    def within(text: Column) -> Column:
+        return F.levenshtein(word, text) <= limit
 
-        def window(ow: Column) -> Column:
-            starts = F.sequence(F.lit(1), F.greatest(F.length(ow) - F.length(qw) + 1, F.lit(1)))
-            return F.exists(starts, lambda i: within(F.substring(ow, i, F.length(qw))))
+    starts = F.sequence(F.lit(1), F.greatest(F.length(other) - F.length(word) + 1, F.lit(1)))
+    direct = (F.abs(F.length(word) - F.length(other)) <= limit) & within(other)
+    longer = (F.length(other) > F.length(word)) & (F.length(word) / F.length(other) > 0.85)
+    return (F.length(word) >= 5) & (direct | (longer & F.exists(starts, lambda i: within(F.substring(other, i, F.length(word))))))
 
-        def match(ow: Column) -> Column:
-            direct = (F.abs(F.length(qw) - F.length(ow)) <= limit) & within(ow)
-            longer = (F.length(ow) > F.length(qw)) & (F.length(qw) / F.length(ow) > 0.85)
-            return direct | (longer & window(ow))
 
-        return (F.length(qw) >= 5) & F.exists(offer_words, match)
-
-    return F.forall(query_words, near)
+def close_typo(query_words: Column, offer_words: Column) -> Column:
+    """Every query word is near some offer word."""
+    return F.forall(query_words, lambda word: F.exists(offer_words, lambda other: near_word(word, other)))
 
 
 def structure(q: str = "qv", o: str = "ov") -> dict[str, Column]:

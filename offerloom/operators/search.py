@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from offerloom.functions.literals import literal_map
 from offerloom.functions.numbers import round_to
 from offerloom.functions.text import normalize_search_text, normalize_text, words
-from offerloom.functions.tokens import token_forms, typo_patterns
-from offerloom.operators.scoring import containing_words, grams
+from offerloom.functions.tokens import token_forms
+from offerloom.operators import typos
+from offerloom.operators.scoring import containing_words
 
 # Column weights and the usual constants of the ranking function.
 COLUMN_WEIGHTS = {"name": 8.0, "brand": 5.0, "description": 1.5, "search": 3.0, "chain": 0.5}
@@ -107,21 +108,8 @@ def bm25(queries: DataFrame, index: DataFrame, doc_id: str) -> DataFrame:
 
 
 def typo_search(queries: DataFrame, texts: DataFrame) -> DataFrame:
-    """(q, text): every query word is met by one of its one-edit patterns somewhere in the normalised text.
-
-    A pattern and a text meet on the first letters of the longer literal piece of the pattern.
-    """
-    forms = query_forms(queries)
-    patterns = forms.select("q", "token_no", F.explode(typo_patterns(F.col("form"))).alias("pattern")).distinct()
-    usable = patterns.groupBy("q").agg(F.countDistinct("token_no").alias("n_tokens"))
-    parts = F.split("pattern", "_")
-    head, tail = F.get(parts, F.lit(0)), F.coalesce(F.get(parts, F.lit(1)), F.lit(""))
-    piece = F.when(F.length(tail) > F.length(head), tail).otherwise(head)
-    keyed = patterns.join(usable, "q").withColumn("gram", F.substring(piece, 1, 3))
-    norm = texts.select("text", normalize_search_text(F.col("text")).alias("norm"))
-    pieces = norm.select("text", "norm", F.explode(grams(F.col("norm"), [1, 2, 3])).alias("gram"))
-    hits = pieces.join(keyed, "gram").where(F.like(F.col("norm"), F.concat(F.lit("%"), F.col("pattern"), F.lit("%"))))
-    return all_tokens_hit(hits, "text")
+    """(q, text): every query word is met, by one of its forms with one or two typos, somewhere in the normalised text."""
+    return typos.typo_search(query_forms(queries), texts)
 
 
 def cascade(prefix: DataFrame, substring: DataFrame, fuzzy: DataFrame, doc_id: str) -> DataFrame:

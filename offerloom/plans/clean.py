@@ -389,12 +389,12 @@ def _typo_sql(token: str) -> str:
     drop = f"list_filter(list_transform({places}, lambda i: substr({token}, 1, i) || substr({token}, i + 2)), lambda z: length(z) >= 2)"
     swap = f"list_transform({places}, lambda i: substr({token}, 1, i) || '_' || substr({token}, i + 2))"
     grow = f"list_transform(range(0, length({token}) + 1), lambda i: substr({token}, 1, i) || '_' || substr({token}, i + 1))"
-    return f"CASE WHEN length({token}) < 3 THEN [{token}] WHEN length({token}) > 12 THEN [] ELSE {drop} || {swap} || {grow} END"
+    return f"CASE WHEN length({token}) < 3 THEN [{token}] ELSE {drop} || {swap} || {grow} END"
 
 
 @query(
     "flt4_typo_patterns",
-    f"""SELECT word, array_to_string(list_filter(v, lambda x, i: list_position(v, x) = i)[1:20], '|') AS patterns
+    f"""SELECT word, array_to_string(list_filter(v, lambda x, i: list_position(v, x) = i), '|') AS patterns
 FROM (SELECT word, {_typo_sql('word')} AS v FROM ({_VOCABULARY_SQL}))""",
 )
 def _(t: Tables):

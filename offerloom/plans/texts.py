@@ -6,8 +6,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from offerloom.functions.numbers import discount_percent, round_to, round_to_sql
-from offerloom.functions.text import normalize_text, words
-from offerloom.operators import scoring, search
+from offerloom.functions.text import normalize_text
+from offerloom.operators import scoring, search, typos
 from offerloom.plans.clean import token_forms_sql
 from offerloom.plans.registry import query
 from offerloom.plans.sqltext import base_vowel_sql, norm_sql
@@ -131,25 +131,22 @@ def _(t: Tables):
     return search.substring_search(phrases(t), index(t), "offer_id")
 
 
-def _typo_patterns_sql(token: str) -> str:
-    places = f"range(0, length({token}))"
-    drop = f"list_filter(list_transform({places}, lambda i: substr({token}, 1, i) || substr({token}, i + 2)), lambda z: length(z) >= 2)"
-    swap = f"list_transform({places}, lambda i: substr({token}, 1, i) || '_' || substr({token}, i + 2))"
-    grow = f"list_transform(range(0, length({token}) + 1), lambda i: substr({token}, 1, i) || '_' || substr({token}, i + 1))"
-    every = f"({drop} || {swap} || {grow})"
-    unique = f"list_filter({every}, lambda x, i: list_position({every}, x) = i)[1:20]"
-    return f"CASE WHEN length({token}) < 3 THEN [{token}] WHEN length({token}) > 12 THEN [] ELSE {unique} END"
-
-
+VIEWS["typo_windows"] = f"""
+SELECT DISTINCT norm, unnest(flatten([[substr(norm, i, n) FOR i IN range(1, length(norm) - n + 2)] FOR n IN range(1, least(length(norm), longest) + 1)])) AS part FROM (SELECT DISTINCT {norm_sql('text')} AS norm FROM typo_texts), (SELECT max(length(form) + k) AS longest FROM typo_forms)"""
+VIEWS["typo_texts"] = "SELECT DISTINCT brand || ' ' || product_name AS text FROM offers"
+VIEWS["typo_forms"] = "SELECT DISTINCT form, CASE WHEN length(form) < 3 THEN 0 WHEN length(form) < 8 THEN 1 ELSE 2 END AS k FROM phrase_forms"
+VIEWS["typo_parts"] = """
+SELECT form, part FROM typo_forms JOIN (SELECT DISTINCT part FROM typo_windows) w ON length(part) BETWEEN length(form) - k AND length(form) + k AND levenshtein(form, part) <= k"""
 VIEWS["typo_hits"] = f"""
-SELECT q, text FROM (SELECT DISTINCT f.q, f.token_no, f.n_tokens, d.text FROM (SELECT *, count(DISTINCT token_no) OVER (PARTITION BY q) AS n_tokens FROM (
- SELECT DISTINCT q, token_no, unnest({_typo_patterns_sql('form')}) AS pattern FROM phrase_forms)) f
- JOIN (SELECT text, {norm_sql('text')} AS norm FROM (SELECT DISTINCT brand || ' ' || product_name AS text FROM offers)) d ON d.norm LIKE '%' || f.pattern || '%')
-GROUP BY q, text HAVING count(*) = max(n_tokens)"""
+SELECT q, text FROM (SELECT DISTINCT f.q, f.token_no, f.n_tokens, w.norm FROM phrase_forms f JOIN typo_parts USING (form) JOIN typo_windows w USING (part)) h
+JOIN (SELECT text, {norm_sql('text')} AS norm FROM typo_texts) t USING (norm) GROUP BY q, text HAVING count(*) = max(n_tokens)"""
 
 
 def offer_texts(t: Tables):
-    return t.offers.select(F.concat_ws(" ", "brand", "product_name").alias("text")).distinct()
+    """Distinct texts of the offers, written once because the searches read them several times."""
+    if "offer_texts" not in t.__dict__:
+        t.__dict__["offer_texts"] = cut_lineage(t.offers.select(F.concat_ws(" ", "brand", "product_name").alias("text")).distinct())
+    return t.__dict__["offer_texts"]
 
 
 @query("txt7_typo_search", "SELECT q, text FROM typo_hits")
@@ -203,17 +200,20 @@ def _(t: Tables):
     return known.select("q", "text", f["n_words"].alias("n_words"), f["n_found"].alias("n_found"), f["exact"].cast("int").alias("exact"), sub.cast("int").alias("sub"))
 
 
+VIEWS["typo_words"] = f"""
+SELECT x, y FROM (SELECT DISTINCT unnest(string_split({norm_sql('q')}, ' ')) AS x FROM phrases) a JOIN (SELECT DISTINCT unnest(string_split({norm_sql('text')}, ' ')) AS y FROM typo_texts) b
+ON length(x) >= 5 AND ((abs(length(x) - length(y)) <= (CASE WHEN length(x) <= 7 THEN 1 ELSE 2 END) AND levenshtein(x, y) <= (CASE WHEN length(x) <= 7 THEN 1 ELSE 2 END))
+ OR (length(y) > length(x) AND length(x)::DOUBLE / length(y) > 0.85
+  AND len(list_filter(range(1, length(y) - length(x) + 2), lambda i: levenshtein(x, substr(y, i::BIGINT, length(x))) <= (CASE WHEN length(x) <= 7 THEN 1 ELSE 2 END))) > 0))"""
+
+
 @query(
     "txt10_typo_test",
-    f"""SELECT q, text FROM (SELECT q, text, string_split({norm_sql('q')}, ' ') AS qw, string_split({norm_sql('text')}, ' ') AS ow FROM typo_hits)
-WHERE len(list_filter(qw, lambda x: NOT (length(x) >= 5 AND len(list_filter(ow, lambda y: (abs(length(x) - length(y)) <= (CASE WHEN length(x) <= 7 THEN 1 ELSE 2 END)
- AND levenshtein(x, y) <= (CASE WHEN length(x) <= 7 THEN 1 ELSE 2 END)) OR (length(y) > length(x) AND length(x)::DOUBLE / length(y) > 0.85
- AND len(list_filter(range(1, length(y) - length(x) + 2), lambda i: levenshtein(x, substr(y, i::BIGINT, length(x))) <= (CASE WHEN length(x) <= 7 THEN 1 ELSE 2 END))) > 0))) > 0))) = 0""",
+    f"""SELECT q, text FROM (SELECT DISTINCT q.q, q.n, q.i, o.text FROM (SELECT q, len(w) AS n, unnest(range(len(w))) AS i, unnest(w) AS x FROM (SELECT q, string_split({norm_sql('q')}, ' ') AS w FROM phrases)) q
+ JOIN typo_words USING (x) JOIN (SELECT text, unnest(string_split({norm_sql('text')}, ' ')) AS y FROM typo_texts) o USING (y)) GROUP BY q, text HAVING count(*) = max(n)""",
 )
 def _(t: Tables):
-    found = search.typo_search(phrases(t), offer_texts(t))
-    test = scoring.close_typo(words(normalize_text(F.col("q"))), words(normalize_text(F.col("text"))))
-    return found.where(test)
+    return typos.typo_test(phrases(t), offer_texts(t))
 
 
 @query("txt11_match_score")
