@@ -13,7 +13,13 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     half_lat = F.radians(lat2 - lat1) / 2
     half_lon = F.radians(lon2 - lon1) / 2
     a = F.sin(half_lat) * F.sin(half_lat) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.sin(half_lon) * F.sin(half_lon)
-    return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.sqrt(a))
+    return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
+
+
+def unit_vector(lat: Column, lon: Column) -> tuple[Column, Column, Column]:
+    """The place on the unit sphere."""
+    phi, theta = F.radians(lat), F.radians(lon)
+    return F.cos(phi) * F.cos(theta), F.cos(phi) * F.sin(theta), F.sin(phi)
 
 
 def haversine_sql(lat1: str, lon1: str, lat2: str, lon2: str) -> str:

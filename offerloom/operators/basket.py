@@ -235,18 +235,25 @@ def split_totals(split: DataFrame) -> DataFrame:
     )
 
 
-def best_pairs(priced: DataFrame, reach: DataFrame, pool_size: int = 25) -> DataFrame:
+def _values(priced: DataFrame) -> DataFrame:
+    """(basket_id, chain, item_no, value): unit price, or price where that is unknown, of the lines with a price."""
+    value = F.when(F.col("price").isNotNull(), F.coalesce("ppn", "price"))
+    return priced.select("basket_id", "chain", "item_no", value.alias("value")).where(F.col("value").isNotNull())
+
+
+def best_pairs(priced: DataFrame, reach: DataFrame) -> DataFrame:
     """Best two stores per basket: most lines priced, then least sum of unit prices (price where unknown).
 
-    The pool holds the best-covering stores of a basket, nearest first among equals; a pair is
-    a self join of the pool, so nothing larger than a basket's pool is combined.
+    Stores of a chain price alike, so that of each chain only the nearest store can be in the best
+    pair, or the nearest two. Among equals the better-covering, then nearer stores win. A pair is a
+    self join of these stores of a basket.
     """
-    value = F.when(F.col("price").isNotNull(), F.coalesce("ppn", "price"))
-    lines = priced.select("basket_id", "chain", "item_no", value.alias("value")).where(F.col("value").isNotNull())
+    lines = _values(priced)
     cover = lines.groupBy("basket_id", "chain").agg(F.count(F.lit(1)).alias("cover"))
+    of_chain = W.partitionBy("basket_id", "chain").orderBy("distance_km", "store_id")
+    nearest = reach.join(cover, ["basket_id", "chain"]).withColumn("place", F.row_number().over(of_chain)).where("place <= 2")
     w = W.partitionBy("basket_id").orderBy(F.col("cover").desc(), "distance_km", "store_id")
-    pool = reach.join(cover, ["basket_id", "chain"]).withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= pool_size)
-    pool = pool.select("basket_id", "pos", "store_id", "chain")
+    pool = nearest.withColumn("pos", F.row_number().over(w)).select("basket_id", "pos", "store_id", "chain")
     a = pool.select("basket_id", F.col("pos").alias("pos_a"), F.col("store_id").alias("store_a"), F.col("chain").alias("chain_a"))
     b = pool.select("basket_id", F.col("pos").alias("pos_b"), F.col("store_id").alias("store_b"), F.col("chain").alias("chain_b"))
     pairs = a.join(b, "basket_id").where(F.col("pos_a") < F.col("pos_b"))
@@ -257,3 +264,49 @@ def best_pairs(priced: DataFrame, reach: DataFrame, pool_size: int = 25) -> Data
     rank = F.struct(-F.col("coverage"), round_to(F.col("score"), 9), "pos_a", "pos_b")
     best = rated.groupBy("basket_id").agg(F.min_by(F.struct("store_a", "store_b", "coverage", "score"), rank).alias("p"))
     return best.select("basket_id", "p.*")
+
+
+def best_splits(priced: DataFrame, reach: DataFrame, k: int) -> DataFrame:
+    """Best choice of at most ``k`` chains per basket, each at its nearest store, over all choices.
+
+    Most lines priced, then least sum of unit prices (price where unknown), then fewer chains, then
+    chains earlier by cover, distance and name. Choices grow by one chain a step, as maps from line
+    to least value. A chain leaves beforehand where an earlier one has all its lines at its values or
+    less: it could be replaced in any choice. A choice goes no further once the lines it still
+    lacks, taken from all chains together, cannot bring it to the cover of the best choice so far.
+    """
+    nearest = reach.groupBy("basket_id", "chain").agg(F.min(F.struct("distance_km", "store_id")).alias("near"))
+    least = _values(priced).groupBy("basket_id", "chain", "item_no").agg(F.min("value").alias("value"))
+    offered = least.join(nearest, ["basket_id", "chain"]).groupBy("basket_id", "chain", "near").agg(
+        F.map_from_entries(F.collect_list(F.struct("item_no", "value"))).alias("values")
+    )
+    order = F.row_number().over(W.partitionBy("basket_id").orderBy(F.desc(F.size("values")), "near.distance_km", "chain"))
+    placed = cut_lineage(offered.select("basket_id", "chain", F.col("near.store_id").alias("store_id"), "values", order.alias("pos")))
+    other = placed.select(F.col("basket_id").alias("b"), F.col("pos").alias("p"), F.col("values").alias("theirs"))
+    no_worse = F.forall(F.map_entries("values"), lambda e: F.coalesce(F.try_element_at("theirs", e["key"]) <= e["value"], F.lit(False)))
+    useful = cut_lineage(placed.join(other, (F.col("basket_id") == F.col("b")) & (F.col("p") < F.col("pos")) & no_worse, "left_anti"))
+
+    one = useful.select("basket_id", F.array("pos").alias("places"), F.array("chain").alias("chains"), F.array("store_id").alias("stores"), F.col("values").alias("held"))
+    more = useful.select("basket_id", "pos", "chain", "store_id", "values")
+    total = F.aggregate(F.map_values("held"), F.lit(0.0), lambda a, x: a + x)
+    rank = F.struct((-F.size("held")).alias("open"), round_to(total, 9).alias("score"), F.size("places").alias("chains"), "places")
+    choice = F.struct("chains", "stores", F.size("held").cast("bigint").alias("coverage"), total.alias("score"))
+
+    def best_of(choices: DataFrame) -> DataFrame:
+        return choices.groupBy("basket_id").agg(F.min(F.struct(rank.alias("rank"), choice.alias("choice"))).alias("b"))
+
+    state, best = one, best_of(one)
+    all_lines = useful.select("basket_id", F.explode(F.map_keys("values")).alias("item_no")).distinct().groupBy("basket_id").agg(F.count(F.lit(1)).alias("all_lines"))
+    widest = useful.groupBy("basket_id").agg(F.max(F.size("values")).alias("widest")).join(all_lines, "basket_id")
+    for step in range(1, k):
+        reached = best.select("basket_id", (-F.col("b.rank.open")).alias("cover"))
+        possible = F.least(F.col("all_lines"), F.size("held") + (k - step) * F.col("widest"))
+        able = state.join(reached, "basket_id").join(widest, "basket_id").where(possible >= F.col("cover")).drop("cover", "widest", "all_lines")
+        grown = able.join(more, "basket_id").where(F.col("pos") > F.element_at("places", -1))
+        merged = F.map_zip_with("held", "values", lambda _, x, y: F.least(x, y))
+        state = cut_lineage(grown.select(
+            "basket_id", F.array_append("places", F.col("pos")).alias("places"), F.array_append("chains", F.col("chain")).alias("chains"),
+            F.array_append("stores", F.col("store_id")).alias("stores"), merged.alias("held"),
+        ))
+        best = cut_lineage(best.unionByName(best_of(state)).groupBy("basket_id").agg(F.min("b").alias("b")))
+    return best.select("basket_id", "b.choice.*")

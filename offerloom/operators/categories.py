@@ -168,17 +168,17 @@ def roll_up(scores: DataFrame, categories: DataFrame) -> DataFrame:
     )
 
 
-def rank_categories(scores: DataFrame, categories: DataFrame, counts: DataFrame) -> DataFrame:
-    """Filtered hits with their rank: ``counts`` is (category_id, n), or (q, category_id, n) where counts are local."""
+def rank_categories(scores: DataFrame, categories: DataFrame, counts: DataFrame, keys: tuple[str, ...] = ("q",)) -> DataFrame:
+    """Filtered hits with their rank per ``keys``: ``counts`` is (category_id, n), and has those of the keys that it depends on."""
     node = categories.select("category_id", "name", "level", "parent_id")
     up = categories.select(F.col("category_id").alias("parent_id"), F.col("name").alias("p1"), F.col("parent_id").alias("grand_id"))
     top = categories.select(F.col("category_id").alias("grand_id"), F.col("name").alias("p2"))
-    known = scores.join(counts, [c for c in ("q", "category_id") if c in counts.columns]).join(node, "category_id").join(up, "parent_id", "left").join(top, "grand_id", "left")
+    known = scores.join(counts, [c for c in (*keys, "category_id") if c in counts.columns]).join(node, "category_id").join(up, "parent_id", "left").join(top, "grand_id", "left")
     known = known.withColumn("ober", F.coalesce(F.when(F.col("level") == 3, F.col("p2")).otherwise(F.col("p1")), F.lit("")))
     kept = known.where(
         (F.col("n") > 0) & ~is_blocked(F.col("name")) & ~F.contains(F.lower("ober"), F.lit("sonstig")) & ~((F.col("n") <= 2) & (F.col("score") < 140))
     )
-    kept = kept.withColumn("best", F.max("score").over(W.partitionBy("q"))).where(
+    kept = kept.withColumn("best", F.max("score").over(W.partitionBy(*keys))).where(
         (F.col("score") >= F.greatest(F.floor(F.col("best") * 0.65), F.lit(50)))
         & ((F.col("best") < 155) | (F.col("score") >= 85) | (F.col("n") >= 20))
         & ((F.col("best") >= 100) | (F.col("n") >= 3) | (F.col("score") >= 80))
@@ -186,11 +186,21 @@ def rank_categories(scores: DataFrame, categories: DataFrame, counts: DataFrame)
     log2 = lambda c: F.log2(F.greatest(F.lit(1), c))
     bucket = F.floor(F.col("score") / 5) + F.floor(log2(F.col("hits")))
     order = [F.col("tier"), bucket.desc(), F.col("n").desc(), F.col("hits").desc(), F.col("category_id")]
-    return kept.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(*order))).select(
-        "q", "category_id", "name", "level", "ober", "score", "hits", "tier", "n", "rank"
+    return kept.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).select(
+        *keys, "category_id", "name", "level", "ober", "score", "hits", "tier", "n", "rank"
     )
 
 
+def local_or_national(requests: DataFrame, local: DataFrame, national: DataFrame, local_limit: int = 8, national_limit: int = 5) -> DataFrame:
+    """Hits of the requests (place, leader, q): the local ones (leader, q, ...), or where there are none the national ones (q, ...), marked."""
+    columns = ["category_id", "score", "n", "rank"]
+    near = local.where(F.col("rank") <= local_limit).select("leader", "q", *columns)
+    far = national.where(F.col("rank") <= national_limit).select("q", *columns)
+    answered = requests.join(near, ["leader", "q"]).withColumn("not_local", F.lit(0))
+    missed = requests.join(local.select("leader", "q").distinct(), ["leader", "q"], "left_anti").join(far, "q").withColumn("not_local", F.lit(1))
+    return answered.unionByName(missed)
+
+
 def merge_same_names(ranked: DataFrame) -> DataFrame:
     """One row per query and set of name words; a group stands for its child of the same name."""
     parts = F.filter(F.split(normalize_search_text(F.col("name")), r"[\s&/,]+"), lambda w: w != "")
@@ -230,13 +240,15 @@ def search_brands(queries: DataFrame, product_labels: DataFrame, limit: int) ->
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("q", "marke", "products", "tier", "rank")
 
 
-def spelling_terms(search_labels: DataFrame, categories: DataFrame, top: int = 20_000) -> DataFrame:
-    """(term, freq): words and multi-word names of second-level categories, and the most frequent labels of two kinds."""
+def spelling_terms(search_labels: DataFrame, categories: DataFrame, top: int | None = None) -> DataFrame:
+    """(term, freq): words and multi-word names of second-level categories, and the labels of two kinds, or the ``top`` most frequent of them."""
     names = categories.where("level = 2").select(F.lower("name").alias("name"))
     parts = names.select(F.explode(F.filter(F.split("name", r"\s+"), lambda w: F.length(w) >= 3)).alias("term"), F.lit(1).alias("freq"))
     whole = names.where(F.contains("name", F.lit(" "))).select(F.col("name").alias("term"), F.lit(1).alias("freq"))
     labels = search_labels.where(F.col("label_type").isin("suchbegriff", "gattung")).groupBy("label").agg(F.count(F.lit(1)).alias("freq"))
-    frequent = labels.orderBy(F.desc("freq"), "label").limit(top).select(F.lower(F.trim("label")).alias("term"), "freq").where(F.length("term") >= 3)
+    if top is not None:
+        labels = labels.orderBy(F.desc("freq"), "label").limit(top)
+    frequent = labels.select(F.lower(F.trim("label")).alias("term"), "freq").where(F.length("term") >= 3)
     return parts.unionByName(whole).unionByName(frequent).groupBy("term").agg(F.sum("freq").alias("freq"))
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from offerloom.functions.geo import KM_PER_DEGREE, box_deltas, haversine_km
+from offerloom.functions.geo import EARTH_RADIUS_KM, KM_PER_DEGREE, box_deltas, haversine_km, unit_vector
 from offerloom.operators.skew import spread_join
 from offerloom.session import cut_lineage
 
@@ -17,11 +19,10 @@ def _row_width(row: Column, radius_km: float) -> Column:
     return F.lit(radius_km) / F.greatest(F.lit(0.1), F.cos(F.radians(edge)) * F.lit(KM_PER_DEGREE))
 
 
-def radius_join(points: DataFrame, targets: DataFrame, radius_km: float, exact: bool = True) -> DataFrame:
-    """Pairs of (point, target) within the radius, with ``distance_km``.
+def box_join(points: DataFrame, targets: DataFrame, radius_km: float) -> DataFrame:
+    """Pairs of (point, target) with the target in the box of degrees around the point; boxes end at 180 degrees and at the poles.
 
     Both sides need ``lat`` and ``lon``; the target keeps its columns, the point its others.
-    With ``exact`` false only the box around the circle is tested.
     """
     radius = max(0.1, float(radius_km))
     height = radius / KM_PER_DEGREE
@@ -44,12 +45,44 @@ def radius_join(points: DataFrame, targets: DataFrame, radius_km: float, exact:
         F.col("lat").between(F.col("__plat") - d_lat, F.col("__plat") + d_lat)
         & F.col("lon").between(F.col("__plon") - d_lon, F.col("__plon") + d_lon)
     )
-    if exact:
-        pairs = pairs.withColumn("distance_km", haversine_km(F.col("__plat"), F.col("__plon"), F.col("lat"), F.col("lon")))
-        pairs = pairs.where(F.col("distance_km") <= radius)
     return pairs.drop("__row", "__cell", "__plat", "__plon")
 
 
+def _near_cells(at: Column, side: float) -> Column:
+    """Cells along one axis that a ball of one side around a coordinate touches."""
+    return F.sequence(F.floor((at - side) / side).cast("int"), F.floor((at + side) / side).cast("int"))
+
+
+def _beyond(at: Column, cell: Column, side: float) -> Column:
+    """Squared distance along one axis between a coordinate and a cell."""
+    gap = F.greatest(cell * side - at, at - (cell + 1) * side, F.lit(0.0))
+    return gap * gap
+
+
+def radius_join(points: DataFrame, targets: DataFrame, radius_km: float) -> DataFrame:
+    """Pairs of (point, target) within the radius, with ``distance_km``, anywhere on the sphere.
+
+    Both sides need ``lat`` and ``lon``; the target keeps its columns, the point its others. Places
+    are unit vectors, and cells are cubes with the chord of the radius as side, so that neither the
+    poles nor 180 degrees are special. A point goes to the cells that its ball touches.
+    """
+    radius = max(0.1, float(radius_km))
+    # a little more than the chord, against rounding
+    side = 2 * math.sin(min(radius / EARTH_RADIUS_KM, math.pi) / 2) * (1 + 1e-9) + 1e-12
+    axes = ["__x", "__y", "__z"]
+    cells = ["__cx", "__cy", "__cz"]
+    own = dict(zip(axes, unit_vector(F.col("__plat"), F.col("__plon")), strict=True))
+    spread = points.withColumnsRenamed({"lat": "__plat", "lon": "__plon"}).withColumns(own)
+    for axis, cell in zip(axes, cells, strict=True):
+        spread = spread.withColumn(cell, F.explode(_near_cells(F.col(axis), side)))
+    apart = sum((_beyond(F.col(a), F.col(c), side) for a, c in zip(axes, cells, strict=True)), F.lit(0.0))
+    spread = spread.where(apart <= side * side).drop(*axes)
+    placed = targets.withColumns({c: F.floor(v / side).cast("int") for c, v in zip(cells, unit_vector(F.col("lat"), F.col("lon")), strict=True)})
+    pairs = spread_join(placed, spread, cells, [F.col("lat"), F.col("lon"), F.col(targets.columns[0])])
+    pairs = pairs.withColumn("distance_km", haversine_km(F.col("__plat"), F.col("__plon"), F.col("lat"), F.col("lon")))
+    return pairs.where(F.col("distance_km") <= radius).drop(*cells, "__plat", "__plon")
+
+
 def fill_missing_city(stores: DataFrame, limit_km: float = 20.0) -> DataFrame:
     """City of the nearest store that has one, where that is closer than the limit."""
     known = stores.where(F.col("city").isNotNull()).select(F.col("store_id").alias("ref_id"), "lat", "lon", F.col("city").alias("ref_city"))

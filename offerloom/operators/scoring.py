@@ -9,6 +9,8 @@ from offerloom.functions.literals import literal_rows
 from offerloom.functions.ratios import mean_ratio
 from offerloom.functions.text import base_vowel_text, normalize_text, words
 from offerloom.functions.tokens import BLOCKING_SYNONYMS, SCORING_SYNONYMS, expand_abbreviation, token_forms
+from offerloom.operators.matching import MIN_SCORE_PRICED
+from offerloom.session import cut_lineage
 
 
 def grams(word: Column, sizes: list[int]) -> Column:
@@ -114,12 +116,40 @@ def _prepared(texts: DataFrame, column: str, forms: bool) -> DataFrame:
     return base.select(F.struct("low", "vowel", "norm", unique.alias("others")).alias(f"{column}_p"), column)
 
 
-def score_pairs(pairs: DataFrame, accepted_only: bool = False) -> DataFrame:
-    """(q, text, score) for distinct (q, text) pairs: the best score over all wordings.
+def ratio_bounds(a: str = "qv", b: str = "ov") -> tuple[Column, Column]:
+    """Least and largest value that the mean of the two ratios can have, from word sets and lengths alone.
 
-    Wordings are made once per phrase and once per text. A wording without common words and
-    without a near typo scores at most 50; with ``accepted_only`` it is left out before the
-    ratios are computed.
+    Both are exact where the words of one side all occur on the other and one text holds the other.
+    """
+    x, y = F.col(a), F.col(b)
+    wx, wy = F.array_distinct(words(x)), F.array_distinct(words(y))
+    shared = F.length(F.array_join(F.array_intersect(wx, wy), " "))
+    only_x, only_y = F.length(F.array_join(F.array_except(wx, wy), " ")), F.length(F.array_join(F.array_except(wy, wx), " "))
+    gap = F.when(shared > 0, 1).otherwise(0)
+    len_x, len_y = shared + gap + only_x, shared + gap + only_y
+    common = F.when(shared > 0, F.greatest(1 - (gap + only_x) / (shared + len_x), 1 - (gap + only_y) / (shared + len_y))).otherwise(F.lit(0.0))
+
+    def words_alike(lcs: Column) -> Column:
+        return F.greatest(1 - (only_x + only_y - 2 * lcs) / F.greatest(len_x + len_y, F.lit(1)), common)
+
+    inside = (shared > 0) & ((only_x == 0) | (only_y == 0))
+    short, long = F.when(F.length(x) <= F.length(y), x).otherwise(y), F.when(F.length(x) <= F.length(y), y).otherwise(x)
+    size = F.greatest(F.length(short), F.lit(1))
+    # a word of the shorter text inside the longer one lies in a window as long as the shorter text
+    longest = F.array_max(F.transform(F.filter(words(short), lambda w: F.contains(long, w)), lambda w: F.length(w)))
+    held = F.contains(long, short)
+    set_low, set_high = (F.when(inside, F.lit(1.0)).otherwise(words_alike(n)) for n in (F.lit(0), F.least(only_x, only_y)))
+    part_low = F.when(held, F.lit(1.0)).otherwise(F.coalesce(longest, F.lit(0)) / size)
+    part_high = F.when(held, F.lit(1.0)).otherwise(2.0 * (size - 1) / (2 * size - 1))
+    return 50.0 * (set_low + part_low), 50.0 * (set_high + part_high)
+
+
+def bound_pairs(pairs: DataFrame, accepted_only: bool = False) -> DataFrame:
+    """(q, text, low, high, left): what the best score over all wordings lies between, and the wordings that may be better than ``low``.
+
+    Wordings are made once per phrase and once per text and bounded from their words and lengths.
+    One that cannot beat the least score of another is not in ``left``. With ``accepted_only`` the
+    pairs that cannot reach the least accepted score are left out.
     """
     both = pairs.join(_prepared(pairs, "q", True), "q").join(_prepared(pairs, "text", False), "text")
     q, t = F.col("q_p"), F.col("text_p")
@@ -140,20 +170,42 @@ def score_pairs(pairs: DataFrame, accepted_only: bool = False) -> DataFrame:
     known = known.withColumn("typo", F.when(F.col("sub") | (F.col("n_found") == F.col("n_words")), F.lit(False)).otherwise(facts["typo"]))
     if accepted_only:
         known = known.where(F.col("sub") | (F.col("n_found") == F.col("n_words")) | F.col("typo"))
+    least, most = ratio_bounds()
+    bounded = known.withColumns({"low": score_column(least), "high": score_column(most)})
+    wording = F.struct("high", "qv", "ov", "sub", "n_words", "n_found", "exact", "typo")
+    per_pair = bounded.groupBy("q", "text").agg(F.max("low").alias("low"), F.max("high").alias("high"), F.collect_list(wording).alias("left"))
+    if accepted_only:
+        per_pair = per_pair.where(F.col("high") >= MIN_SCORE_PRICED)
+    return per_pair.withColumn("left", F.filter("left", lambda w: w["high"] > F.col("low")))
+
+
+def settle(bounds: DataFrame) -> DataFrame:
+    """(q, text, score) of pairs with bounds: only the wordings that are left go through the ratios."""
+    bounds = cut_lineage(bounds)
+    left = bounds.select("q", "text", F.explode("left").alias("w")).select("q", "text", "w.*")
     # the ratios are the expensive part: spread them over all tasks
-    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rated = known.repartition(tasks, "qv", "ov").withColumn("ratio", mean_ratio("qv", "ov"))
-    return rated.withColumn("score", score_column()).groupBy("q", "text").agg(F.max("score").alias("score"))
+    tasks = int(bounds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rated = left.repartition(tasks, "qv", "ov").withColumn("ratio", mean_ratio("qv", "ov")).select("q", "text", score_column(F.col("ratio")).alias("score"))
+    return bounds.select("q", "text", F.col("low").alias("score")).unionByName(rated).groupBy("q", "text").agg(F.max("score").alias("score"))
+
+
+def score_pairs(pairs: DataFrame, accepted_only: bool = False) -> DataFrame:
+    """(q, text, score) for distinct (q, text) pairs: the best score over all wordings.
+
+    A wording without common words and without a near typo scores at most 50; with
+    ``accepted_only`` it is left out.
+    """
+    return settle(bound_pairs(pairs, accepted_only))
 
 
-def score_column() -> Column:
-    """Score from the ratio and the word-level facts of one wording."""
+def score_column(ratio: Column) -> Column:
+    """Score from the ratio and the word-level facts of one wording; it never falls when the ratio rises."""
     sub, every = F.col("sub"), F.col("n_found") == F.col("n_words")
     structural = sub | every
     typo = ~structural & F.col("typo")
     missing = (F.col("n_words") - F.col("n_found")) / F.col("n_words")
     score = (
-        F.col("ratio")
+        ratio
         + F.when(sub, 25).when(every, 15).otherwise(0)
         - F.when(structural & ~F.col("exact"), 8).otherwise(0)
         + F.when(typo, 20).otherwise(0)

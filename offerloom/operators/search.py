@@ -13,7 +13,9 @@ from offerloom.functions.numbers import round_to
 from offerloom.functions.text import normalize_search_text, normalize_text, words
 from offerloom.functions.tokens import token_forms
 from offerloom.operators import typos
-from offerloom.operators.scoring import containing_words
+from offerloom.operators.matching import accepted
+from offerloom.operators.scoring import bound_pairs, candidate_pairs, containing_words, settle
+from offerloom.session import cut_lineage
 
 # Column weights and the usual constants of the ranking function.
 COLUMN_WEIGHTS = {"name": 8.0, "brand": 5.0, "description": 1.5, "search": 3.0, "chain": 0.5}
@@ -84,27 +86,56 @@ def substring_search(queries: DataFrame, index: DataFrame, doc_id: str) -> DataF
     return all_tokens_met(found.withColumnRenamed("word", "token"), forms, index, doc_id, F.contains)
 
 
-def bm25(queries: DataFrame, index: DataFrame, doc_id: str) -> DataFrame:
-    """(q, doc, score) of the prefix search; lower is better, every form is a phrase of its own."""
+def impacts(forms: DataFrame, index: DataFrame, doc_id: str) -> DataFrame:
+    """(form, doc, dl, part): what a form adds to the score of a document; ``dl`` is the document's length."""
     weights = literal_map(COLUMN_WEIGHTS.items())
     lengths = index.groupBy(doc_id).agg(F.sum("tf").alias("dl"))
     stats = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"))
     weighted = index.groupBy("token", doc_id).agg(F.sum(F.col("tf") * F.element_at(weights, F.col("field"))).alias("f"))
-    forms = query_forms(queries)
     terms = prefix_words(forms.select("form").distinct(), index.select("token").distinct())
     per_doc = terms.join(weighted, "token").groupBy("form", doc_id).agg(F.sum("f").alias("f"))
     docs_with = per_doc.groupBy("form").agg(F.count(F.lit(1)).alias("n_with"))
-    matched = prefix_search(queries, index, doc_id)
-    scored = (
-        matched.join(forms.select("q", "token_no", "form"), "q")
-        .join(per_doc, ["form", doc_id])
-        .join(docs_with, "form")
-        .join(lengths, doc_id)
-        .crossJoin(F.broadcast(stats))  # one row
-    )
+    known = per_doc.join(docs_with, "form").join(lengths, doc_id).crossJoin(F.broadcast(stats))  # one row
     idf = F.greatest(F.lit(1e-6), F.log((F.col("n_docs") - F.col("n_with") + 0.5) / (F.col("n_with") + 0.5)))
     part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
-    return scored.groupBy("q", doc_id).agg((-F.sum(part)).alias("score"))
+    return known.select("form", doc_id, "dl", part.alias("part"))
+
+
+def _scored(matched: DataFrame, forms: DataFrame, parts: DataFrame, doc_id: str) -> DataFrame:
+    joined = matched.select("q", doc_id).join(forms.select("q", "token_no", "form"), "q").join(parts.select("form", doc_id, "part"), ["form", doc_id])
+    return joined.groupBy("q", doc_id).agg((-F.sum("part")).alias("score"))
+
+
+def bm25(queries: DataFrame, index: DataFrame, doc_id: str) -> DataFrame:
+    """(q, doc, score) of the prefix search; lower is better, every form is a phrase of its own."""
+    forms = query_forms(queries)
+    return _scored(prefix_search(queries, index, doc_id), forms, impacts(forms, index, doc_id), doc_id)
+
+
+def bm25_top(queries: DataFrame, index: DataFrame, doc_id: str, k: int) -> DataFrame:
+    """(q, doc, score, rank): the best ``k`` hits of each query, scoring only blocks of documents that can hold one of them.
+
+    Documents of one length are a block, and the largest part of each form in a block bounds the
+    scores of its documents. The blocks with the best bounds that hold ``k`` hits are scored first;
+    the k-th score among them is the threshold that all other blocks must be able to reach.
+    """
+    forms = cut_lineage(query_forms(queries))
+    parts = cut_lineage(impacts(forms, index, doc_id))
+    lengths = index.groupBy(doc_id).agg(F.sum("tf").alias("dl"))
+    matched = cut_lineage(prefix_search(queries, index, doc_id).join(lengths, doc_id))
+    tops = parts.groupBy("form", "dl").agg(F.max("part").alias("most"))
+    sizes = matched.groupBy("q", "dl").agg(F.count(F.lit(1)).alias("docs"))
+    bounds = sizes.join(forms.select("q", "token_no", "form"), "q").join(tops, ["form", "dl"]).groupBy("q", "dl", "docs").agg(F.sum("most").alias("most"))
+    before = W.partitionBy("q").orderBy(F.desc("most"), "dl").rowsBetween(W.unboundedPreceding, -1)
+    blocks = cut_lineage(bounds.withColumn("head", F.coalesce(F.sum("docs").over(before), F.lit(0)) < k))
+    best = W.partitionBy("q").orderBy("score")
+    head = cut_lineage(_scored(matched.join(blocks.where("head").select("q", "dl"), ["q", "dl"]), forms, parts, doc_id))
+    threshold = head.withColumn("rn", F.row_number().over(best)).where(F.col("rn") == k).select("q", (-F.col("score")).alias("least"))
+    # Ranks go by rounded scores, so that a block within the rounding of the threshold still counts.
+    able = blocks.where("not head").join(threshold, "q").where(F.col("most") >= F.col("least") - 2e-6).select("q", "dl")
+    scored = head.unionByName(_scored(matched.join(able, ["q", "dl"]), forms, parts, doc_id)).withColumn("score", round_to(F.col("score"), 6))
+    rank = W.partitionBy("q").orderBy("score", doc_id)
+    return scored.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
 
 
 def typo_search(queries: DataFrame, texts: DataFrame) -> DataFrame:
@@ -153,6 +184,71 @@ def dedupe_hits(hits: DataFrame) -> DataFrame:
     return best.select("q", "chain", *[F.col(f"h.{c}").alias(c) for c in rest])
 
 
+def _reduced(offers: DataFrame, primary: Column, search: Column) -> DataFrame:
+    """Of the offers of a chain with the same texts and category, the one that ranks first whatever the score."""
+    keyed = offers.withColumns({"primary_text": primary, "search_text": search})
+    keys = ["chain", "brand", "product_name", "primary_text", "search_text", "category_id"]
+    order = F.struct(F.col("sales_price").isNotNull(), -F.coalesce("sales_price", F.lit(1e9)), F.col("offer_id"))
+    best = keyed.groupBy(*keys).agg(F.max_by(F.struct("offer_id", "sales_price", "regular_price"), order).alias("o"))
+    return best.select(*keys, "o.*")
+
+
+def _hits(queries: DataFrame, offers: DataFrame, primary: Column, search: Column) -> tuple[DataFrame, DataFrame]:
+    """Bounds of all (q, text) that may be accepted, and the offers (q, ...) they come from."""
+    reduced = cut_lineage(_reduced(offers, primary, search))
+    texts = reduced.select(F.explode(F.array("primary_text", "search_text")).alias("text")).distinct()
+    bounds = cut_lineage(bound_pairs(candidate_pairs(queries, texts), accepted_only=True))
+    by_search = bounds.select("q", F.col("text").alias("search_text"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    by_primary = bounds.select("q", F.col("text").alias("primary_text"), F.col("low").alias("low1"), F.col("high").alias("high1"))
+    hits = reduced.join(by_search, "search_text").join(by_primary, ["q", "primary_text"], "left").na.fill(0.0, ["low1", "high1"])
+    return bounds, hits.withColumn("boosted", F.contains(F.lower("category_id"), F.lower("q")))
+
+
+def _final(hits: DataFrame, scores: DataFrame) -> DataFrame:
+    """Accepted hits with their final score, the best per chain, brand and title."""
+    by_search = scores.select("q", F.col("text").alias("search_text"), F.col("score").alias("s2"))
+    by_primary = scores.select("q", F.col("text").alias("primary_text"), F.col("score").alias("s1"))
+    rated = hits.join(by_search, ["q", "search_text"]).join(by_primary, ["q", "primary_text"], "left")
+    rated = rated.withColumn("score", final_score(F.coalesce("s1", F.lit(0.0)), F.col("s2"), F.col("boosted")))
+    columns = ["q", "chain", "offer_id", "product_name", "brand", "sales_price", "regular_price", "score"]
+    return dedupe_hits(rated.where(accepted(F.col("score"), F.col("sales_price"))).select(*columns))
+
+
+def ranked_hits(queries: DataFrame, offers: DataFrame, primary: Column, search: Column) -> DataFrame:
+    """All accepted hits of every query: better of the scores of the primary and the search text, the best per chain, brand and title."""
+    bounds, hits = _hits(queries, offers, primary, search)
+    return _final(hits, settle(bounds))
+
+
+def top_hits(queries: DataFrame, offers: DataFrame, primary: Column, search: Column, k: int) -> tuple[DataFrame, DataFrame]:
+    """The best ``k`` of ``ranked_hits`` with their rank, and the bounds of the pairs that had to be scored for them.
+
+    Each hit's final score lies between bounds. The k-th best of what the hits of a query reach for
+    certain, one per chain, brand and title, is the threshold; pairs that only occur in hits that
+    cannot reach it are never scored.
+    """
+    bounds, hits = _hits(queries, offers, primary, search)
+    boost = F.when(F.col("boosted"), 15.0).otherwise(0.0)
+    name_first = (F.col("low1") >= 55) | (F.col("high2") <= F.col("low1"))
+    low = F.when(name_first, F.greatest("low1", "low2") + boost).otherwise(F.least(F.col("low2"), F.lit(79.0)))
+    only_described = (F.col("high1") < 55) & (F.col("low2") > F.col("high1"))
+    high = F.when(only_described, F.least(F.col("high2"), F.lit(79.0))).otherwise(F.greatest("high1", "high2") + boost)
+    known = F.col("sales_price").isNotNull().cast("int")
+    keyed = cut_lineage(hits.withColumns({"low": low, "high": high, "known": known}).where(accepted(F.col("high"), F.col("sales_price"))))
+    product = [normalize_text(F.col("brand")).alias("nb"), normalize_text(F.col("product_name")).alias("nt")]
+    certain = keyed.where(accepted(F.col("low"), F.col("sales_price"))).groupBy("q", "chain", *product).agg(F.max(F.col("low") + F.col("known")).alias("reached"))
+    place = F.row_number().over(W.partitionBy("q").orderBy(F.desc("reached")))
+    threshold = certain.withColumn("rn", place).where(F.col("rn") == k).select("q", "reached")
+    able = keyed.join(threshold, "q", "left").where(F.col("reached").isNull() | (F.col("high") + F.col("known") >= F.col("reached") - 2e-6))
+    able = cut_lineage(able.drop("reached", "low", "high", "known"))
+    needed = able.select("q", F.explode(F.array("primary_text", "search_text")).alias("text")).distinct()
+    wanted = cut_lineage(bounds.join(needed, ["q", "text"], "left_semi"))
+    found = _final(able, settle(wanted))
+    order = [c.desc() for c in best_first(round_to(F.col("score"), 6), F.col("sales_price"))]
+    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(*order, "offer_id"))).where(F.col("rank") <= k)
+    return ranked, wanted
+
+
 def products_across_chains(hits: DataFrame, top: int) -> DataFrame:
     """Same product of several chains as one row: best title, cheapest price, chains by score; the best per query."""
     product = {"nb": normalize_text(F.col("brand")), "nt": normalize_text(F.col("product_name"))}

@@ -61,6 +61,28 @@ def siblings(categories: DataFrame, counts: DataFrame, limit: int) -> DataFrame:
     return same.unionByName(above).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= limit).drop("rn")
 
 
+def local_siblings(requests: DataFrame, categories: DataFrame, counts: DataFrame, local: DataFrame, limit: int) -> DataFrame:
+    """(leader, category_id, sibling_id, n) for the requests (leader, category_id): siblings with offers around the place, most offers first.
+
+    ``counts`` (category_id, n) are those of all products, which decide whether the parent is shown; ``local`` (leader, category_id, n).
+    """
+    from pyspark.sql import Window as W
+
+    node = categories.where("level > 1 AND parent_id IS NOT NULL").select("category_id", "parent_id", "level")
+    near = local.where("n > 0").withColumnRenamed("category_id", "sibling_id")
+    other = near.join(node.withColumnRenamed("category_id", "sibling_id"), "sibling_id")
+    place = F.row_number().over(W.partitionBy("leader", "parent_id", "level").orderBy(F.desc("n"), "sibling_id"))
+    top = other.withColumn("rn", place).where(F.col("rn") <= limit + 1).drop("rn")
+    asked = requests.join(node, "category_id")
+    same = asked.join(top, ["leader", "parent_id", "level"]).where(F.col("category_id") != F.col("sibling_id")).select("leader", "category_id", "sibling_id", "n")
+    shown = counts.where("n > 0").select(F.col("category_id").alias("parent_id"))
+    above = asked.where("level = 3").join(shown, "parent_id", "left_semi").join(near.withColumnRenamed("sibling_id", "parent_id"), ["leader", "parent_id"]).select(
+        "leader", "category_id", F.col("parent_id").alias("sibling_id"), "n"
+    )
+    w = W.partitionBy("leader", "category_id").orderBy(F.desc("n"), "sibling_id")
+    return same.unionByName(above).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= limit).drop("rn")
+
+
 def alternative_offers(categories: DataFrame, offers: DataFrame, per_category: int, groups: int) -> DataFrame:
     """Cheapest offers of the siblings (third level) or children (second level) of every category."""
     from pyspark.sql import Window as W

@@ -79,8 +79,15 @@ def priced(t: Tables):
     return basket.price_lines(lines(t), best(t))
 
 
-def totals(t: Tables):
-    return basket.chain_totals(priced(t), lines(t))
+def priced_with_text(t: Tables):
+    """Lines by category, and by text where a chain has nothing in the category; written once."""
+    if "priced_with_text" not in t.__dict__:
+        t.__dict__["priced_with_text"] = cut_lineage(basket.price_all_lines(lines(t), best(t), priced_offers(t)))
+    return t.__dict__["priced_with_text"]
+
+
+def totals(t: Tables, matches=priced):
+    return basket.chain_totals(matches(t), lines(t))
 
 
 def reach(t: Tables):
@@ -91,8 +98,8 @@ def reach(t: Tables):
     return orders.join(near, "home").drop("home")
 
 
-def ranking(t: Tables, keep: int | None = None):
-    rows = basket.store_rows(totals(t), reach(t).withColumn("distance_km", round_to(F.col("distance_km"), 6)))
+def ranking(t: Tables, keep: int | None = None, matches=priced):
+    rows = basket.store_rows(totals(t, matches), reach(t).withColumn("distance_km", round_to(F.col("distance_km"), 6)))
     rows = rows.withColumn("rank_price", F.when(F.col("basis") == "unit", round_to(F.col("rank_price"), 9)).otherwise(F.col("rank_price")))
     return basket.rank_stores(rows, keep)
 
@@ -130,8 +137,9 @@ def _(t: Tables):
 
 @query("bsk3_best_by_text")
 def _(t: Tables):
-    """Every distinct product phrase at every chain; score, then price decide."""
-    wanted = t.basket_lines.select(F.col("q").alias("spec"), "q", F.lit(None).cast("string").alias("brand")).distinct()
+    """Every distinct wish at every chain, with its brand where it insists on one; score, then price decide."""
+    brand = F.when(~F.col("any_brand"), F.col("brand"))
+    wanted = t.basket_lines.select(F.concat_ws("|", "q", F.coalesce(brand, F.lit(""))).alias("spec"), "q", brand.alias("brand")).distinct()
     return basket.best_by_text(wanted, priced_offers(t)).select("spec", "chain", "offer_id", "price", "score")
 
 
@@ -169,8 +177,13 @@ def _(t: Tables):
 @query("bsk14_totals_with_text")
 def _(t: Tables):
     """Chain totals over category and text matches."""
-    own = lines(t)
-    return basket.chain_totals(basket.price_all_lines(own, best(t), priced_offers(t)), own)
+    return totals(t, priced_with_text)
+
+
+@query("bsk7_store_ranking_with_text")
+def _(t: Tables):
+    """Stores ranked by what category and text matches cost there."""
+    return ranking(t, matches=priced_with_text).select("basket_id", "store_id", "chain", "rank", "found", "total", "basis")
 
 
 @query("bsk7_store_ranking", "SELECT basket_id, store_id, chain, rank, found, total, basis FROM store_ranking")
@@ -200,8 +213,8 @@ def rounded_reach(t: Tables):
     return reach(t).withColumn("distance_km", round_to(F.col("distance_km"), 6))
 
 
-def split(t: Tables):
-    return basket.cheapest_split(priced(t), rounded_reach(t))
+def split(t: Tables, matches=priced):
+    return basket.cheapest_split(matches(t), rounded_reach(t))
 
 
 @query(
@@ -232,12 +245,25 @@ def _(t: Tables):
     return split(t).select("basket_id", "item_no", "chain", "store_id", "offer_id", "price")
 
 
+@query("mix1_cheapest_split_with_text")
+def _(t: Tables):
+    return split(t, priced_with_text).select("basket_id", "item_no", "chain", "store_id", "offer_id", "price")
+
+
+@query("mix3_saving_with_text")
+def _(t: Tables):
+    """Split and best store over category and text matches."""
+    first = ranking(t, 1, priced_with_text).select("basket_id", "total", "found")
+    gain = F.when(F.col("mix_total") < F.col("total"), round_to(F.col("total") - F.col("mix_total"), 2))
+    return basket.split_totals(split(t, priced_with_text)).join(first, "basket_id").select("basket_id", "mix_total", "total", gain.alias("saving"), "mix_lines", "found")
+
+
 @query(
     "mix2_best_two_stores",
     f"""WITH v AS (SELECT basket_id, chain, item_no, coalesce(ppn, price) AS value FROM priced_lines WHERE price IS NOT NULL),
 c AS (SELECT basket_id, chain, count(*) AS cover FROM v GROUP BY basket_id, chain),
 p AS (SELECT r.basket_id, r.store_id, r.chain, row_number() OVER (PARTITION BY r.basket_id ORDER BY c.cover DESC, {round_to_sql('distance_km', 6)}, r.store_id) AS pos
- FROM basket_reach r JOIN c ON c.basket_id = r.basket_id AND c.chain = r.chain QUALIFY pos <= 25),
+ FROM basket_reach r JOIN c ON c.basket_id = r.basket_id AND c.chain = r.chain),
 i AS (SELECT a.basket_id, a.pos AS pos_a, b.pos AS pos_b, a.store_id AS store_a, b.store_id AS store_b, v.item_no, min(v.value) AS value
  FROM p a JOIN p b ON a.basket_id = b.basket_id AND a.pos < b.pos JOIN v ON v.basket_id = a.basket_id AND v.chain IN (a.chain, b.chain) GROUP BY ALL),
 g AS (SELECT basket_id, pos_a, pos_b, store_a, store_b, count(*) AS coverage, sum(value) AS score FROM i GROUP BY ALL)
@@ -248,6 +274,40 @@ def _(t: Tables):
     return basket.best_pairs(priced(t), rounded_reach(t)).withColumn("score", round_to(F.col("score"), 9))
 
 
+def _best_split_sql(k: int) -> str:
+    """All choices of one to ``k`` chains, spelled out."""
+    parts = []
+    for n in range(1, k + 1):
+        tables = " ".join(f"{'FROM' if i == 0 else 'JOIN'} p p{i}{'' if i == 0 else f' ON p{i}.basket_id = p0.basket_id AND p{i}.pos > p{i - 1}.pos'}" for i in range(n))
+        parts.append(f"SELECT p0.basket_id, [{', '.join(f'p{i}.pos' for i in range(n))}] AS places, unnest([{', '.join(f'p{i}.chain' for i in range(n))}]) AS chain {tables}")
+    return f"""WITH v AS (SELECT basket_id, chain, item_no, coalesce(ppn, price) AS value FROM priced_lines WHERE price IS NOT NULL),
+n AS (SELECT basket_id, chain, arg_min(store_id, (distance_km, store_id)) AS store_id, min(distance_km) AS d FROM (SELECT * REPLACE ({round_to_sql('distance_km', 6)} AS distance_km) FROM basket_reach) GROUP BY basket_id, chain),
+p AS (SELECT c.basket_id, c.chain, n.store_id, row_number() OVER (PARTITION BY c.basket_id ORDER BY c.cover DESC, n.d, c.chain) AS pos
+ FROM (SELECT basket_id, chain, count(DISTINCT item_no) AS cover FROM v GROUP BY basket_id, chain) c JOIN n ON n.basket_id = c.basket_id AND n.chain = c.chain),
+m AS ({' UNION ALL '.join(parts)}),
+i AS (SELECT m.basket_id, m.places, v.item_no, min(v.value) AS value FROM m JOIN v ON v.basket_id = m.basket_id AND v.chain = m.chain GROUP BY ALL),
+g AS (SELECT * FROM (SELECT basket_id, places, count(*) AS coverage, sum(value) AS score FROM i GROUP BY basket_id, places)
+ QUALIFY row_number() OVER (PARTITION BY basket_id ORDER BY coverage DESC, {round_to_sql('score', 9)}, len(places), places) = 1)
+SELECT g.basket_id, string_agg(p.chain, ',' ORDER BY p.pos) AS chains, string_agg(p.store_id::VARCHAR, ',' ORDER BY p.pos) AS stores, any_value(coverage) AS coverage, any_value({round_to_sql('score', 9)}) AS score
+FROM g JOIN p ON p.basket_id = g.basket_id AND list_contains(g.places, p.pos) GROUP BY g.basket_id"""
+
+
+def best_splits(t: Tables, k: int):
+    found = basket.best_splits(priced(t), rounded_reach(t), k)
+    stores = F.array_join(F.col("stores").cast("array<string>"), ",")
+    return found.select("basket_id", F.array_join("chains", ",").alias("chains"), stores.alias("stores"), "coverage", round_to(F.col("score"), 9).alias("score"))
+
+
+@query("mix2_best_split_of_two", _best_split_sql(2))
+def _(t: Tables):
+    return best_splits(t, 2)
+
+
+@query("mix2_best_split_of_three", _best_split_sql(3))
+def _(t: Tables):
+    return best_splits(t, 3)
+
+
 @query(
     "mix3_saving_vs_best",
     f"""SELECT m.basket_id, m.mix_total, r.total, CASE WHEN m.mix_total < r.total THEN {round_to_sql('r.total - m.mix_total', 2)} END AS saving, m.mix_lines, r.found

@@ -143,7 +143,7 @@ def _(t: Tables):
  AND s.lon BETWEEN l.lon - 30::DOUBLE / (cos(radians(l.lat)) * 111::DOUBLE) AND l.lon + 30::DOUBLE / (cos(radians(l.lat)) * 111::DOUBLE)""",
 )
 def _(t: Tables):
-    return geo.radius_join(t.locations, t.stores.select("store_id", "chain", "lat", "lon"), 30.0, exact=False).select("location_id", "chain").distinct()
+    return geo.box_join(t.locations, t.stores.select("store_id", "chain", "lat", "lon"), 30.0).select("location_id", "chain").distinct()
 
 
 @query(
@@ -172,8 +172,7 @@ def _(t: Tables):
 @query("flt10_scope_filter", "SELECT location_id, offer_id FROM scope_offers JOIN unique_offers USING (offer_id) WHERE sales_price < 1.5::DOUBLE")
 def _(t: Tables):
     brochures, chains = area(t)
-    cheap = t.offers.where(F.col("sales_price") < 1.5).select("offer_id")
-    return scope.scope_offers(brochures, chains, t.offer_links, t.offers).join(cheap, "offer_id", "left_semi")
+    return scope.scope_offers(brochures, chains, t.offer_links, t.offers.where(F.col("sales_price") < 1.5))
 
 
 @query("geo11_thinned_places")

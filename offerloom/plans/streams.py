@@ -77,30 +77,30 @@ def _(t: Tables):
     return logs.run_to_table(first, shared_folder(t.spark, "offers"))
 
 
-VIEWS["clicks_by_query"] = "SELECT query, selected_category_id, count(*) AS clicks FROM search_log WHERE selected_category_id IS NOT NULL GROUP BY ALL"
+VIEWS["phrase_log"] = """
+SELECT p_name AS query, CASE WHEN s.selected_category_id IS NOT NULL THEN p_type || '/' || p_brand || '/' || p_name END AS selected
+FROM (SELECT *, json_extract_string(props, '$.k')::BIGINT AS k FROM events) e JOIN search_log s ON s.event_id = e.event_id JOIN part ON p_partkey = k"""
 
 
 @query(
     "log8_ranking_export",
-    """WITH q AS (SELECT query, count(*) AS searches FROM search_log WHERE length(query) >= 2 GROUP BY query HAVING count(*) >= 3 ORDER BY searches DESC, query LIMIT 500),
-r AS (SELECT query, result_count % 100 AS category_id, max(result_count) AS score FROM search_log WHERE query IN (SELECT query FROM q) GROUP BY ALL),
-k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, category_id) - 1 AS rank FROM r)
-SELECT k.query, k.category_id, k.rank, CASE WHEN c.clicks IS NULL THEN 0 ELSE 1 END AS clicked, coalesce(c.clicks, 0) AS click_count, q.searches
-FROM k JOIN q USING (query) LEFT JOIN clicks_by_query c ON c.query = k.query AND c.selected_category_id = k.category_id WHERE k.rank < 20""",
+    """WITH asked AS (SELECT query, count(*) AS searches FROM phrase_log WHERE length(query) >= 2 GROUP BY query HAVING count(*) >= 3),
+clicked AS (SELECT query, selected, count(*) AS clicks FROM phrase_log WHERE selected IS NOT NULL GROUP BY ALL)
+SELECT r.q AS query, r.category_id, r.rank - 1 AS rank, CASE WHEN c.clicks IS NULL THEN 0 ELSE 1 END AS clicked, coalesce(c.clicks, 0) AS click_count, r.n::BIGINT AS offer_count, a.searches
+FROM asked a JOIN ranked_cats r ON r.q = a.query LEFT JOIN clicked c ON c.query = r.q AND c.selected = r.category_id""",
 )
 def _(t: Tables):
-    """Ranked results of frequent queries with the clicks on them."""
-    from pyspark.sql import Window as W
-
-    log = t.search_log.where(F.length("query") >= 2)
-    top = log.groupBy("query").agg(F.count(F.lit(1)).alias("searches")).where("searches >= 3").orderBy(F.desc("searches"), "query").limit(500)
-    shown = log.join(top.select("query"), "query", "left_semi").groupBy("query", (F.col("result_count") % 100).alias("category_id")).agg(F.max("result_count").alias("score"))
-    ranked = shown.withColumn("rn", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "category_id"))).where("rn <= 20")
-    clicks = log.where("selected_category_id IS NOT NULL").groupBy("query", F.col("selected_category_id").alias("category_id")).agg(F.count(F.lit(1)).alias("clicks"))
-    joined = ranked.join(top, "query").join(clicks, ["query", "category_id"], "left")
-    return joined.select(
-        "query", "category_id", (F.col("rn") - 1).alias("rank"), F.col("clicks").isNotNull().cast("int").alias("clicked"), F.coalesce("clicks", F.lit(0)).alias("click_count"), "searches"
+    """Ranked categories of every query searched three times or more, with the clicks on them and their offers."""
+    key = F.get_json_object("props", "$.k").cast("bigint")
+    part = t.read("part").select("p_partkey", F.col("p_name").alias("query"), F.concat_ws("/", "p_type", "p_brand", "p_name").alias("path"))
+    clicks = t.search_log.select("event_id", F.col("selected_category_id").isNotNull().alias("clicked"))
+    log = t.read("events").select("event_id", key.alias("p_partkey")).join(part, "p_partkey").join(clicks, "event_id")
+    log = log.select("query", F.when(F.col("clicked"), F.col("path")).alias("selected"))
+    asked = logs.frequent_queries(log, 3)
+    ranked = cat.rank_categories(
+        cat.suggest(asked.select(F.col("query").alias("q")), t.search_labels, t.product_labels, t.categories), t.categories, category_counts(t)
     )
+    return logs.ranking_examples(ranked, asked, log)
 
 
 @query("geo4_place_resolution")

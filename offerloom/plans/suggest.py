@@ -11,6 +11,7 @@ from offerloom.plans.reports import category_counts
 from offerloom.plans.sqltext import norm_sql
 from offerloom.plans.texts import phrases
 from offerloom.plans.views import VIEWS, Tables
+from offerloom.session import cut_lineage
 
 _NAME = norm_sql("lower(name)")
 _Q = "regexp_replace(v, '([.\\[\\]{}()*+?^$|\\\\])', '\\\\\\1', 'g')"
@@ -172,7 +173,7 @@ VIEWS["spell_terms"] = """
 SELECT term, sum(freq)::BIGINT AS freq FROM (
  SELECT unnest(list_filter(string_split(lower(name), ' '), lambda w: length(w) >= 3)) AS term, 1 AS freq FROM categories WHERE level = 2
  UNION ALL SELECT lower(name), 1 FROM categories WHERE level = 2 AND contains(name, ' ')
- UNION ALL SELECT lower(trim(label)), freq FROM (SELECT label, count(*) AS freq FROM search_labels WHERE label_type IN ('suchbegriff', 'gattung') GROUP BY label ORDER BY freq DESC, label LIMIT 20000)
+ UNION ALL SELECT lower(trim(label)), freq FROM (SELECT label, count(*) AS freq FROM search_labels WHERE label_type IN ('suchbegriff', 'gattung') GROUP BY label)
   WHERE length(trim(label)) >= 3) GROUP BY term"""
 
 
@@ -194,19 +195,57 @@ def _(t: Tables):
 
 @query("cat12_correction_gate")
 def _(t: Tables):
-    """Suggestions for words with typos, corrected where the correction scores better."""
-    asked = phrases(t).select(F.element_at(F.split("q", " "), -1).alias("q")).distinct()
-    return cat.suggest_with_correction(asked, t.search_labels, t.product_labels, t.categories)
+    """Suggestions for whole phrases, every word corrected where the correction scores better."""
+    return cat.suggest_with_correction(phrases(t), t.search_labels, t.product_labels, t.categories)
+
+
+VIEWS["place_requests"] = "SELECT DISTINCT l_suppkey AS location_id, p_name AS q FROM lineitem JOIN part ON l_partkey = p_partkey"
+VIEWS["local_cats"] = """
+SELECT location_id, q, category_id, score, n, row_number() OVER (PARTITION BY location_id, q ORDER BY tier, score // 5 + floor(log2(greatest(1, hits))) DESC, n DESC, hits DESC, category_id) AS rank
+FROM (SELECT s.*, r.location_id, k.offers AS n, max(s.score) OVER (PARTITION BY r.location_id, s.q) AS best FROM place_requests r JOIN rolled_scores s ON s.q = r.q JOIN categories c ON c.category_id = s.category_id
+ JOIN scope_counts k ON k.location_id = r.location_id AND k.category_id = s.category_id WHERE NOT (k.offers <= 2 AND s.score < 140))
+WHERE score >= greatest(floor(best * 0.65::DOUBLE), 50) AND (best < 155 OR score >= 85 OR n >= 20) AND (best >= 100 OR n >= 3 OR score >= 80)"""
 
 
 @query(
     "cat13_local_counts",
-    """SELECT s.location_id, r.q, r.category_id, s.offers FROM rolled_scores r JOIN scope_counts s USING (category_id) WHERE r.score >= 140""",
+    """SELECT location_id, q, category_id, score, n::BIGINT AS n, rank, 0 AS not_local FROM local_cats WHERE rank <= 8
+UNION ALL SELECT r.location_id, r.q, g.category_id, g.score, g.n::BIGINT, g.rank, 1 FROM place_requests r JOIN ranked_cats g ON g.q = r.q
+WHERE g.rank <= 5 AND NOT EXISTS (SELECT 1 FROM local_cats l WHERE l.location_id = r.location_id AND l.q = r.q)""",
 )
 def _(t: Tables):
-    """Strong hits with the number of offers around every location."""
-    from offerloom.operators import scope
+    """Product names asked at every place: hits ranked by the offers around it, else the national hits, marked."""
+    from offerloom.operators.scope import Scope
+
+    scope = Scope(*area(t), t.offer_links, t.offers)
+    asked = t.read("lineitem").select("l_partkey", F.col("l_suppkey").alias("location_id")).join(t.read("part"), F.col("l_partkey") == F.col("p_partkey"))
+    requests = cut_lineage(asked.select("location_id", F.col("p_name").alias("q")).distinct().join(scope.leaders, "location_id", "left"))
+    found = scores(t)
+    wanted = requests.where("leader IS NOT NULL").select("leader", "q").distinct()
+    counts = scope.category_counts(t.categories).withColumnRenamed("offers", "n")
+    local = cut_lineage(cat.rank_categories(found.join(wanted, "q"), t.categories, counts, ("leader", "q")))
+    national = cat.rank_categories(found, t.categories, category_counts(t))
+    return cat.local_or_national(requests, local, national).drop("leader")
+
 
-    brochures, chains = area(t)
-    local = scope.scope_category_counts(brochures, chains, t.offer_links, t.offers, t.categories)
-    return scores(t).where("score >= 140").join(local, "category_id").select("location_id", "q", "category_id", "offers")
+VIEWS["place_categories"] = "SELECT DISTINCT l_suppkey AS location_id, p_type || '/' || p_brand || '/' || p_name AS category_id FROM lineitem JOIN part ON l_partkey = p_partkey"
+
+
+@query(
+    "tax3_local_siblings",
+    """SELECT r.location_id, s.category_id, s.sibling_id, k.offers AS n FROM place_categories r JOIN siblings s ON s.category_id = r.category_id
+JOIN scope_counts k ON k.location_id = r.location_id AND k.category_id = s.sibling_id
+QUALIFY row_number() OVER (PARTITION BY r.location_id, s.category_id ORDER BY k.offers DESC, s.sibling_id) <= 6""",
+)
+def _(t: Tables):
+    """Siblings with offers around a place, by those offers, for the categories asked there."""
+    from offerloom.operators import taxonomy
+    from offerloom.operators.scope import Scope
+
+    scope = Scope(*area(t), t.offer_links, t.offers)
+    part = t.read("part").select("p_partkey", F.concat_ws("/", "p_type", "p_brand", "p_name").alias("category_id"))
+    asked = t.read("lineitem").select("l_partkey", F.col("l_suppkey").alias("location_id")).join(part, F.col("l_partkey") == F.col("p_partkey"))
+    requests = asked.select("location_id", "category_id").distinct().join(scope.leaders, "location_id")
+    counts = scope.category_counts(t.categories).withColumnRenamed("offers", "n")
+    found = taxonomy.local_siblings(requests.select("leader", "category_id").distinct(), t.categories, category_counts(t), counts, 6)
+    return requests.join(found, ["leader", "category_id"]).drop("leader")

@@ -222,38 +222,49 @@ def _(t: Tables):
     return scoring.score_pairs(scoring.candidate_pairs(phrases(t), offer_texts(t))).withColumn("score", round_to(F.col("score"), 6))
 
 
-def _nouns(t: Tables):
-    return t.read("part").select(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("q")).distinct()
+@query("txt11_scored_wordings")
+def _(t: Tables):
+    """Wordings by whether their bounds decide them or they go through the ratios, with the number of pairs."""
+    bounds = cut_lineage(scoring.bound_pairs(scoring.candidate_pairs(phrases(t), offer_texts(t))))
+    return bounds.groupBy("q").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.size("left") > 0).alias("open_pairs"), F.sum(F.size("left")).alias("open_wordings"))
 
 
-def suggestions(t: Tables):
-    """Scored, accepted and deduplicated hits of every noun over all offers."""
-    offers = t.offers.withColumn("primary_text", F.concat_ws(" ", "brand", "product_name")).withColumn("search_text", search_column())
-    both = offers.select(F.explode(F.array("primary_text", "search_text")).alias("text")).distinct()
-    scores = scoring.score_pairs(scoring.candidate_pairs(_nouns(t), both), accepted_only=True)
-    by_search = scores.select("q", F.col("text").alias("search_text"), F.col("score").alias("s2"))
-    by_primary = scores.select("q", F.col("text").alias("primary_text"), F.col("score").alias("s1"))
-    hit = offers.join(by_search, "search_text").join(by_primary, ["q", "primary_text"], "left")
-    boosted = F.contains(F.lower("category_id"), F.lower("q"))
-    scored = hit.withColumn("score", search.final_score(F.coalesce("s1", F.lit(0.0)), F.col("s2"), boosted))
-    from offerloom.operators.matching import accepted
-
-    return search.dedupe_hits(
-        scored.where(accepted(F.col("score"), F.col("sales_price"))).select("q", "chain", "offer_id", "product_name", "brand", "sales_price", "regular_price", "score")
-    )
+def primary_text():
+    return F.concat_ws(" ", "brand", "product_name")
 
 
 @query("txt12_search_ranking")
 def _(t: Tables):
-    return suggestions(t).select("q", "chain", "offer_id", round_to(F.col("score"), 6).alias("score"))
+    """Every accepted hit of every whole phrase."""
+    found = search.ranked_hits(phrases(t), t.offers, primary_text(), search_column())
+    return found.select("q", "chain", "offer_id", round_to(F.col("score"), 6).alias("score"))
+
+
+def suggestions(t: Tables):
+    return search.top_hits(phrases(t), t.offers, primary_text(), search_column(), 15)
 
 
 @query("txt15_suggestions")
 def _(t: Tables):
-    """Fifteen best suggestions per noun with their discount."""
-    w = W.partitionBy("q").orderBy(*[c.desc() for c in search.best_first(round_to(F.col("score"), 6), F.col("sales_price"))], "offer_id")
-    top = suggestions(t).withColumn("rank", F.row_number().over(w)).where("rank <= 15")
-    return top.select("q", "rank", "chain", "offer_id", "sales_price", discount_percent(F.col("sales_price"), F.col("regular_price")).alias("discount"))
+    """Fifteen best suggestions per phrase with their discount."""
+    return suggestions(t)[0].select(
+        "q", "rank", "chain", "offer_id", "sales_price", discount_percent(F.col("sales_price"), F.col("regular_price")).alias("discount")
+    )
+
+
+@query("txt15_scored_pairs")
+def _(t: Tables):
+    """How many pairs the suggestions of a phrase had to score."""
+    return suggestions(t)[1].groupBy("q").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.size("left") > 0).alias("open_pairs"))
+
+
+@query(
+    "txt3_bm25_top",
+    f"""SELECT q, offer_id, {round_to_sql('score', 6)} AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY {round_to_sql('score', 6)}, offer_id) AS rank FROM ranked_hits)
+WHERE rank <= 15""",
+)
+def _(t: Tables):
+    return search.bm25_top(phrases(t), index(t), "offer_id", 15)
 
 
 @query(

@@ -337,7 +337,7 @@ UNION ALL SELECT p.parent_id, c.category_id, 2 FROM categories c JOIN categories
 
 
 #: Views that a statement reads several times at a cost.
-WRITTEN = {"categories", "closure", "category_counts", "product_labels", "phrase_forms", "typo_texts", "typo_windows", "typo_parts"}
+WRITTEN = {"categories", "closure", "category_counts", "product_labels", "phrase_forms", "typo_texts", "typo_windows", "typo_parts", "rolled_scores", "ranked_cats", "local_cats", "scope_counts", "in_reach", "siblings"}
 
 
 def with_views(sql: str) -> str:

@@ -21,6 +21,26 @@ def capture_search(raw: DataFrame) -> DataFrame:
     )
 
 
+def frequent_queries(log: DataFrame, least: int, top: int | None = None) -> DataFrame:
+    """(query, searches) of queries of two letters on, searched ``least`` times or more; the ``top`` most frequent, or all."""
+    counted = log.where(F.length("query") >= 2).groupBy("query").agg(F.count(F.lit(1)).alias("searches")).where(F.col("searches") >= least)
+    return counted if top is None else counted.orderBy(F.desc("searches"), "query").limit(top)
+
+
+def ranking_examples(ranked: DataFrame, asked: DataFrame, log: DataFrame, limit: int | None = None) -> DataFrame:
+    """Training rows of a ranking model: every ranked category of a query with its clicks; ``log`` is (query, selected).
+
+    ``limit`` keeps the first ranks of each query.
+    """
+    clicks = log.where("selected IS NOT NULL").groupBy("query", F.col("selected").alias("category_id")).agg(F.count(F.lit(1)).alias("clicks"))
+    shown = ranked if limit is None else ranked.where(F.col("rank") <= limit)
+    joined = shown.withColumnRenamed("q", "query").join(asked, "query").join(clicks, ["query", "category_id"], "left")
+    return joined.select(
+        "query", "category_id", (F.col("rank") - 1).alias("rank"), F.col("clicks").isNotNull().cast("int").alias("clicked"), F.coalesce("clicks", F.lit(0)).alias("click_count"),
+        F.col("n").alias("offer_count"), "searches",
+    )
+
+
 def popular_windows(clicks: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Clicks per category over 30-day windows sliding by a day: ``clicks`` is (ts, category_id)."""
     window = F.window("ts", "30 days", "1 day")
