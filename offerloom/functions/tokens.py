@@ -14,115 +14,114 @@ from offerloom.functions.literals import literal_array, literal_rows
 from offerloom.functions.text import words
 
 # The forms of grocery words in search spelling, one group per line; a word alone has no other form.
-FORM_GROUPS = """
-apfel aepfel
-tafelapfel tafelaepfel
-banane bananen
-orange orangen
-zitrone zitronen
-traube trauben
-kirsche kirschen
-birne birnen
-pflaume pflaumen
-himbeere himbeeren
-erdbeere erdbeeren
-blaubeere blaubeeren
-heidelbeere heidelbeeren
-mango mangos
-avocado avocados
-kiwi kiwis
-clementine clementinen
-mandarine mandarinen
-nektarine nektarinen
-ananas ananasse
-tomate tomaten
-kartoffel kartoffeln
-zwiebel zwiebeln
-gurke gurken
-karotte karotten
-moehre moehren
-paprika paprikas
-zucchini zucchinis
-aubergine auberginen
-bohne bohnen
-erbse erbsen
-linse linsen
-olive oliven
-radieschen
-champignon champignons
-pilz pilze
-wurst wuerste wuerstchen
-bratwurst bratwuerste
-rostbratwurst rostbratwuerste
-currywurst currywuerste
-steak steaks
-filet filets
-schnitzel
-haehnchen huhn huehnchen huehner
-haehnchenbrustfilet haehnchenbrustfilets
-schinken
-wuerstchen
-frikadelle frikadellen
-bulette buletten
-garnele garnelen
-joghurt joghurts jogurt jogurts yoghurt yoghurts
-kaese
-milch
-butter
-sahne
-quark
-brot brote broetchen
-broetchen
-brezel brezeln
-croissant croissants
-kuchen
-torte torten
-semmel semmeln
-nudel nudeln
-spaghetti
-reis
-mehl
-zucker
-salz
-oel oele
-essig
-nuss nuesse
-haselnuss haselnuesse
-walnuss walnuesse
-erdnuss erdnuesse
-mandel mandeln
-wasser waesser
-saft saefte
-apfelsaft apfelsaefte
-orangensaft orangensaefte
-limonade limonaden
-bier biere
-wein weine
-flasche flaschen
-dose dosen
-packung packungen
-beutel
-stueck
-scheibe scheiben
-glas glaeser
-becher
-tafel tafeln
-riegel
-ei eier
-pfeffer
-gewuerz gewuerze
-chips
-keks kekse
-praline pralinen
-schokolade schokoladen
-bonbon bonbons
-muesli mueslis
-pizza pizzen pizzas
-tiefkuehlpizza tiefkuehlpizzen
-waffel waffeln
-pfannkuchen
-"""
-WORD_FORMS: list[tuple[str, ...]] = [tuple(line.split()) for line in FORM_GROUPS.split("\n") if line]
+WORD_FORMS: list[tuple[str, ...]] = [
+    ("apfel", "aepfel"),
+    ("tafelapfel", "tafelaepfel"),
+    ("banane", "bananen"),
+    ("orange", "orangen"),
+    ("zitrone", "zitronen"),
+    ("traube", "trauben"),
+    ("kirsche", "kirschen"),
+    ("birne", "birnen"),
+    ("pflaume", "pflaumen"),
+    ("himbeere", "himbeeren"),
+    ("erdbeere", "erdbeeren"),
+    ("blaubeere", "blaubeeren"),
+    ("heidelbeere", "heidelbeeren"),
+    ("mango", "mangos"),
+    ("avocado", "avocados"),
+    ("kiwi", "kiwis"),
+    ("clementine", "clementinen"),
+    ("mandarine", "mandarinen"),
+    ("nektarine", "nektarinen"),
+    ("ananas", "ananasse"),
+    ("tomate", "tomaten"),
+    ("kartoffel", "kartoffeln"),
+    ("zwiebel", "zwiebeln"),
+    ("gurke", "gurken"),
+    ("karotte", "karotten"),
+    ("moehre", "moehren"),
+    ("paprika", "paprikas"),
+    ("zucchini", "zucchinis"),
+    ("aubergine", "auberginen"),
+    ("bohne", "bohnen"),
+    ("erbse", "erbsen"),
+    ("linse", "linsen"),
+    ("olive", "oliven"),
+    ("radieschen",),
+    ("champignon", "champignons"),
+    ("pilz", "pilze"),
+    ("wurst", "wuerste", "wuerstchen"),
+    ("bratwurst", "bratwuerste"),
+    ("rostbratwurst", "rostbratwuerste"),
+    ("currywurst", "currywuerste"),
+    ("steak", "steaks"),
+    ("filet", "filets"),
+    ("schnitzel",),
+    ("haehnchen", "huhn", "huehnchen", "huehner"),
+    ("haehnchenbrustfilet", "haehnchenbrustfilets"),
+    ("schinken",),
+    ("wuerstchen",),
+    ("frikadelle", "frikadellen"),
+    ("bulette", "buletten"),
+    ("garnele", "garnelen"),
+    ("joghurt", "joghurts", "jogurt", "jogurts", "yoghurt", "yoghurts"),
+    ("kaese",),
+    ("milch",),
+    ("butter",),
+    ("sahne",),
+    ("quark",),
+    ("brot", "brote", "broetchen"),
+    ("broetchen",),
+    ("brezel", "brezeln"),
+    ("croissant", "croissants"),
+    ("kuchen",),
+    ("torte", "torten"),
+    ("semmel", "semmeln"),
+    ("nudel", "nudeln"),
+    ("spaghetti",),
+    ("reis",),
+    ("mehl",),
+    ("zucker",),
+    ("salz",),
+    ("oel", "oele"),
+    ("essig",),
+    ("nuss", "nuesse"),
+    ("haselnuss", "haselnuesse"),
+    ("walnuss", "walnuesse"),
+    ("erdnuss", "erdnuesse"),
+    ("mandel", "mandeln"),
+    ("wasser", "waesser"),
+    ("saft", "saefte"),
+    ("apfelsaft", "apfelsaefte"),
+    ("orangensaft", "orangensaefte"),
+    ("limonade", "limonaden"),
+    ("bier", "biere"),
+    ("wein", "weine"),
+    ("flasche", "flaschen"),
+    ("dose", "dosen"),
+    ("packung", "packungen"),
+    ("beutel",),
+    ("stueck",),
+    ("scheibe", "scheiben"),
+    ("glas", "glaeser"),
+    ("becher",),
+    ("tafel", "tafeln"),
+    ("riegel",),
+    ("ei", "eier"),
+    ("pfeffer",),
+    ("gewuerz", "gewuerze"),
+    ("chips",),
+    ("keks", "kekse"),
+    ("praline", "pralinen"),
+    ("schokolade", "schokoladen"),
+    ("bonbon", "bonbons"),
+    ("muesli", "mueslis"),
+    ("pizza", "pizzen", "pizzas"),
+    ("tiefkuehlpizza", "tiefkuehlpizzen"),
+    ("waffel", "waffeln"),
+    ("pfannkuchen",),
+]
 # Short forms and the words they stand for, in the order they are tried.
 ABBREVIATIONS: list[tuple[str, str]] = [
     ("h milch", "haltbare milch"),

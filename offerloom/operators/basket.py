@@ -18,6 +18,38 @@ PAYLOAD = ["offer_id", "product_name", "brand", "price", "unit_group", "ppn"]
 ORDER = ["product_name", "offer_id"]
 
 
+# Why an entry of a raw basket is not a line.
+NOT_JSON, NO_LIST, NO_OBJECT, BAD_ID, EMPTY = "not json", "no list", "no object", "bad category id", "empty"
+
+
+def parse_baskets(raw: DataFrame) -> DataFrame:
+    """(basket_id, pos, item_no, q, brand, any_brand, category_id, reason) of raw baskets (basket_id, payload): JSON lists of loosely typed objects.
+
+    ``reason`` is null for lines, and tells of every other entry why it is none; a payload that is no
+    list is one such entry. An id must be text or a whole number; a brand that is blank counts as none.
+    """
+    parsed = raw.select("basket_id", F.try_parse_json("payload").alias("v"))
+    listed = F.startswith(F.schema_of_variant("v"), F.lit("ARRAY"))
+    entries = F.when(listed, F.try_variant_get("v", "$", "array<variant>"))
+    broken = F.when(F.col("v").isNull(), NOT_JSON).when(~listed, NO_LIST)
+    each = parsed.select("basket_id", broken.alias("broken"), F.posexplode_outer(entries).alias("pos", "item")).where("broken IS NOT NULL OR pos IS NOT NULL")
+    kind = F.coalesce(F.schema_of_variant("item"), F.lit(""))
+
+    def text(path: str) -> Column:
+        return F.trim(F.try_variant_get("item", f"$.{path}", "string"))
+
+    id_kind = F.coalesce(F.schema_of_variant(F.try_variant_get("item", "$.category_id", "variant")), F.lit("VOID"))
+    category = F.when(id_kind != "VOID", text("category_id"))
+    q, brand = F.coalesce(text("q"), F.lit("")), F.nullif(text("brand"), F.lit(""))
+    reason = (
+        F.when(F.col("broken").isNotNull(), F.col("broken")).when(~F.startswith(kind, F.lit("OBJECT")), NO_OBJECT)
+        .when(~id_kind.isin("VOID", "STRING", "BIGINT") | F.coalesce(category == "", F.lit(False)), BAD_ID)
+        .when((q == "") & category.isNull(), EMPTY)
+    )
+    any_brand = F.coalesce(F.try_variant_get("item", "$.any_brand", "boolean"), F.lit(True)) | brand.isNull()
+    return each.select("basket_id", "pos", text("item_no").alias("item_no"), q.alias("q"), brand.alias("brand"), any_brand.alias("any_brand"), category.alias("category_id"), reason.alias("reason"))
+
+
 def normalize_lines(lines: DataFrame, names: DataFrame) -> DataFrame:
     """Trim brands, drop empty lines, let a category line without text take the category's name."""
     brand = F.when(F.trim("brand") != "", F.trim("brand"))

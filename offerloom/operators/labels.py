@@ -127,6 +127,27 @@ def classify(names: DataFrame, column: str) -> DataFrame:
     )
 
 
+# Words of a normalised name and the attribute they give; a later entry replaces an earlier one of its name.
+ATTRIBUTES: list[tuple[str, str, str]] = [
+    (r"\bbio\b", "bio", "true"),
+    (r"\bdemeter\b", "demeter", "true"),
+    (r"\blaktosefrei\b", "laktosefrei", "true"),
+    (r"\bh milch\b|\bhmilch\b", "haltbar", "true"),
+    (r"\bhaltbare?\b", "haltbar", "true"),
+    (r"\b1 5\b", "fett", "1.5"),
+    (r"\b3 5\b", "fett", "3.5"),
+]
+
+
+def attributes(name: Column) -> Column:
+    """Sorted "attribute=value" texts of a name."""
+    norm = normalize_search_text(name)
+    found = {}
+    for pattern, attribute, value in ATTRIBUTES:
+        found[attribute] = F.when(norm.rlike(pattern), F.lit(f"{attribute}={value}")).otherwise(found.get(attribute, F.lit(None).cast("string")))
+    return F.array_sort(F.array_compact(F.array(*found.values())))
+
+
 def family_tree(classified: DataFrame) -> DataFrame:
     """Kind, family and expanded count of (name, product_type, search_scope, offers): the name equal to its type is the family."""
     norm, kind = normalize_search_text(F.col("name")), normalize_search_text(F.col("product_type"))

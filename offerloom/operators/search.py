@@ -160,6 +160,7 @@ def group_candidates(hits: DataFrame) -> DataFrame:
         F.min("regular_price").alias("regular_price"),
         F.max("valid_from").alias("valid_from"),
         F.max("valid_until").alias("valid_until"),
+        F.max("image_url").alias("image_url"),
     )
 
 
@@ -266,6 +267,15 @@ def products_across_chains(hits: DataFrame, top: int) -> DataFrame:
     return grouped.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= top).join(totals, "q")
 
 
+def hit_pages(hits: DataFrame, doc_id: str, offset: int, limit: int) -> DataFrame:
+    """(q, total, has_more, page): one page of each query's hits by score, with how many there are."""
+    totals = hits.groupBy("q").agg(F.count(F.lit(1)).alias("total"))
+    place = F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), doc_id))
+    shown = hits.select("q", "score", doc_id).withColumn("rn", place).where(F.col("rn") <= offset + limit).where(F.col("rn") > offset)
+    page = shown.groupBy("q").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", doc_id))), lambda x: x[doc_id]), ",").alias("page"))
+    return totals.join(page, "q", "left").select("q", "total", (F.lit(offset + limit) < F.col("total")).cast("int").alias("has_more"), F.coalesce("page", F.lit("")).alias("page"))
+
+
 def facets(hits: DataFrame) -> DataFrame:
     """Hits, chains and brands per query, from pre-aggregated pairs."""
     per = hits.groupBy("q", "chain", "brand").agg(F.count(F.lit(1)).alias("n"))

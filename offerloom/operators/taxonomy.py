@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from offerloom.session import cut_lineage
+
 
 def closure(categories: DataFrame, deepest: int = 100) -> DataFrame:
     """(ancestor_id, descendant_id, depth) of every node with itself and all nodes above it, at any depth.
@@ -119,20 +121,47 @@ def drop_containing_names(names: DataFrame) -> DataFrame:
     return low.join(longer, "word", "left_anti").select("name")
 
 
-def category_page(categories: DataFrame, offers: DataFrame, offset: int, limit: int) -> DataFrame:
-    """One page of the offers of every category subtree, cheapest first.
+class OfferPages:
+    """Pages of the offers of every category subtree, cheapest first, where any page costs the same.
 
-    Every leaf first keeps only what can reach the page, so a subtree never gathers all its offers.
+    Offers are dealt into blocks of neighbouring (price, id); counts per leaf and block, added up the
+    tree, tell which blocks hold a page. Only their offers are ranked, so that neither a window over
+    a subtree nor the rows before the page are needed.
     """
-    from pyspark.sql import Window as W
 
-    last = offset + limit
-    order = ["sales_price", "offer_id"]
-    priced = offers.where(F.col("sales_price").isNotNull()).select(F.col("category_id").alias("descendant_id"), *order)
-    top = priced.withColumn("rn", F.row_number().over(W.partitionBy("descendant_id").orderBy(*order))).where(F.col("rn") <= last).drop("rn")
-    tree = closure(categories).join(top, "descendant_id").select(F.col("ancestor_id").alias("category_id"), *order)
-    ranked = tree.withColumn("rn", F.row_number().over(W.partitionBy("category_id").orderBy(*order))).where(F.col("rn") <= last)
-    return ranked.where(F.col("rn") > offset)
+    def __init__(self, categories: DataFrame, offers: DataFrame) -> None:
+        priced = offers.where(F.col("sales_price").isNotNull() & F.col("category_id").isNotNull()).select("category_id", "sales_price", "offer_id")
+        self.categories = categories
+        self.tree = cut_lineage(closure(categories).select("ancestor_id", "descendant_id"))
+        self.rows = cut_lineage(priced.repartitionByRange("sales_price", "offer_id").withColumn("block", F.spark_partition_id()))
+        per_leaf = self.rows.groupBy(F.col("category_id").alias("descendant_id"), "block").agg(F.count(F.lit(1)).alias("n"))
+        self.counts = cut_lineage(self.tree.join(per_leaf, "descendant_id").groupBy(F.col("ancestor_id").alias("category_id"), "block").agg(F.sum("n").alias("n")))
+
+    def totals(self) -> DataFrame:
+        """(category_id, total) of the categories with offers below them."""
+        return self.counts.groupBy("category_id").agg(F.sum("n").alias("total"))
+
+    def page(self, offset: int, limit: int) -> DataFrame:
+        """(category_id, sales_price, offer_id, rn) of the offers ``offset`` + 1 to ``offset`` + ``limit``."""
+        from pyspark.sql import Window as W
+
+        before = F.sum("n").over(W.partitionBy("category_id").orderBy("block")) - F.col("n")
+        blocks = self.counts.withColumn("before", before).where((F.col("before") < offset + limit) & (F.col("before") + F.col("n") > offset))
+        leaves = blocks.select(F.col("category_id").alias("ancestor_id"), "block", "before").join(self.tree, "ancestor_id")
+        held = self.rows.withColumnRenamed("category_id", "descendant_id").join(leaves, ["descendant_id", "block"])
+        place = F.row_number().over(W.partitionBy("ancestor_id", "block").orderBy("sales_price", "offer_id"))
+        ranked = held.withColumn("rn", F.col("before") + place).where((F.col("rn") > offset) & (F.col("rn") <= offset + limit))
+        return ranked.select(F.col("ancestor_id").alias("category_id"), "sales_price", "offer_id", "rn")
+
+    def heads(self, offset: int, limit: int) -> DataFrame:
+        """(category_id, total, has_more, subcategories): what stands above a page; sub-categories by name, with their totals."""
+        totals = self.totals()
+        child = self.categories.where("parent_id IS NOT NULL").join(totals, "category_id").select(F.col("parent_id").alias("category_id"), F.struct("name", "total").alias("c"))
+        below = child.groupBy("category_id").agg(F.array_sort(F.collect_list("c")).alias("below"))
+        named = F.array_join(F.transform("below", lambda c: F.concat(c["name"], F.lit(":"), c["total"].cast("string"))), "|")
+        return totals.join(below, "category_id", "left").select(
+            "category_id", "total", (F.lit(offset + limit) < F.col("total")).cast("int").alias("has_more"), F.coalesce(named, F.lit("")).alias("subcategories")
+        )
 
 
 def count_check(categories: DataFrame, counts: DataFrame, labels: DataFrame) -> DataFrame:
@@ -146,6 +175,21 @@ def count_check(categories: DataFrame, counts: DataFrame, labels: DataFrame) ->
     )
 
 
+def group_check(categories: DataFrame, counts: DataFrame) -> DataFrame:
+    """(parent_id, category_id, parent_n, n, ok): a group has at least the products of each child."""
+    child = categories.where("parent_id IS NOT NULL").select("category_id", "parent_id").join(counts, "category_id")
+    return child.join(counts.select(F.col("category_id").alias("parent_id"), F.col("n").alias("parent_n")), "parent_id").select(
+        "parent_id", "category_id", "parent_n", "n", (F.col("parent_n") >= F.col("n")).cast("int").alias("ok")
+    )
+
+
+def local_check(local: DataFrame, counts: DataFrame, factor: float = 1.5, slack: int = 5) -> DataFrame:
+    """(location_id, category_id, local_n, global_n, ok): offers around a place do not exceed the products by more than factor and slack."""
+    return local.join(counts, "category_id").select(
+        "location_id", "category_id", F.col("offers").alias("local_n"), F.col("n").alias("global_n"), (F.col("offers") <= F.floor(F.col("n") * factor) + slack).cast("int").alias("ok")
+    )
+
+
 def orphans(categories: DataFrame, parents: DataFrame) -> DataFrame:
     """Nodes below level 1 without a parent one level up."""
     up = parents.select(F.col("category_id").alias("parent_id"), (F.col("level") + 1).alias("level"))

@@ -104,16 +104,39 @@ def ranking(t: Tables, keep: int | None = None, matches=priced):
     return basket.rank_stores(rows, keep)
 
 
+def raw_baskets(t: Tables):
+    """Baskets as requests send them: a JSON list a basket, some with entries that are no lines, and some texts that are no list."""
+    item = F.struct("item_no", F.concat(F.lit(" "), "q").alias("q"), F.concat("brand", F.lit(" ")).alias("brand"), "any_brand", "category_id")
+    listed = t.basket_lines.groupBy("basket_id").agg(F.array_sort(F.collect_list(F.to_json(item))).alias("items"))
+    odd = F.when(F.col("basket_id") % 5 == 0, F.array(*map(F.lit, ["7", '"text"', "null", '{"category_id": {"id": 1}, "q": "x"}', '{"category_id": true}', '{"q": "  "}'])))
+    payload = F.concat(F.lit("["), F.array_join(F.concat("items", F.coalesce(odd, F.array().cast("array<string>"))), ", "), F.lit("]"))
+    sent = listed.select("basket_id", payload.alias("payload"))
+    broken = t.read("supplier").select((-F.col("s_suppkey") - 1).alias("basket_id"), F.when(F.col("s_suppkey") % 2 == 0, '{"q": "no list"}').otherwise('[{"q": "cut').alias("payload"))
+    return sent.unionByName(broken)
+
+
 @query(
     "bsk0_basket_lines",
     "SELECT basket_id, item_no, q, brand, CASE WHEN any_brand OR brand IS NULL THEN 1 ELSE 0 END AS any_brand, category_id, n_members FROM basket_lines "
     "JOIN (SELECT category_id, count(*) AS n_members FROM expansion GROUP BY category_id) USING (category_id)",
 )
 def _(t: Tables):
+    """Lines out of raw JSON, with the number of categories that each stands for."""
     from offerloom.operators.taxonomy import expansion
 
+    parsed = basket.normalize_lines(basket.parse_baskets(raw_baskets(t)).where("reason IS NULL"), t.categories)
     sizes = expansion(t.categories).groupBy("category_id").agg(F.count(F.lit(1)).alias("n_members"))
-    return lines(t).drop("category_name").withColumn("any_brand", F.col("any_brand").cast("int")).join(sizes, "category_id")
+    return parsed.drop("category_name").withColumn("any_brand", F.col("any_brand").cast("int")).join(sizes, "category_id")
+
+
+@query(
+    "bsk0_rejected_items",
+    """SELECT reason, sum(n)::BIGINT AS items FROM (SELECT unnest(['no object', 'bad category id', 'empty']) AS reason, unnest([3, 2, 1]) AS n FROM (SELECT DISTINCT basket_id FROM basket_lines) WHERE basket_id % 5 = 0
+ UNION ALL SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'no list' ELSE 'not json' END, 1 FROM supplier) GROUP BY reason""",
+)
+def _(t: Tables):
+    """Entries of raw baskets that are no lines, by reason."""
+    return basket.parse_baskets(raw_baskets(t)).where("reason IS NOT NULL").groupBy("reason").agg(F.count(F.lit(1)).alias("items"))
 
 
 @query(

@@ -12,6 +12,7 @@ from offerloom.plans.clean import STORE_NAMES, _alias_case_sql, _chain_case_sql,
 from offerloom.plans.registry import query
 from offerloom.plans.views import VIEWS, Tables
 from offerloom.sources import brochures as br
+from offerloom.session import shared_folder
 from offerloom.sources import exchange, pages, stores
 
 S = "string"
@@ -29,9 +30,13 @@ def nested_brochures(t: Tables):
         F.array(F.struct(F.lit("Food").alias("name"))).alias("categoryPaths"),
     )
     content = F.struct(
-        F.col("offer_id").alias("id"), F.lit("offer").alias("type"), none.alias("image"),
+        F.col("offer_id").alias("id"), F.lit("offer").alias("type"), F.concat(F.lit("img/"), "offer_id").alias("image"),
         F.array(deal("OTHER", none, none), deal("REGULAR_PRICE", comma("regular_price"), none), deal("SALES_PRICE", comma("sales_price"), F.col("base_price_text"))).alias("deals"),
+        F.struct(F.when(F.col("page_number") % 2 == 0, "percent").alias("type"), F.when(F.col("page_number") % 2 == 0, F.concat((F.col("page_number") * 5).cast(S), F.lit(",5"))).alias("value")).alias("discountLabel"),
         F.array(product).alias("products"),
+        F.struct(F.struct(F.struct(
+            F.struct(F.lit(0.1).alias("x"), (F.col("page_number") / 10.0).alias("y")).alias("topLeft"), F.struct(F.lit(0.9).alias("x"), F.lit(1.0).alias("y")).alias("bottomRight"),
+        ).alias("area")).alias("page")).alias("parentContent"),
     )
     image = lambda size, url: F.struct(size.alias("size"), url.alias("url"))
     page = F.struct(
@@ -44,12 +49,56 @@ def nested_brochures(t: Tables):
         F.array(F.struct(F.lit("main").alias("placement"), F.lit("std").alias("adFormat"), content.alias("content"))).alias("offers"),
     )
     head = F.struct(
-        F.col("brochure_id").cast(S).alias("id"), F.struct(F.lit("p").alias("id"), F.first("chain").alias("name")).alias("publisher"),
+        F.col("brochure_id").cast(S).alias("id"), F.first("brochure_id").alias("legacyId"), F.concat(F.lit("Angebote  "), F.first("brochure_id").cast(S)).alias("title"),
+        F.lit("static_brochure").alias("type"), F.count(F.lit(1)).cast("int").alias("pageCount"), F.struct(F.lit("p").alias("id"), F.first("chain").alias("name")).alias("publisher"),
         F.concat(F.min("valid_from").cast(S), F.lit("T00:00:00.000+0000")).alias("validFrom"), F.concat(F.max("valid_until").cast(S), F.lit("T22:59:59.000+0000")).alias("validUntil"),
     )
     return raw.groupBy("brochure_id").agg(F.collect_list(page).alias("contents"), head.alias("content")).withColumn("chain_key", F.lit("key"))
 
 
+@query(
+    "src1_brochure_folders",
+    """SELECT 'chain' || (brochure_id % 10)::VARCHAR AS chain_key, brochure_id::VARCHAR AS folder, brochure_id::VARCHAR AS brochure_id, count(*)::INTEGER AS pages FROM raw_offers
+WHERE brochure_id % 7 <> 0 AND brochure_id % 11 <> 0 GROUP BY brochure_id""",
+)
+def _(t: Tables):
+    """Brochures written to the shared folder and read again; some lack their metadata, others their pages."""
+    nested = nested_brochures(t).select(
+        F.concat(F.lit("chain"), (F.col("brochure_id") % 10).cast(S)).alias("chain_key"), F.col("brochure_id").cast(S).alias("folder"), "content", "contents"
+    )
+    root = shared_folder(t.spark, "brochures")
+    number = F.col("folder").cast("long")
+    br.write_folders(nested, root, number % 7 != 0, number % 11 != 0)
+    return br.read_folders(t.spark, root).select("chain_key", "folder", F.col("content.id").alias("brochure_id"), F.size("contents").alias("pages"))
+
+
+@query(
+    "src2_offer_details",
+    """SELECT offer_id AS offer_content_id, brochure_id AS legacy_id, 'Angebote ' || brochure_id::VARCHAR AS title, 'offer' AS offer_type, 'main' AS placement, 'std' AS ad_format, 'Food' AS categories,
+ CASE WHEN page_number % 2 = 0 THEN 'percent' END AS discount_label_type, CASE WHEN page_number % 2 = 0 THEN page_number * 5 + 0.5 END::DOUBLE AS discount_label_value,
+ 'img/' || offer_id AS offer_image_url, page_number::DOUBLE / 10::DOUBLE AS box_top, 0.9::DOUBLE AS box_right, 3 AS deals FROM raw_offers""",
+)
+def _(t: Tables):
+    """Placement, labels, picture and box of the printed offers."""
+    flat = br.flatten_offers(nested_brochures(t))
+    return flat.select(
+        "offer_content_id", "legacy_id", "title", "offer_type", "placement", "ad_format", F.array_join("category_names", "|").alias("categories"), "discount_label_type", "discount_label_value",
+        "offer_image_url", F.col("bbox.top").alias("box_top"), F.col("bbox.right").alias("box_right"), F.size("raw_deals").alias("deals"),
+    )
+
+
+@query(
+    "bld4_brochure_details",
+    """SELECT brochure_id::VARCHAR AS brochure_id, 'key' AS chain_key, 'Angebote ' || brochure_id::VARCHAR AS title, min(valid_from)::VARCHAR AS valid_from, max(valid_until)::VARCHAR AS valid_until,
+ 'static_brochure' AS brochure_type, count(*)::INTEGER AS page_count FROM raw_offers GROUP BY brochure_id""",
+)
+def _(t: Tables):
+    """Brochures with title, validity and type out of their metadata; each comes twice, the first counts."""
+    nested = nested_brochures(t).withColumn("seq", F.col("brochure_id"))
+    later = nested.withColumn("seq", F.col("seq") + 10**12).withColumn("content", F.col("content").withField("title", F.lit("later")))
+    return br.brochure_dimension(nested.unionByName(later), "seq").drop("publisher_name")
+
+
 @query(
     "src2_flatten_offers",
     """SELECT brochure_id::VARCHAR AS brochure_id, page_number, offer_id AS offer_content_id, product_name, brand AS brand_name, description AS description_text,
@@ -206,6 +255,30 @@ def _(t: Tables):
     return stores.flatten_elements(elements(t))
 
 
+@query(
+    "src15_mapped_sources",
+    """SELECT source, store_id, name, chain, lat, lon, address, postcode, city_name FROM (
+ SELECT 'aldi' AS source, store_id::VARCHAR AS store_id, trim('Aldi ' || coalesce(city, '')) AS name, 'Aldi' AS chain, lat, lon, 'Weg ' || store_id::VARCHAR AS address, postcode, city AS city_name FROM stores WHERE store_id % 3 = 0
+ UNION ALL SELECT 'edeka', store_id::VARCHAR, CASE WHEN store_id % 2 = 0 THEN 'Marktkauf ' || store_id::VARCHAR ELSE trim('Edeka ' || coalesce(city, '')) END, CASE WHEN store_id % 2 = 0 THEN 'Marktkauf' ELSE 'Edeka' END, lat, lon,
+  'Platz ' || store_id::VARCHAR, postcode, city FROM stores WHERE store_id % 3 = 1
+ UNION ALL SELECT 'norma', store_id::VARCHAR, trim('Norma ' || coalesce(city, '')), 'Norma', lat, lon, NULL, postcode, city FROM stores WHERE store_id % 3 = 2 AND store_id % 4 <> 0)""",
+)
+def _(t: Tables):
+    """Store lists of three sources, each with its own field names, as rows of one table."""
+    k, lat, lon = F.col("store_id"), F.col("lat").alias("lat"), F.col("lon")
+    named = F.concat(F.lit("Marktkauf "), k.cast(S))
+    records = {
+        "aldi": (k % 3 == 0, F.struct(k.cast(S).alias("identifier"), lat, lon.alias("lng"), F.concat(F.lit("Weg "), k.cast(S)).alias("streetAndNumber"), F.col("postcode").alias("zip"), "city")),
+        "edeka": (k % 3 == 1, F.struct(
+            k.alias("id"), F.when(k % 2 == 0, named).alias("name"), F.struct(lat, lon.alias("lng")).alias("coordinates"), F.lit("regional").alias("distributionChannel"),
+            F.struct(F.concat(F.lit("Platz "), k.cast(S)).alias("street"), F.col("postcode").alias("zipCode"), "city").alias("address"),
+        )),
+        "norma": (k % 3 == 2, F.struct(k.alias("id"), F.when(k % 4 != 0, F.col("lat")).alias("latitude"), lon.alias("longitude"), F.col("postcode").alias("zip"), F.col("city").alias("ort"))),
+    }
+    mapped = [stores.map_source(t.stores.where(rows).select(F.to_json(record).alias("record")), source) for source, (rows, record) in records.items()]
+    return mapped[0].unionByName(mapped[1]).unionByName(mapped[2])
+
+
 @query(
     "src15_store_upsert",
     """SELECT store_id, arg_max(name, v) AS name, arg_max(chain, v) AS chain, min(v) AS created, max(v) AS updated FROM (SELECT store_id, name, chain, 1 AS v FROM stores WHERE city IS NOT NULL

@@ -69,6 +69,17 @@ def _(t: Tables):
     return lb.classify(lb.canonical_names(shop_names(t)), "canonical").drop("ingredients")
 
 
+@query(
+    "bld11_attributes",
+    f"""SELECT canonical, array_to_string(list_sort(list_filter([CASE WHEN regexp_matches(n, '\\bbio\\b') THEN 'bio=true' END, CASE WHEN regexp_matches(n, '\\bdemeter\\b') THEN 'demeter=true' END,
+ CASE WHEN regexp_matches(n, '\\blaktosefrei\\b') THEN 'laktosefrei=true' END, CASE WHEN regexp_matches(n, '\\bh milch\\b|\\bhmilch\\b|\\bhaltbare?\\b') THEN 'haltbar=true' END,
+ CASE WHEN regexp_matches(n, '\\b3 5\\b') THEN 'fett=3.5' WHEN regexp_matches(n, '\\b1 5\\b') THEN 'fett=1.5' END], lambda x: x IS NOT NULL)), ',') AS attributes
+FROM (SELECT canonical, {norm_sql('canonical')} AS n FROM canonical_names)""",
+)
+def _(t: Tables):
+    return lb.canonical_names(shop_names(t)).select("canonical", F.array_join(lb.attributes(F.col("canonical")), ",").alias("attributes"))
+
+
 @query("bld12_category_of_names", "SELECT g.product_name, c.canonical FROM shop_names s JOIN grouped_names g USING (product_name) JOIN canonical_names c USING (key)")
 def _(t: Tables):
     names = shop_names(t)

@@ -93,7 +93,18 @@ def _(t: Tables):
 )
 def _(t: Tables):
     """Second page and third page of twenty of every category, by price."""
-    return taxonomy.category_page(t.categories, t.offers, offset=20, limit=40)
+    return taxonomy.OfferPages(t.categories, t.offers).page(20, 40).select("category_id", "offer_id", "sales_price", F.col("rn").cast("int").alias("rn"))
+
+
+@query(
+    "tax7_page_heads",
+    """WITH n AS (SELECT x.ancestor_id AS category_id, count(*) AS total FROM closure x JOIN offers o ON o.category_id = x.descendant_id WHERE o.sales_price IS NOT NULL GROUP BY x.ancestor_id)
+SELECT n.category_id, n.total, CASE WHEN 60 < n.total THEN 1 ELSE 0 END AS has_more, coalesce(b.below, '') AS subcategories FROM n LEFT JOIN (
+ SELECT c.parent_id, string_agg(c.name || ':' || k.total::VARCHAR, '|' ORDER BY c.name, k.total) AS below FROM categories c JOIN n k ON k.category_id = c.category_id GROUP BY c.parent_id) b ON b.parent_id = n.category_id""",
+)
+def _(t: Tables):
+    """Totals, whether more follows and the sub-categories of the same pages."""
+    return taxonomy.OfferPages(t.categories, t.offers).heads(20, 40)
 
 
 @query(
@@ -118,6 +129,30 @@ def _(t: Tables):
     )
 
 
+@query(
+    "tax9_group_not_below_child",
+    """SELECT c.parent_id, c.category_id, p.n::BIGINT AS parent_n, k.n::BIGINT AS n, CASE WHEN p.n >= k.n THEN 1 ELSE 0 END AS ok FROM categories c JOIN category_counts k ON k.category_id = c.category_id
+JOIN category_counts p ON p.category_id = c.parent_id""",
+)
+def _(t: Tables):
+    """No group has fewer products than one of its children."""
+    counts = category_counts(t)
+    return taxonomy.group_check(t.categories, counts)
+
+
+@query(
+    "tax9_local_within_global",
+    """SELECT s.location_id, s.category_id, s.offers::BIGINT AS local_n, k.n::BIGINT AS global_n, CASE WHEN s.offers <= floor(k.n * 1.5::DOUBLE) + 5 THEN 1 ELSE 0 END AS ok
+FROM scope_counts s JOIN category_counts k USING (category_id)""",
+)
+def _(t: Tables):
+    """Local counts against the products of the whole country."""
+    from offerloom.operators import scope
+
+    local = scope.scope_category_counts(*area(t), t.offer_links, t.offers, t.categories)
+    return taxonomy.local_check(local, category_counts(t))
+
+
 @query(
     "jn4_label_chain",
     """SELECT s.label, s.label_type, c.category_id, c.name, p.name AS parent_name, g.name AS grandparent_name FROM search_labels s JOIN product_labels l USING (product_key)

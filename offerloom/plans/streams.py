@@ -16,6 +16,8 @@ from offerloom.plans.texts import offer_texts, phrases
 from offerloom.plans.views import VIEWS, Tables
 from offerloom.session import shared_folder
 from offerloom.streaming import logs
+from offerloom.streaming.buckets import upsert_stream
+from offerloom.streaming.expiry import rocks_state, valid_offers
 
 
 def stream_of(t: Tables, name: str) -> DataFrame:
@@ -61,20 +63,24 @@ def _(t: Tables):
     reports = stream_of(t, "orders").select(
         F.col("o_custkey").alias("store_id"), F.col("o_orderstatus").alias("status"), F.struct("o_orderdate", "o_orderkey").alias("version"),
     )
-    state = logs.upsert_stream(reports, shared_folder(t.spark, "stores"), ["store_id"], "version")
+    state = upsert_stream(reports, shared_folder(t.spark, "stores"), ["store_id"], "version")
     return state.select("store_id", "status", F.to_date("version.o_orderdate").alias("seen"))
 
 
 @query("str4_streaming_dedup", "SELECT DISTINCT chain, product_name, brand, valid_year FROM (SELECT *, year(valid_from) AS valid_year FROM raw_offers)")
 def _(t: Tables):
+    """An offer is passed on until its year ends, and again in a later year."""
     part = t.read("part").select("p_partkey", F.col("p_name").alias("product_name"), F.col("p_brand").alias("brand"))
     line = stream_of(t, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    year = F.year("l_shipdate")
     offers = line.select(
-        F.concat(F.lit("Chain#"), (F.col("l_suppkey") % 10).cast("string")).alias("chain"), "product_name", "brand", F.year("l_shipdate").cast("bigint").alias("valid_year"), "l_shipdate",
+        F.concat(F.lit("Chain#"), (F.col("l_suppkey") % 10).cast("string")).alias("chain"), "product_name", "brand",
+        F.make_timestamp(year, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)).alias("starts"), F.make_timestamp(year, F.lit(12), F.lit(31), F.lit(23), F.lit(59), F.lit(59)).alias("ends"),
     )
-    key = ["chain", "product_name", "brand", "valid_year"]
-    first = logs.first_offers(offers, key, "l_shipdate", "400 days").select(*key)
-    return logs.run_to_table(first, shared_folder(t.spark, "offers"))
+    key = ["chain", "product_name", "brand"]
+    with rocks_state(t.spark):
+        passed = logs.run_to_table(valid_offers(offers, key, "starts", "ends"), shared_folder(t.spark, "offers"))
+    return passed.select(*key, F.year(F.timestamp_seconds("start_s")).cast("bigint").alias("valid_year"))
 
 
 VIEWS["phrase_log"] = """

@@ -119,7 +119,7 @@ def _(t: Tables):
 @query(
     "txt4_candidate_groups",
     """SELECT q, chain, product_name, brand, category_id, min(offer_id) AS offer_id, min(sales_price) AS sales_price, min(regular_price) AS regular_price,
- max(valid_from) AS valid_from, max(valid_until) AS valid_until FROM (SELECT * FROM prefix_hits JOIN offers USING (offer_id)) GROUP BY q, chain, product_name, brand, category_id""",
+ max(valid_from) AS valid_from, max(valid_until) AS valid_until, max(image_url) AS image_url FROM (SELECT * FROM prefix_hits JOIN offers USING (offer_id)) GROUP BY q, chain, product_name, brand, category_id""",
 )
 def _(t: Tables):
     found = search.prefix_search(phrases(t), index(t), "offer_id")
@@ -298,6 +298,16 @@ def _(t: Tables):
     return search.facets(shown_hits(t))
 
 
+@query(
+    "txt17_pages",
+    """SELECT q, count(*) AS total, CASE WHEN 40 < count(*) THEN 1 ELSE 0 END AS has_more, coalesce(string_agg(offer_id, ',' ORDER BY rn) FILTER (WHERE rn > 20 AND rn <= 40), '') AS page
+FROM (SELECT q, offer_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, offer_id) AS rn FROM shown_hits) GROUP BY q""",
+)
+def _(t: Tables):
+    """The second page of twenty hits of every phrase."""
+    return search.hit_pages(shown_hits(t), "offer_id", 20, 20)
+
+
 @query(
     "txt18_client_sorts",
     """SELECT q, offer_id, by_price, by_price_desc, by_discount FROM (SELECT q, offer_id,

@@ -95,6 +95,7 @@ class Tables:
             F.col("l_orderkey").alias("brochure_id"),
             F.col("l_linenumber").cast("bigint").alias("page_number"),
             F.concat_ws("/", "p_type", "p_brand", "p_name").alias("own_category_id"),
+            F.concat(F.lit("img/"), (F.col("l_partkey") % 50).cast("string"), F.lit(".jpg")).alias("image_url"),
         )
 
     @cached_property
@@ -107,7 +108,7 @@ class Tables:
             .join(labels, "product_key", "left")
             .select(
                 "offer_id", "chain", "product_name", "brand", "product_key", "description", "sales_price", "regular_price",
-                "base_price_text", "valid_from", "valid_until", "brochure_id", "page_number", "own_category_id",
+                "base_price_text", "valid_from", "valid_until", "brochure_id", "page_number", "own_category_id", "image_url",
                 F.col("unit.unit_group").alias("unit_group"),
                 F.col("unit.price_per_normalized").alias("ppn"),
                 F.coalesce("label_category_id", "own_category_id").alias("category_id"),
@@ -269,7 +270,7 @@ SELECT lpad(l_orderkey::VARCHAR, 12, '0') || '-' || lpad(l_partkey::VARCHAR, 11,
             ELSE {big} || ' = ' || {comma} END AS base_price_text,
        make_date(year(l_shipdate), 1, 1) AS valid_from, make_date(year(l_shipdate), 12, 31) AS valid_until,
        l_orderkey AS brochure_id, l_linenumber::BIGINT AS page_number,
-       p_type || '/' || p_brand || '/' || p_name AS own_category_id
+       p_type || '/' || p_brand || '/' || p_name AS own_category_id, 'img/' || (l_partkey % 50)::VARCHAR || '.jpg' AS image_url
 FROM lineitem JOIN part ON l_partkey = p_partkey"""
 
 

@@ -13,7 +13,11 @@ METADATA_SCHEMA = (
 )
 _PRODUCT = "struct<name string, brandName string, description array<struct<paragraph string>>, categoryPaths array<struct<name string>>>"
 _DEAL = "struct<type string, min string, currencyCode string, priceByBaseUnit string>"
-_CONTENT = f"struct<id string, type string, image string, deals array<{_DEAL}>, products array<{_PRODUCT}>>"
+_CORNER = "struct<x double, y double>"
+_CONTENT = (
+    f"struct<id string, type string, image string, deals array<{_DEAL}>, discountLabel struct<type string, value string>, products array<{_PRODUCT}>, "
+    f"parentContent struct<page struct<area struct<topLeft {_CORNER}, bottomRight {_CORNER}>>>>"
+)
 PAGES_SCHEMA = (
     "contents array<struct<number int, images array<struct<size string, url string>>, linkOuts array<string>, "
     f"offers array<struct<placement string, adFormat string, content {_CONTENT}>>>>"
@@ -33,6 +37,36 @@ def read_brochures(spark: SparkSession, root: str) -> DataFrame:
     return read("metadata", METADATA_SCHEMA).join(read("pages", PAGES_SCHEMA), ["chain_key", "folder"])
 
 
+def write_folders(brochures: DataFrame, root: str, metadata: Column | None = None, pages_of: Column | None = None) -> None:
+    """Brochures (chain_key, folder, content, contents) as JSON lines below ``root``, metadata and pages apart, by chain.
+
+    The conditions choose which brochures get either of the two.
+    """
+    for name, column, chosen in (("metadata", "content", metadata), ("pages", "contents", pages_of)):
+        rows = brochures if chosen is None else brochures.where(chosen)
+        rows.select("chain_key", "folder", column).write.mode("overwrite").partitionBy("chain_key").json(f"{root}/{name}")
+
+
+def read_folders(spark: SparkSession, root: str) -> DataFrame:
+    """What ``write_folders`` wrote: (chain_key, folder, content, contents) of the brochures that have both."""
+    def read(name: str, schema: str) -> DataFrame:
+        return spark.read.schema(f"chain_key string, folder string, {schema}").option("basePath", f"{root}/{name}").json(f"{root}/{name}")
+
+    return read("metadata", METADATA_SCHEMA).join(read("pages", PAGES_SCHEMA), ["chain_key", "folder"])
+
+
+def brochure_dimension(brochures: DataFrame, order: str) -> DataFrame:
+    """One row per brochure id with its title, publisher, validity, type and number of pages; the first by ``order`` wins."""
+    rows = brochures.where("content.id IS NOT NULL").select(
+        F.col("content.id").alias("brochure_id"), order, "chain_key", compact_text(F.col("content.title")).alias("title"), F.col("content.publisher.name").alias("publisher_name"),
+        F.substring("content.validFrom", 1, 10).alias("valid_from"), F.substring("content.validUntil", 1, 10).alias("valid_until"),
+        F.col("content.type").alias("brochure_type"), F.coalesce("content.pageCount", F.size("contents")).alias("page_count"),
+    )
+    rest = [c for c in rows.columns if c != "brochure_id"]
+    first = rows.groupBy("brochure_id").agg(F.min_by(F.struct(*rest), order).alias("b"))
+    return first.select("brochure_id", *[f"b.{c}" for c in rest if c != order])
+
+
 def deal_values(deals: Column) -> Column:
     """First sale price, regular price, currency and non-empty base price of a list of deals, with the discount."""
 
@@ -59,9 +93,16 @@ def flatten_offers(brochures: DataFrame) -> DataFrame:
     each = pages(brochures).select("chain_key", "brochure_id", "head", (F.col("page.number") + 1).alias("page_number"), F.explode("page.offers").alias("offer"))
     product = F.get(F.col("offer.content.products"), F.lit(0))
     paragraphs = F.filter(F.transform(product["description"], lambda d: compact_text(d["paragraph"])), lambda p: p != "")
+    names = F.filter(F.transform(product["categoryPaths"], lambda c: compact_text(c["name"])), lambda n: n != "")
+    category_names = F.coalesce(names, F.array().cast("array<string>"))
+    area = F.col("offer.content.parentContent.page.area")
     rows = each.select(
-        "chain_key", "brochure_id", F.col("head.publisher.name").alias("publisher_name"), F.substring("head.validFrom", 1, 10).alias("valid_from"),
-        F.substring("head.validUntil", 1, 10).alias("valid_until"), "page_number", F.col("offer.content.id").alias("offer_content_id"), "offer.placement",
+        "chain_key", "brochure_id", F.col("head.legacyId").alias("legacy_id"), compact_text(F.col("head.title")).alias("title"), F.col("head.publisher.name").alias("publisher_name"), F.substring("head.validFrom", 1, 10).alias("valid_from"),
+        F.substring("head.validUntil", 1, 10).alias("valid_until"), "page_number", F.col("offer.content.id").alias("offer_content_id"), F.col("offer.content.type").alias("offer_type"), "offer.placement",
+        F.col("offer.adFormat").alias("ad_format"), category_names.alias("category_names"), F.col("offer.content.discountLabel.type").alias("discount_label_type"),
+        lenient_decimal(F.col("offer.content.discountLabel.value")).alias("discount_label_value"), F.col("offer.content.image").alias("offer_image_url"),
+        F.struct(area["topLeft"]["x"].alias("left"), area["topLeft"]["y"].alias("top"), area["bottomRight"]["x"].alias("right"), area["bottomRight"]["y"].alias("bottom")).alias("bbox"),
+        F.col("offer.content.deals").alias("raw_deals"),
         compact_text(product["name"]).alias("product_name"), compact_text(product["brandName"]).alias("brand_name"),
         F.coalesce(F.array_join(paragraphs, " "), F.lit("")).alias("description_text"), deal_values(F.col("offer.content.deals")).alias("d"),
     )

@@ -33,6 +33,52 @@ def flatten_elements(elements: DataFrame) -> DataFrame:
     return last_by(rows.where("lat IS NOT NULL AND lon IS NOT NULL"), ["type", "id"], [F.col("seq")]).drop("seq")
 
 
+# Where the store lists of the sources keep what a store row needs, in the order they are tried.
+SOURCE_FIELDS: dict[str, dict[str, list[str]]] = {
+    "aldi": {"store_id": ["id", "identifier"], "name": [], "lat": ["lat"], "lon": ["lng"], "address": ["streetAndNumber"], "postcode": ["zip"], "city_name": ["city"]},
+    "kaufland": {"store_id": ["n"], "name": [], "lat": ["lat"], "lon": ["lng"], "address": ["sn"], "postcode": ["pc"], "city_name": ["t"]},
+    "globus": {
+        "store_id": ["nummer", "id"], "name": ["name"], "lat": ["breitengrad", "lat"], "lon": ["laengengrad", "lng"], "address": ["strasse"], "postcode": ["plz"], "city_name": ["stadt"],
+    },
+    "lidl": {"store_id": ["EntityID"], "name": [], "lat": ["Latitude"], "lon": ["Longitude"], "address": ["AddressLine"], "postcode": ["PostalCode"], "city_name": ["Locality"]},
+    "edeka": {
+        "store_id": ["id"], "name": ["name"], "lat": ["coordinates.lat"], "lon": ["coordinates.lng"], "address": ["address.street"], "postcode": ["address.zipCode"], "city_name": ["address.city"],
+    },
+    "norma": {
+        "store_id": ["id"], "name": ["name"], "lat": ["lat", "latitude"], "lon": ["lng", "longitude", "lon"], "address": ["street", "address"], "postcode": ["zip", "postcode"],
+        "city_name": ["city", "ort"],
+    },
+    "penny": {
+        "store_id": ["marketId"], "name": ["marketName"], "lat": ["latitude"], "lon": ["longitude"], "address": ["streetWithHouseNumber"], "postcode": ["zipCode"], "city_name": ["city"],
+    },
+}
+
+
+def map_source(records: DataFrame, source: str, chain: Column | None = None, fields: dict[str, dict[str, list[str]]] | None = None) -> DataFrame:
+    """Store rows out of the JSON records (record) of one source; those without coordinates are left out.
+
+    A store without name is called by its chain and city. ``chain`` defaults to the source's name,
+    for Edeka to the split into its two chains.
+    """
+    from offerloom.functions.chains import split_chain
+
+    paths = (fields or SOURCE_FIELDS)[source]
+
+    def field(name: str) -> Column:
+        found = [_filled(F.get_json_object("record", f"$.{path}")) for path in paths[name]]
+        return F.coalesce(*found) if found else F.lit(None).cast("string")
+
+    if chain is None:
+        chain = split_chain(F.coalesce(F.get_json_object("record", "$.distributionChannel"), F.lit("")), F.coalesce(field("name"), F.lit(""))) if source == "edeka" else F.lit(source.title())
+    rows = records.select(
+        F.lit(source).alias("source"), field("store_id").alias("store_id"), field("name").alias("given"), chain.alias("chain"),
+        F.nullif(field("lat").try_cast("double"), F.lit(0.0)).alias("lat"), F.nullif(field("lon").try_cast("double"), F.lit(0.0)).alias("lon"),
+        field("address").alias("address"), field("postcode").alias("postcode"), field("city_name").alias("city_name"),
+    ).where("lat IS NOT NULL AND lon IS NOT NULL")
+    name = F.coalesce("given", F.trim(F.concat_ws(" ", "chain", "city_name")))
+    return rows.select("source", "store_id", name.alias("name"), "chain", "lat", "lon", "address", "postcode", "city_name")
+
+
 def upsert(batches: DataFrame, key: list[str], version: str, payload: list[str]) -> DataFrame:
     """Union of batches: the newest row per key, with the first and last version it was seen in."""
     seen = batches.groupBy(*key).agg(

@@ -55,11 +55,6 @@ def daily_prices(samples: DataFrame, delay: str = "1 day") -> DataFrame:
     return stats.select(F.col("w.start").alias("day"), "category_id", "avg_price", "min_price", "max_price", "samples")
 
 
-def first_offers(offers: DataFrame, key: list[str], time: str, delay: str) -> DataFrame:
-    """Offers whose key was not seen within the watermark."""
-    return offers.withWatermark(time, delay).dropDuplicatesWithinWatermark(key)
-
-
 def run_to_table(stream: DataFrame, folder: str) -> DataFrame:
     """Drain a stream into a Parquet table in append mode and read it back."""
     query = (
@@ -68,28 +63,3 @@ def run_to_table(stream: DataFrame, folder: str) -> DataFrame:
     )
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/table")
-
-
-def upsert_stream(stream: DataFrame, folder: str, key: list[str], version: str) -> DataFrame:
-    """Keep the newest row per key over all batches.
-
-    Every batch writes a new version of the table next to the old one and the stream's own
-    batch number names it, so a repeated batch writes the same version again.
-    """
-    from offerloom.operators.catalog import last_by
-
-    spark = stream.sparkSession
-
-    def merge(batch: DataFrame, number: int) -> None:
-        rows = batch
-        if number > 0:
-            rows = rows.unionByName(batch.sparkSession.read.schema(stream.schema).parquet(f"{folder}/v{number - 1}"))
-        last_by(rows, key, [F.col(version)]).select(*stream.columns).write.mode("overwrite").parquet(f"{folder}/v{number}")
-        spark.createDataFrame([(number,)], "number long").write.mode("append").parquet(f"{folder}/versions")
-
-    query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
-    written = spark.createDataFrame([], "number long").write.mode("append")
-    written.parquet(f"{folder}/versions")
-    last = spark.read.schema("number long").parquet(f"{folder}/versions").agg(F.max("number")).first()[0]
-    return spark.createDataFrame([], stream.schema) if last is None else spark.read.schema(stream.schema).parquet(f"{folder}/v{last}")
