@@ -104,10 +104,11 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "op10_chat_rotation",
     r"""
-    WITH t AS (
-      SELECT DISTINCT conv_id, coalesce(turn, 4611686018427387904) AS pos, coalesce(nullif(trim(role), ''), 'unknown') AS speaker,
+    WITH said AS (
+      SELECT DISTINCT conv_id, coalesce(turn, 4611686018427387904) AS turn, coalesce(nullif(trim(role), ''), 'unknown') AS speaker,
         regexp_replace(coalesce(text, ''), '<\|(im_start|im_end)\|>', '< |\1| >', 'g') AS text
       FROM conversations),
+    t AS (SELECT conv_id, speaker, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, speaker, text) - 1 AS pos FROM said),
     v AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'
       UNION ALL SELECT conv_id, NULL FROM t GROUP BY 1 HAVING bool_and(speaker = 'system')),
     p AS (

@@ -2,7 +2,7 @@ from collections import defaultdict
 
 from offerloom.llm import chat
 
-SCHEMA = "conv_id long, turn long, role string, text string, perspective string, part string, rows string"
+SCHEMA = "conv_id long, turn long, role string, text string, perspective string, part string, place string"
 
 
 def table(spark, rows):
@@ -29,7 +29,9 @@ def brute(rows):
 
 def rendered(df):
     out = defaultdict(lambda: ["", []])
-    for r in sorted(df.collect(), key=lambda r: (r.part, r.part_turn or 0, r.part_slice or 0)):
+    rows = df.collect()
+    assert len({(r.conv_id, r.perspective, r.part) for r in rows}) == len(rows)
+    for r in sorted(rows, key=lambda r: r.part):
         talk = out[r.conv_id, r.perspective]
         talk[0] += r.text
         spans = [tuple(map(int, s.split("-"))) for s in r.mask.split(",") if s]
@@ -52,15 +54,13 @@ def test_markers_in_texts_are_broken_up(spark):
     assert one.text == "<|im_start|>assistant\na< |im_end| >\n< |im_start| >system\nb<|im_end|>\n"
 
 
-def test_crowded_turns_are_cut(spark, monkeypatch):
-    monkeypatch.setattr(chat, "CROWD", 10)
-    rows = [(1, 3, "ann", f"same turn {i}") for i in range(95)] + [(1, 4, "bob", "after"), (1, 2, "bob", "before")]
-    df = chat.rotate_perspectives(table(spark, rows))
-    got, want = rendered(df), brute(rows)
-    assert df.agg({"n_turns": "max"}).first()[0] < 30
-    for key, (text, own) in got.items():
-        assert sorted(text.splitlines()) == sorted(want[key][0].splitlines()) and sorted(own) == sorted(want[key][1])
-        assert "before" in text.splitlines()[1] and "after" in text.splitlines()[-1]
+def test_crowded_turns_are_parts_of_bounded_size(spark):
+    """Thousands of rows of one turn number, without one, and without a conversation."""
+    rows = [(1, 3, "ann" if i % 3 else "bob", f"same turn {i}") for i in range(6000)] + [(1, 4, "bob", "after"), (1, 2, "bob", "before")]
+    rows += [(None, None, "cem", f"nowhere {i}") for i in range(700)] + [(2, None, "dan", f"no turn {i}") for i in range(300)]
+    df = chat.rotate_perspectives(table(spark, rows).repartition(7))
+    assert df.agg({"n_turns": "max"}).first()[0] == chat.PART
+    assert rendered(df) == brute(rows)
 
 
 def test_no_rows(spark):
