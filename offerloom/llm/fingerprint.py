@@ -2,9 +2,10 @@
 
 A sketch keeps every shingle hash below a fixed fraction of the hash range, and always the
 smallest hash, so that no sketch is empty. Its size grows with the document; the sketch of a
-union is made from the sketches of its parts. Sketches say little of documents with few
-shingles: where the shorter of two documents has at most ``WHOLE`` of them, the two are compared
-by all their hashes, which come from the texts, and the results are exact.
+union is made from the sketches of its parts. The likeness of two documents is the containment of
+their two sketches and nothing else, so sketches say little of documents with few shingles: one of
+m shingles has none below the limit with probability (1 - 1 / SCALE) ** m and then is found in a
+longer document only if that keeps the same smallest hash.
 
 Defined results: a null text is empty; a text of fewer than five words is one shingle; of the
 documents in ascending id, rows with equal ids follow one another by the hash of their text and
@@ -23,11 +24,9 @@ from offerloom.llm.common import WORD
 
 SHINGLE = 5
 #: One hash in so many is kept.
-SCALE = 8
-#: Documents of at most so many shingles are compared by all of them.
-WHOLE = 512
+SCALE = 4
 #: Most groups of neighbouring ids, and rows looked at for each to find the bounds; the groups' first rows are broadcast.
-MAX_GROUPS = 65_536
+MAX_GROUPS = 4_096
 LOOKED_AT = 16
 
 
@@ -39,18 +38,13 @@ def _below(hashes: Column, scale: int) -> Column:
 
 def sketch(text: Column, scale: int = SCALE, shingle: int = SHINGLE) -> Column:
     """Sorted array of the retained shingle hashes of a text."""
-    return sized_sketch(text, scale, shingle)["kept"]
-
-
-def sized_sketch(text: Column, scale: int = SCALE, shingle: int = SHINGLE) -> Column:
-    """``kept``: the sketch of a text (of scale 1: all hashes, unsorted), and ``n``: its number of shingles."""
 
     def of(words: Column) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (shingle - 1), F.lit(1)))
         return F.transform(starts, lambda i: F.shiftrightunsigned(F.xxhash64(F.slice(words, i, shingle)), 1))
 
     words = F.array(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({WORD})")))
-    return F.transform(F.transform(words, of), lambda hashes: F.struct(F.size(hashes).alias("n"), (_below(hashes, scale) if scale > 1 else F.array_distinct(hashes)).alias("kept")))[0]
+    return F.transform(F.transform(words, of), lambda hashes: _below(hashes, scale))[0]
 
 
 def merged(a: Column, b: Column, scale: int = SCALE) -> Column:
@@ -123,33 +117,18 @@ def with_next(rows: DataFrame, id_col: str, tie: str, values: list[str]) -> Data
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", scale: int = SCALE) -> DataFrame:
     """One row per document: its sketch, that of its edited text and how alike they and the next document's are."""
     body = F.coalesce(docs[text], F.lit(""))
-    sized = docs.select(docs[id_col].alias(id_col), body.alias("text"), F.xxhash64(body).alias("__tie"), sized_sketch(body, scale).alias("sized"))
-    rows = sized.select(id_col, "text", "__tie", F.col("sized.n").alias("n"), F.col("sized.kept").alias("sketch"))
-    met = with_next(rows, id_col, "__tie", ["text", "n", "sketch"])
+    rows = docs.select(docs[id_col].alias(id_col), body.alias("text"), F.xxhash64(body).alias("__tie"), sketch(body, scale).alias("sketch"))
+    met = with_next(rows, id_col, "__tie", ["text", "sketch"])
     length = F.char_length("text")
     moved = F.floor(length / 4).cast("int")
     edited = met.select(
-        id_col, length.cast("long").alias("n_chars"), "text", "n", "sketch", "next_text", "next_n", "next_sketch",
+        id_col, length.cast("long").alias("n_chars"), "sketch", "next_sketch",
         F.concat(F.substring("text", F.lit(1), length - moved), F.substring("next_text", F.lit(1), moved)).alias("edited"),
     )
-    known = edited.withColumn("edited_sized", sized_sketch(F.col("edited"), scale))
-    known = known.withColumns({"edited_n": F.col("edited_sized.n"), "edited_sketch": F.col("edited_sized.kept")})
-    few = {other: F.least("n", f"{other}_n") <= WHOLE for other in ("edited", "next")}
-    own = known.withColumn("all", F.when(few["edited"] | few["next"], sketch(F.col("text"), 1)))
-    own = own.withColumns({
-        "edited_all": F.when(few["edited"], sketch(F.col("edited"), 1)), "next_all": F.when(few["next"], sketch(F.col("next_text"), 1)),
-    })
-
-    def likeness(of: str) -> tuple[Column, Column]:
-        whole, kept = (F.col("all"), F.col(f"{of}_all")), (F.col("sketch"), F.col(f"{of}_sketch"))
-        both = F.size(F.array_intersect(*whole))
-        return (
-            F.when(few[of], containment(*whole)).otherwise(containment(*kept)).alias(f"near_{of}"),
-            F.when(few[of], both / (F.size(whole[0]) + F.size(whole[1]) - both)).otherwise(resemblance(*kept, scale)).alias(f"jaccard_{of}"),
-        )
-
-    (near_edited, jaccard_edited), (near_next, jaccard_next) = likeness("edited"), likeness("next")
-    return own.select(
-        id_col, "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("sketch")).alias("fingerprint"), as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
-        near_edited, near_next, jaccard_edited, jaccard_next,
+    known = edited.withColumn("edited_sketch", sketch(F.col("edited"), scale))
+    own, new, following = (F.col(c) for c in ("sketch", "edited_sketch", "next_sketch"))
+    return known.select(
+        id_col, "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text(own).alias("fingerprint"), as_text(new).alias("edited_fingerprint"),
+        containment(own, new).alias("near_edited"), containment(own, following).alias("near_next"),
+        resemblance(own, new, scale).alias("jaccard_edited"), resemblance(own, following, scale).alias("jaccard_next"),
     )

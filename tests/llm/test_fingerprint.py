@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 
@@ -53,15 +54,41 @@ def test_sketches_merge_and_estimate(spark):
     assert set(out.m) <= set(out.u) and len(set(out.u) - set(out.m)) <= 6
 
 
-def test_short_texts_are_found_in_long_ones(spark):
-    rows = []
-    for i in range(40):
-        words = [f"w{i}x{j}" for j in range(3000)]
-        rows += [(2 * i, " ".join(words[100 : 105 + i % 10])), (2 * i + 1, " ".join(words))]
+def test_likeness_comes_from_the_returned_fingerprints(odd_docs, odd_rows):
+    """near_edited and near_next again, from the strings alone."""
+    rows = fingerprint.fingerprints(odd_docs).collect()
+    ids = [k for k, _, _ in odd_rows]
+
+    def alike(a, b):
+        a, b = set(a.split(",")), set(b.split(","))
+        return len(a & b) / min(len(a), len(b))
+
+    assert all(r.near_edited == alike(r.fingerprint, r.edited_fingerprint) for r in rows)
+    by_id = {r.doc_id: r for r in rows}
+    order = sorted({k for k in ids if k is not None})
+    sure = [(a, b) for a, b in zip(order, order[1:], strict=False) if ids.count(a) == 1 and ids.count(b) == 1]
+    assert len(sure) > 40 and all(by_id[a].near_next == alike(by_id[a].fingerprint, by_id[b].fingerprint) for a, b in sure)
+
+
+def test_error_of_the_likeness_by_number_of_shingles(spark):
+    """Edited documents against the exact containment of all their shingles."""
+    draw = random.Random(1)
+    bounds = {20: 0.3, 80: 0.12, 400: 0.05, 2000: 0.025}
+    rows = [(1000 * j + i, " ".join(f"w{draw.randrange(10**6)}" for _ in range(m + 4))) for j, m in enumerate(bounds) for i in range(60)]
+
+    def shingles(text):
+        words = text.split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
     got = {r.doc_id: r for r in fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert all(got[2 * i].near_next == 1.0 for i in range(40))
-    assert all(got[2 * i].jaccard_next == (1 + i % 10) / 2996 for i in range(40))
-    assert all(got[2 * i + 1].near_next == 0.0 for i in range(40))
+    for j, most in enumerate(bounds.values()):
+        errors = []
+        for (k, text), (_, nxt) in zip(rows, rows[1:], strict=False):
+            if k // 1000 == j:
+                moved = len(text) // 4
+                a, b = shingles(text), shingles(text[: len(text) - moved] + nxt[:moved])
+                errors.append(got[k].near_edited - len(a & b) / min(len(a), len(b)))
+        assert (sum(e * e for e in errors) / len(errors)) ** 0.5 < most
 
 
 def test_an_outlying_id_or_null_ids_do_not_fill_one_group(spark):
