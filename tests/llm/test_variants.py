@@ -51,7 +51,7 @@ def docs():
             i, c = draw.randrange(len(w) + 1), draw.choice("abcdeäÿ")
             changed = draw.choice([w[:i] + w[i + 1 :], w[:i] + c + w[i:], w[:i] + c + w[i + 1 :]])
             words += [changed.title() if draw.random() < 0.5 else changed] * draw.choice([1, 5, 6, 30])
-    words += ["chained"] * 5 + ["chainee"] * 30 + ["chaineee"] * 160
+    words += ["chained"] * 8 + ["chainee"] * 80 + ["chaineee"] * 900
     words += ["prefix" + "".join(draw.choice("ab") for _ in range(4)) for _ in range(400)]
     draw.shuffle(words)
     return [(i, " ".join(words[i * 20 : i * 20 + 20]) + draw.choice([" ", "\n", "1x "])) for i in range(len(words) // 20 + 1)] + [(None, words[0]), (7, None), (8, "")]
