@@ -95,8 +95,9 @@ def fill_missing_city(stores: DataFrame, limit_km: float = 20.0) -> DataFrame:
 def nearest(points: DataFrame, targets: DataFrame, point_id: str, target_id: str, start_km: float = 25.0) -> DataFrame:
     """Nearest target of every point, searching wider rings only for the points still without one."""
     found, pending, radius = None, points, start_km
-    while radius < 4 * 20015.0:
-        best = radius_join(pending, targets.select(target_id, "lat", "lon"), min(radius, 20015.0)).groupBy(point_id).agg(
+    farthest = math.pi * EARTH_RADIUS_KM * (1 + 1e-9)
+    while radius < 4 * farthest:
+        best = radius_join(pending, targets.select(target_id, "lat", "lon"), min(radius, farthest)).groupBy(point_id).agg(
             F.min_by(F.struct("distance_km", target_id), F.struct("distance_km", target_id)).alias("b")
         ).select(point_id, f"b.{target_id}", "b.distance_km")
         best = cut_lineage(best)

@@ -12,6 +12,8 @@ FOLDER = "/root/testdata/sf0.001"
 SAMPLE = [
     "bld1_offer_dedup", "bld6_build_metrics", "jn8_radius_join", "geo10_scope_category_counts", "bsk2_best_by_category", "bsk7_store_ranking", "mix1_cheapest_split",
     "tax3_siblings", "log2_never_clicked", "agg4_price_direction", "txt3_bm25", "cat9_diversity", "src12_merged_pages", "bld20_regrouped_tree", "str2_daily_prices",
+    "txt7_typo_search", "txt10_typo_test", "txt3_bm25_top", "cat13_local_counts", "tax3_local_siblings", "tax7_category_offers", "tax7_page_heads", "txt17_pages", "log8_ranking_export",
+    "bsk0_basket_lines", "bsk0_rejected_items", "src1_brochure_folders", "src2_offer_details", "src15_mapped_sources", "str3_store_upsert", "str4_streaming_dedup", "bld4_brochure_details",
 ]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
