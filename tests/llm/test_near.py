@@ -79,6 +79,51 @@ def test_chains_of_near_copies_and_unlike_texts_with_common_parts(spark):
     assert {r.doc_id: r.component_id for r in got.collect()} == want
 
 
+def test_blocks_of_leaders_join_what_full_sets_join(spark):
+    """Groups at about 0.7 and 0.8 of each other, cut into small blocks, with members that already belong together."""
+    draw = random.Random(6)
+
+    def alike(base, kept):
+        return sorted(draw.sample(base, kept) + [draw.getrandbits(62) for _ in range(len(base) - kept)])
+
+    base, other = ([draw.getrandbits(62) for _ in range(200)] for _ in range(2))
+    sets = [(i, alike(base, 190)) for i in range(40)] + [(100 + i, alike(other, 187)) for i in range(40)]
+    roots = {c: c - c % 3 for c, _ in sets}
+    leaders = {c: [c // 100, 7 + c % 2] for c, _ in sets}
+    leading = spark.createDataFrame([(c, roots[c], leaders[c]) for c, _ in sets], "cid long, root long, leaders array<long>")
+    got = {tuple(r) for r in near.leader_links(leading, spark.createDataFrame(sets, "cid long, shingles array<long>"), 80, block=9).collect()}
+    held = {c: set(x) for c, x in sets}
+    linked = {(a, b) for a, x in held.items() for b, y in held.items() if a < b and len(x & y) >= 0.8 * len(x | y)}
+    assert got <= linked and len(linked) > 200
+
+    def joined(pairs):
+        parent = dict(roots)
+        for _ in range(len(parent)):
+            for a, b in pairs:
+                low, high = sorted((parent[a], parent[b]))
+                parent = {c: low if p == high else p for c, p in parent.items()}
+        return parent
+
+    assert joined(got) == joined({p for p in linked if roots[p[0]] != roots[p[1]]})
+
+
+def test_pairs_without_common_leader_meet_by_their_signatures(spark):
+    draw = random.Random(2)
+    base = [draw.getrandbits(32) for _ in range(64)]
+    sigs = {}
+    for c in range(60):
+        sigs[c] = [v if draw.random() < 0.85 else draw.getrandbits(32) for v in base]
+    rows = [(c, near.np.array(sigs[c], "<u4").tobytes(), [c % 7, 10 + c % 5]) for c in sigs]
+    leading = spark.createDataFrame(rows, "cid long, sig binary, leaders array<long>")
+    lists = leading.selectExpr("explode(array(1L, 2L)) AS token", "cid", "100 + cid AS n_shingles", "cid - cid % 2 AS root")
+    got = {tuple(r) for r in near.pairs_in_blocks(lists, leading, 80, 45, block=7).collect()}
+    want = {
+        (a, b) for a in sigs for b in sigs
+        if a < b and a - a % 2 != b - b % 2 and a % 7 != b % 7 and a % 5 != b % 5 and 100 * (100 + a) >= 80 * (100 + b) and sum(x == y for x, y in zip(sigs[a], sigs[b], strict=True)) >= 45
+    }
+    assert got == want and len(want) > 100
+
+
 def test_no_rows_and_rows_without_words(spark, no_docs):
     assert near.near_duplicates(no_docs).count() == 0 and near.drop_near_duplicates(no_docs).count() == 0
     silent = spark.createDataFrame([(1, None), (2, ""), (3, " ")], "doc_id long, text string")
