@@ -15,9 +15,11 @@ from itertools import chain
 import numpy as np
 
 #: Pieces held by one worker; beyond it those seen once are forgotten.
-MAX_PIECES = 800_000
+MAX_PIECES = 400_000
 #: Separators of Python's split() that the tokenizer doesn't call white space, and its special tokens.
 UNSURE = re.compile("[\x1c-\x1f]|<\\|")
+#: Beyond Latin-1, lower case may depend on who makes it.
+WIDE = re.compile("[^\x00-\xff]")
 #: A Latin-1 word with at most one stop: lower case and the letters alone have the same ids.
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
 END = "\n"
@@ -109,12 +111,13 @@ class PieceEncoder:
         if len(self.slot) > MAX_PIECES:
             self._shrink()
         unsure = [bool(UNSURE.search(t)) for t in texts]
-        pieces = [[END] if odd else t.split() + [END] for t, odd in zip(texts, unsure, strict=True)]
+        # The tokenizer sees lower case only, so that Latin-1 texts need no pieces with capitals.
+        pieces = [[END] if odd else (t if WIDE.search(t) else t.lower()).split() + [END] for t, odd in zip(texts, unsure, strict=True)]
         flat = list(chain.from_iterable(pieces))
         if missing := set(flat).difference(self.slot):
             self._learn(missing)
         slots = np.fromiter(map(self.slot.__getitem__, flat), np.int64, len(flat))
-        np.add.at(self.hits, slots, 1)
+        self.hits[slots] += 1  # once for each call that has the piece
         ends, ids = np.cumsum(self.size[slots], dtype=np.int64), self._gather(slots)
         bounds = ends[np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces))) - 1] if pieces else []
         found = np.split(ids, bounds[:-1]) if len(bounds) else []
