@@ -131,8 +131,11 @@ def near_words(vocabulary: DataFrame, block: int = BLOCK) -> DataFrame:
     dealt = own.select("first", "key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "word", "n")
 
     def compare(table: pa.Table) -> pa.Table:
-        words, counts = table["word"].to_pylist(), table["n"].to_pylist()
-        places, n_near, best = tile(words, counts, table["part"].to_pylist(), table["first"][0].as_py())
+        words, counts, parts = (table[c].to_pylist() for c in ("word", "n", "part"))
+        if table["i"][0] != table["j"][0] and len(set(parts)) == 1:
+            words = []  # the other block is empty, and this one meets itself elsewhere
+        none = np.zeros(0, np.int64)
+        places, n_near, best = tile(words, counts, parts, table["first"][0].as_py()) if words else (none, none, none)
         return pa.table({
             "word": pa.array([words[i] for i in places], pa.string()), "n_near": pa.array(n_near, pa.int64()),
             "best": pa.array([words[i] for i in best], pa.string()), "best_n": pa.array([counts[i] for i in best], pa.int64()),
