@@ -1,12 +1,15 @@
 """Token ids of whole texts, with each distinct word sent to the tokenizer once per Python worker.
 
-The tokenizer used here drops white space and never joins across it, so the ids of a text are
-the ids of its white-space separated pieces in order. Pieces are looked up in a bounded table;
-texts with characters on which Python and the tokenizer could disagree are encoded whole.
+A tokenizer that drops white space and never joins across it, as its file says, gives a text the
+ids of its white-space separated pieces in order. Pieces are looked up in a bounded table; words
+of Latin-1 letters go to the tokenizer's model directly, since its rules leave them as they are.
+Texts with characters on which Python and the tokenizer could disagree are encoded whole, and so
+are all texts with a tokenizer of other rules.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Sequence
@@ -16,17 +19,42 @@ import numpy as np
 
 #: Pieces held by one worker; beyond it those seen once are forgotten.
 MAX_PIECES = 400_000
-#: Separators of Python's split() that the tokenizer doesn't call white space, and its special tokens.
-UNSURE = re.compile("[\x1c-\x1f]|<\\|")
-#: Beyond Latin-1, lower case may depend on who makes it.
-WIDE = re.compile("[^\x00-\xff]")
-#: A Latin-1 word with at most one stop: lower case and the letters alone have the same ids.
-PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+#: Separators of Python's split() that the tokenizer doesn't call white space, and the start of its special tokens.
+UNSURE = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
+#: Latin-1 letters with a run of ASCII signs after them: two tokenizer words, whose ids do not depend on capitals.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+#: The rules that make pieces independent of each other, as the tokenizer's file states them (fixed values).
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PRE_TOKENIZERS = [
+    {"type": "Split", "pattern": {"Regex": WORDS}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
 END = "\n"
 
 _ENCODERS: dict[tuple[str, int], PieceEncoder] = {}
 
 
+def byte_letters() -> dict[int, int]:
+    """The character that stands for each byte in a byte-level model: itself if it is printable, else the next one from 256 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: 256 + i for i, b in enumerate(others)}
+
+
+BYTE_LETTERS = byte_letters()
+
+
+def splits_at_space(path: str) -> bool:
+    """Whether the tokenizer of this file has the rules above."""
+    with open(path, encoding="utf-8") as file:
+        rules = json.load(file)
+    normalizer, before, model = (rules[x] or {} for x in ("normalizer", "pre_tokenizer", "model"))
+    words = model.get("type") == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix")
+    special = all(x["special"] and x["content"].startswith("<|") for x in rules["added_tokens"])
+    return words and special and normalizer.get("normalizers") == NORMALIZERS and before.get("pretokenizers") == PRE_TOKENIZERS
+
+
 def encoder(path: str, end_id: int) -> PieceEncoder:
     """The worker's encoder for a tokenizer file."""
     if (path, end_id) not in _ENCODERS:
@@ -34,12 +62,21 @@ def encoder(path: str, end_id: int) -> PieceEncoder:
     return _ENCODERS[path, end_id]
 
 
+def is_latin(text: str) -> bool:
+    """Latin-1 only. Beyond it, lower case may depend on who makes it."""
+    try:
+        return text.isascii() or bool(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return False
+
+
 class PieceEncoder:
     def __init__(self, path: str, end_id: int) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
+        self.tokenizer, self.end_id, self.by_piece = Tokenizer.from_file(path), end_id, splits_at_space(path)
+        self.model = self.tokenizer.model
         self._clear()
 
     def _clear(self) -> None:
@@ -79,19 +116,31 @@ class PieceEncoder:
             coded = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
             self._add(part, np.bincount(np.array(coded.word_ids, np.int64), minlength=len(part)), np.array(coded.ids, np.uint32))
 
+    def _encode_letters(self, words: list[str]) -> None:
+        """Words of lower-case Latin-1 letters only, by the model alone."""
+        for i in range(0, len(words), 10_000):
+            part = words[i : i + 10_000]
+            spelled = [w if w.isascii() else w.encode().decode("latin-1").translate(BYTE_LETTERS) for w in part]
+            coded = [[token.id for token in self.model.tokenize(w)] for w in spelled]
+            sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+            self._add(part, sizes, np.fromiter(chain.from_iterable(coded), np.uint32, int(sizes.sum())))
+
     def _learn(self, pieces: set[str]) -> None:
-        derived, new = [], set()
+        derived, letters, others = [], set(), set()
         for piece in pieces:
-            m = PLAIN.fullmatch(piece)
-            if m and (m[2] or not piece.islower()):
-                core = m[1].lower()
-                derived.append((piece, core, m[2]))
-                new.update(x for x in (core, m[2]) if x and x not in self.slot)
+            if m := PLAIN.fullmatch(piece):
+                core, signs = m[1].lower(), m[2]
+                letters.add(core)
+                if signs:
+                    others.add(signs)
+                if core != piece:
+                    derived.append((piece, core, signs))
             else:
-                new.add(piece)
-        self._encode_new(sorted(new))
-        bare = [(piece, self.slot[core]) for piece, core, stop in derived if not stop and piece not in self.slot]
-        ended = [(piece, self.slot[core], self.slot[stop]) for piece, core, stop in derived if stop and piece not in self.slot]
+                others.add(piece)
+        self._encode_letters([x for x in letters if x not in self.slot])
+        self._encode_new([x for x in others if x not in self.slot])
+        bare = [(piece, self.slot[core]) for piece, core, signs in derived if not signs]
+        ended = [(piece, self.slot[core], self.slot[signs]) for piece, core, signs in derived if signs]
         cores = np.array([at for _, at in bare], np.int64)
         self._point([piece for piece, _ in bare], self.start[cores], self.size[cores])
         pairs = np.array([x[1:] for x in ended], np.int64).reshape(-1, 2)
@@ -108,11 +157,13 @@ class PieceEncoder:
 
     def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
         """Ids of each text, followed by the end id."""
+        if not self.by_piece:
+            return [np.array([*x.ids, self.end_id], np.uint32) for x in self.tokenizer.encode_batch(list(texts), add_special_tokens=False)]
         if len(self.slot) > MAX_PIECES:
             self._shrink()
-        unsure = [bool(UNSURE.search(t)) for t in texts]
+        unsure = [any(x in t for x in UNSURE) for t in texts]
         # The tokenizer sees lower case only, so that Latin-1 texts need no pieces with capitals.
-        pieces = [[END] if odd else (t if WIDE.search(t) else t.lower()).split() + [END] for t, odd in zip(texts, unsure, strict=True)]
+        pieces = [[END] if odd else (t.lower() if is_latin(t) else t).split() + [END] for t, odd in zip(texts, unsure, strict=True)]
         flat = list(chain.from_iterable(pieces))
         if missing := set(flat).difference(self.slot):
             self._learn(missing)

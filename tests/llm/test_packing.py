@@ -56,6 +56,23 @@ def test_piecewise_encoding_is_that_of_whole_texts(tokenizer, monkeypatch):
     assert [list(small.encode([t])[0]) for t in texts] == want
 
 
+def test_latin_words_with_signs_are_those_of_the_tokenizer(tokenizer):
+    draw = random.Random(2)
+    letters = [chr(c) for c in range(0xC0, 0x100)] + list("abcdefghijklmnopqrstuvwxyzABCXYZ")
+    signs = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+    texts = ["".join(draw.choices(letters, k=draw.randrange(1, 9))) + "".join(draw.choices(signs, k=draw.randrange(4))) for _ in range(3000)]
+    texts = [" ".join(texts[i : i + 5]) for i in range(0, len(texts), 5)] + [f"a{x} {x}a a{x}s" for x in signs]
+    assert [list(x) for x in encoding.PieceEncoder(tokenizer_path(), 1).encode(texts)] == [[*tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+
+
+def test_a_tokenizer_of_other_rules_sees_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path().replace("word_bpe_49k", "byte_bpe_50k")
+    texts = ["Hello brave  New world.", "", " a"]
+    assert [list(x) for x in encoding.PieceEncoder(path, 1).encode(texts)] == [[*Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids, 1] for t in texts]
+
+
 def test_two_documents_replace_a_loose_one():
     # Greedy takes 60 and 30 and leaves 10; 25 and 15 in place of 30 leave nothing.
     assert packing.plan_bins({60: 1, 30: 1, 25: 1, 15: 1}, 100)[0] == ([60, 25, 15], 1)
