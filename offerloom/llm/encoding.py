@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import json
 import os
-import re
+import string
 from collections.abc import Sequence
 from itertools import chain
 
@@ -21,8 +21,8 @@ import numpy as np
 MAX_PIECES = 400_000
 #: Separators of Python's split() that the tokenizer doesn't call white space, and the start of its special tokens.
 UNSURE = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
-#: Latin-1 letters with a run of ASCII signs after them: two tokenizer words, whose ids do not depend on capitals.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+#: ASCII signs. A run of them at the end of Latin-1 letters is a tokenizer word of its own.
+SIGNS = string.punctuation
 #: The rules that make pieces independent of each other, as the tokenizer's file states them (fixed values).
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -118,33 +118,39 @@ class PieceEncoder:
 
     def _encode_letters(self, words: list[str]) -> None:
         """Words of lower-case Latin-1 letters only, by the model alone."""
-        for i in range(0, len(words), 10_000):
-            part = words[i : i + 10_000]
-            spelled = [w if w.isascii() else w.encode().decode("latin-1").translate(BYTE_LETTERS) for w in part]
-            coded = [[token.id for token in self.model.tokenize(w)] for w in spelled]
-            sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-            self._add(part, sizes, np.fromiter(chain.from_iterable(coded), np.uint32, int(sizes.sum())))
+        tokenize, sizes, flat = self.model.tokenize, [], []
+        for word in words:
+            found = tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS))
+            sizes.append(len(found))
+            flat.extend([token.id for token in found])
+        self._add(words, np.array(sizes, np.int64), np.array(flat, np.uint32))
 
     def _learn(self, pieces: set[str]) -> None:
-        derived, letters, others = [], set(), set()
+        # Parallel lists: many small tuples would keep the garbage collector busy.
+        bare, bare_core, ended, ended_core, ended_signs = [], [], [], [], []
+        letters, others = set(), set()
         for piece in pieces:
-            if m := PLAIN.fullmatch(piece):
-                core, signs = m[1].lower(), m[2]
-                letters.add(core)
-                if signs:
-                    others.add(signs)
-                if core != piece:
-                    derived.append((piece, core, signs))
-            else:
+            core = piece.rstrip(SIGNS)
+            if not (core.isalpha() and is_latin(core)):
                 others.add(piece)
-        self._encode_letters([x for x in letters if x not in self.slot])
-        self._encode_new([x for x in others if x not in self.slot])
-        bare = [(piece, self.slot[core]) for piece, core, signs in derived if not signs]
-        ended = [(piece, self.slot[core], self.slot[signs]) for piece, core, signs in derived if signs]
-        cores = np.array([at for _, at in bare], np.int64)
-        self._point([piece for piece, _ in bare], self.start[cores], self.size[cores])
-        pairs = np.array([x[1:] for x in ended], np.int64).reshape(-1, 2)
-        self._add([piece for piece, *_ in ended], self.size[pairs].sum(axis=1).astype(np.int64), self._gather(pairs.ravel()))
+                continue
+            signs, core = piece[len(core) :], core.lower()
+            letters.add(core)
+            if signs:
+                others.add(signs)
+                ended.append(piece)
+                ended_core.append(core)
+                ended_signs.append(signs)
+            elif core != piece:
+                bare.append(piece)
+                bare_core.append(core)
+        known = self.slot
+        self._encode_letters([x for x in letters if x not in known])
+        self._encode_new([x for x in others if x not in known])
+        cores = np.fromiter(map(known.__getitem__, bare_core), np.int64, len(bare))
+        self._point(bare, self.start[cores], self.size[cores])
+        pairs = np.stack([np.fromiter(map(known.__getitem__, x), np.int64, len(ended)) for x in (ended_core, ended_signs)], axis=1)
+        self._add(ended, self.size[pairs].sum(axis=1).astype(np.int64), self._gather(pairs.ravel()))
 
     def _shrink(self) -> None:
         """Keep what was seen more than once since the last time."""
