@@ -18,7 +18,7 @@ from itertools import chain
 import numpy as np
 
 #: Pieces held by one worker; beyond it those seen once are forgotten.
-MAX_PIECES = 400_000
+MAX_PIECES = 200_000
 #: Separators of Python's split() that the tokenizer doesn't call white space, and the start of its special tokens.
 UNSURE = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 #: ASCII signs. A run of them at the end of Latin-1 letters is a tokenizer word of its own.

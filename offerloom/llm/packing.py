@@ -29,7 +29,7 @@ from offerloom.llm.common import stored
 from offerloom.llm.encoding import encoder
 
 #: Characters encoded at a time; bounds the memory of a task.
-CHARS = 2_000_000
+CHARS = 1_000_000
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text: str = "text", ids: bool = False) -> DataFrame:
