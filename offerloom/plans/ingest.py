@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from offerloom.functions import chains
@@ -158,30 +159,38 @@ def _(t: Tables):
 
 def page_html(t: Tables):
     """Crawled pages with the customers' brochures embedded in them as the shop pages do it."""
-    line = t.read("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount")
-    prices = F.struct(
-        (F.when(F.col("l_linenumber") == 3, 0.0).otherwise(F.col("l_extendedprice"))).alias("mainPrice"), (F.col("l_extendedprice") * 2).alias("secondaryPrice"),
-        F.concat(F.lit("1 kg = "), F.col("l_quantity").cast(S)).alias("priceByBaseUnit"),
-        F.when(F.col("l_discount") == 0.05, F.concat(F.lit("jetzt "), F.col("l_linenumber").cast(S), F.lit(",50 € Bonus"))).alias("description"),
-    )
-    item = F.struct(
-        F.concat_ws("-", F.col("l_partkey").cast(S), F.col("l_suppkey").cast(S)).alias("id"),
-        F.when(F.col("l_linenumber") == 5, "").otherwise(F.concat(F.lit("item "), F.col("l_partkey").cast(S))).alias("title"), F.lit("b").alias("brand"),
-        _pick(STORE_NAMES, "l_suppkey").alias("publisherName"), F.lit("spare 1,25 € bonus").alias("description"), prices.alias("prices"),
-    )
-    bucket = F.when(F.col("l_linenumber") <= 3, "main").when(F.col("l_linenumber") <= 5, "topRanked").otherwise("otherPublishers")
+    fields = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount"]
+    # plain numbers travel; the items, which are ten times as long, are made where the lines of a page have met
+    printed = t.read("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("lines"))
+
+    def item(x: Column) -> Column:
+        number = x["l_linenumber"]
+        prices = F.struct(
+            F.when(number == 3, 0.0).otherwise(x["l_extendedprice"]).alias("mainPrice"), (x["l_extendedprice"] * 2).alias("secondaryPrice"),
+            F.concat(F.lit("1 kg = "), x["l_quantity"].cast(S)).alias("priceByBaseUnit"),
+            F.when(x["l_discount"] == 0.05, F.concat(F.lit("jetzt "), number.cast(S), F.lit(",50 € Bonus"))).alias("description"),
+        )
+        return F.struct(
+            F.concat_ws("-", x["l_partkey"].cast(S), x["l_suppkey"].cast(S)).alias("id"),
+            F.when(number == 5, "").otherwise(F.concat(F.lit("item "), x["l_partkey"].cast(S))).alias("title"), F.lit("b").alias("brand"),
+            _pick(STORE_NAMES, x["l_suppkey"]).alias("publisherName"), F.lit("spare 1,25 € bonus").alias("description"), prices.alias("prices"),
+        )
+
+    def of_bucket(name: str) -> Column:
+        return F.filter("lines", lambda x: F.when(x["l_linenumber"] <= 3, "main").when(x["l_linenumber"] <= 5, "topRanked").otherwise("otherPublishers") == name)
+
     lists = []
     for name in pages.BUCKETS:
-        chosen = F.transform(F.array_sort(F.collect_list(F.when(F.col("bucket") == name, F.struct("l_linenumber", "l_partkey", "l_suppkey", "item")))), lambda x: x["item"])
-        lists.append(F.struct(chosen.alias("items"), (F.count(F.when(F.col("bucket") == name, 1)) + (3 if name == "main" else 0)).alias("totalItems")).alias(name))
+        chosen = of_bucket(name)
+        total = F.size(chosen).cast("bigint") + (3 if name == "main" else 0)
+        lists.append(F.struct(F.transform(chosen, item).alias("items"), total.alias("totalItems")).alias(name))
     data = F.struct(F.struct(F.struct(F.struct(F.struct(*lists).alias("offers")).alias("pageInformation")).alias("pageProps")).alias("props"))
-    made = line.withColumn("bucket", bucket).withColumn("item", item).groupBy("l_orderkey").agg(F.to_json(data).alias("json"))
-    html = F.concat(F.lit('<html><body><script type="application/json" id="__NEXT_DATA__">'), "json", F.lit("</script></body></html>"))
-    return made.select(F.col("l_orderkey").alias("page_id"), html.alias("html"))
+    html = F.concat(F.lit('<html><body><script type="application/json" id="__NEXT_DATA__">'), F.to_json(data), F.lit("</script></body></html>"))
+    return printed.select(F.col("l_orderkey").alias("page_id"), html.alias("html"))
 
 
 def parsed_pages(t: Tables):
-    return page_html(t).select("page_id", pages.parse_page(F.col("html")).alias("offers"))
+    return pages.parse_pages(page_html(t)).drop("data")
 
 
 VIEWS["page_items"] = f"""
@@ -193,9 +202,8 @@ SELECT *, {_alias_case_sql('lower(trim(publisher))')} AS chain FROM (SELECT l_or
 def _(t: Tables):
     """Embedded data of shop pages; the other crawled pages have none."""
     crawled = t.read("pages").select((-1 - F.col("page_id")).alias("page_id"), "html")
-    both = page_html(t).unionByName(crawled).withColumn("data", pages.embedded_json(F.col("html")))
-    size = pages.truncation(both.select("page_id", pages.parse_page(F.col("html")).alias("offers"))).select("page_id", F.col("embedded").alias("items"))
-    return both.select("page_id", F.col("data").isNotNull().cast("int").alias("found")).join(size, "page_id")
+    parsed = pages.parse_pages(page_html(t).unionByName(crawled), pages.COUNTED_ITEM)
+    return pages.truncation(parsed, F.col("data").isNotNull().cast("int").alias("found")).select("page_id", "found", F.col("embedded").alias("items"))
 
 
 @query("src10_page_offers", "SELECT page_id, item_id, chain, title, price FROM page_items WHERE chain IS NOT NULL AND l_linenumber <> 5")
@@ -205,7 +213,7 @@ def _(t: Tables):
 
 @query("src11_truncated_pages", "SELECT l_orderkey AS page_id, count(*) AS embedded, count(*) + 3 AS total, 3 AS gap FROM lineitem GROUP BY l_orderkey")
 def _(t: Tables):
-    return pages.truncation(parsed_pages(t)).where("gap > 0")
+    return pages.truncation(pages.parse_pages(page_html(t), pages.COUNTED_ITEM)).where("gap > 0")
 
 
 @query(

@@ -14,18 +14,30 @@ BUCKETS = ["main", "topRanked", "otherPublishers"]
 BONUS = r"(?iU)(\d+[.,]\d{1,2})\s*€\s*Bonus"
 
 _ITEM = "struct<id string, title string, brand string, publisherName string, description string, prices struct<mainPrice double, secondaryPrice double, priceByBaseUnit string, description string>>"
-_BUCKET = f"struct<items array<{_ITEM}>, totalItems bigint>"
-PAGE_SCHEMA = f"props struct<pageProps struct<pageInformation struct<offers struct<{', '.join(f'{b} {_BUCKET}' for b in BUCKETS)}>>>>"
+# Enough of an item to count it.
+COUNTED_ITEM = "struct<id string>"
+
+
+def page_schema(item: str = _ITEM) -> str:
+    lists = ", ".join(f"{b} struct<items array<{item}>, totalItems bigint>" for b in BUCKETS)
+    return f"props struct<pageProps struct<pageInformation struct<offers struct<{lists}>>>>"
 
 
 def embedded_json(html: Column) -> Column:
     """Text of the embedded block, null where there is none or it is not JSON."""
-    text = F.regexp_extract(html, BLOCK, 1)
-    return F.when((text != "") & F.get_json_object(text, "$").isNotNull(), text)
+    # one element of an array, so that the block is searched once and not wherever its text is used
+    text = F.array(F.regexp_extract(html, BLOCK, 1))
+    return F.transform(text, lambda t: F.when((t != "") & F.get_json_object(t, "$").isNotNull(), t))[0]
+
 
+def parse_pages(pages: DataFrame, item: str = _ITEM) -> DataFrame:
+    """(page_id, data, offers) of (page_id, html): text and lists of the embedded block, null where there is none.
 
-def parse_page(html: Column) -> Column:
-    return F.from_json(embedded_json(html), PAGE_SCHEMA)["props"]["pageProps"]["pageInformation"]["offers"]
+    Both are generated rows, which later filters and fields cannot be pushed through, so that a page is parsed once.
+    """
+    read = pages.select("page_id", F.explode(F.array(embedded_json(F.col("html")))).alias("data"))
+    offers = F.from_json("data", page_schema(item))["props"]["pageProps"]["pageInformation"]["offers"]
+    return read.select("page_id", "data", F.explode(F.array(offers)).alias("offers"))
 
 
 def bonus_cents(*texts: Column) -> Column:
@@ -47,12 +59,12 @@ def page_offers(parsed: DataFrame) -> DataFrame:
     return rows.where("chain IS NOT NULL AND item_id <> '' AND title <> ''")
 
 
-def truncation(parsed: DataFrame) -> DataFrame:
-    """Listed and announced items per page, and the gap between them."""
+def truncation(parsed: DataFrame, *more: Column) -> DataFrame:
+    """Listed and announced items per page, and the gap between them; ``more`` columns go along."""
     listed = [F.coalesce(F.array_size(F.col(f"offers.{b}.items")), F.lit(0)).cast("bigint") for b in BUCKETS]
     announced = [F.greatest(n, F.coalesce(F.col(f"offers.{b}.totalItems"), F.lit(0))) for n, b in zip(listed, BUCKETS)]
     embedded, total = sum(listed[1:], listed[0]), sum(announced[1:], announced[0])
-    return parsed.select("page_id", embedded.alias("embedded"), total.alias("total"), (total - embedded).alias("gap"))
+    return parsed.select("page_id", *more, embedded.alias("embedded"), total.alias("total"), (total - embedded).alias("gap"))
 
 
 def merge_pages(offers: DataFrame) -> DataFrame:
