@@ -14,7 +14,7 @@ from offerloom.plans.registry import query
 from offerloom.plans.reports import category_counts
 from offerloom.plans.texts import offer_texts, phrases
 from offerloom.plans.views import VIEWS, Tables
-from offerloom.session import shared_folder
+from offerloom.session import cut_lineage, shared_folder
 from offerloom.streaming import logs
 from offerloom.streaming.buckets import upsert_stream
 from offerloom.streaming.expiry import rocks_state, valid_offers
@@ -101,8 +101,8 @@ def _(t: Tables):
     part = t.read("part").select("p_partkey", F.col("p_name").alias("query"), F.concat_ws("/", "p_type", "p_brand", "p_name").alias("path"))
     clicks = t.search_log.select("event_id", F.col("selected_category_id").isNotNull().alias("clicked"))
     log = t.read("events").select("event_id", key.alias("p_partkey")).join(part, "p_partkey").join(clicks, "event_id")
-    log = log.select("query", F.when(F.col("clicked"), F.col("path")).alias("selected"))
-    asked = logs.frequent_queries(log, 3)
+    log = cut_lineage(logs.counted(log.select("query", F.when(F.col("clicked"), F.col("path")).alias("selected"))))
+    asked = cut_lineage(logs.frequent_queries(log, 3))
     ranked = cat.rank_categories(
         cat.suggest(asked.select(F.col("query").alias("q")), t.search_labels, t.product_labels, t.categories), t.categories, category_counts(t)
     )
@@ -170,10 +170,12 @@ def _(t: Tables):
 )
 def _(t: Tables):
     """Baskets typed as one text: each part becomes a category line where a category answers it, else a text line."""
+    # the parts of a text are those of its lines, since a comma stands between them; so the distinct ones need no baskets
+    wishes = t.basket_lines.select("q").distinct().select(F.explode(F.split("q", ",")).alias("q")).select(F.trim("q").alias("q"))
+    asked = cut_lineage(wishes.where("q <> ''").distinct())
     typed = t.basket_lines.groupBy("basket_id").agg(F.array_sort(F.collect_list(F.struct("item_no", "q"))).alias("l"))
     texts = typed.select("basket_id", F.array_join(F.transform("l", lambda x: x["q"]), ", ").alias("text"))
     parts = texts.select("basket_id", F.posexplode(F.split("text", ",")).alias("pos", "segment")).withColumn("segment", F.trim("segment")).where("segment <> ''")
-    asked = parts.select(F.col("segment").alias("q")).distinct()
     found = cat.suggest(asked, t.search_labels, t.product_labels, t.categories)
     first = cat.rank_categories(found, t.categories, category_counts(t)).where("rank = 1").select(F.col("q").alias("segment"), "category_id")
     return parts.join(first, "segment", "left").select("basket_id", F.col("pos").cast("bigint").alias("pos"), "segment", "category_id")

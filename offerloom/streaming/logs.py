@@ -21,18 +21,23 @@ def capture_search(raw: DataFrame) -> DataFrame:
     )
 
 
+def counted(log: DataFrame) -> DataFrame:
+    """(query, selected, n) of a log (query, selected): what both functions below read, far smaller than the log."""
+    return log.groupBy("query", "selected").agg(F.count(F.lit(1)).alias("n"))
+
+
 def frequent_queries(log: DataFrame, least: int, top: int | None = None) -> DataFrame:
-    """(query, searches) of queries of two letters on, searched ``least`` times or more; the ``top`` most frequent, or all."""
-    counted = log.where(F.length("query") >= 2).groupBy("query").agg(F.count(F.lit(1)).alias("searches")).where(F.col("searches") >= least)
-    return counted if top is None else counted.orderBy(F.desc("searches"), "query").limit(top)
+    """(query, searches) of queries of two letters on, searched ``least`` times or more; the ``top`` most frequent, or all. ``log`` is counted."""
+    found = log.where(F.length("query") >= 2).groupBy("query").agg(F.sum("n").alias("searches")).where(F.col("searches") >= least)
+    return found if top is None else found.orderBy(F.desc("searches"), "query").limit(top)
 
 
 def ranking_examples(ranked: DataFrame, asked: DataFrame, log: DataFrame, limit: int | None = None) -> DataFrame:
-    """Training rows of a ranking model: every ranked category of a query with its clicks; ``log`` is (query, selected).
+    """Training rows of a ranking model: every ranked category of a query with its clicks; ``log`` is counted.
 
     ``limit`` keeps the first ranks of each query.
     """
-    clicks = log.where("selected IS NOT NULL").groupBy("query", F.col("selected").alias("category_id")).agg(F.count(F.lit(1)).alias("clicks"))
+    clicks = log.where("selected IS NOT NULL").select("query", F.col("selected").alias("category_id"), F.col("n").alias("clicks"))
     shown = ranked if limit is None else ranked.where(F.col("rank") <= limit)
     joined = shown.withColumnRenamed("q", "query").join(asked, "query").join(clicks, ["query", "category_id"], "left")
     return joined.select(

@@ -1,8 +1,9 @@
 """Embedded data of pages is searched and parsed once a page, and typed baskets and search logs are read once."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from offerloom.plans import all_queries
+from offerloom.plans import all_queries, streams
 from offerloom.sources import pages
 
 SMALL = "/root/testdata/sf0.001"
@@ -26,3 +27,25 @@ def test_counting_reads_odd_items_as_parsing_does(spark):
     assert {r[0]: r[1:4] for r in slim} == {
         0: (True, 0, 0), 1: (True, 2, 7), 2: (True, 0, 2), 3: (False, 0, 0), 4: (True, 0, 0), 5: (False, 0, 0), 6: (True, 2, 2), 10: (False, 0, 0), 11: (False, 0, 0), 12: (True, 0, 0),
     }
+
+
+def asked_plan(spark, monkeypatch, name):
+    """Plan of the queries that a registered query hands to the category search."""
+    class Seen(Exception):
+        pass
+
+    plans = []
+
+    def see(queries, *rest):
+        plans.append(queries._jdf.queryExecution().optimizedPlan().toString())
+        raise Seen
+
+    monkeypatch.setattr(streams.cat, "suggest", see)
+    with pytest.raises(Seen):
+        all_queries().QUERIES[name](spark, SMALL)
+    return plans[0]
+
+
+def test_the_category_search_does_not_read_baskets_and_logs_again(spark, monkeypatch):
+    assert "collect_list" not in asked_plan(spark, monkeypatch, "bsk12_text_to_lines")
+    assert "get_json_object" not in asked_plan(spark, monkeypatch, "log8_ranking_export")
