@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from offerloom.operators import search
 from offerloom.plans import all_queries, streams
 from offerloom.sources import pages
 
@@ -49,3 +50,11 @@ def asked_plan(spark, monkeypatch, name):
 def test_the_category_search_does_not_read_baskets_and_logs_again(spark, monkeypatch):
     assert "collect_list" not in asked_plan(spark, monkeypatch, "bsk12_text_to_lines")
     assert "get_json_object" not in asked_plan(spark, monkeypatch, "log8_ranking_export")
+
+
+def test_a_search_reads_its_index_once(spark):
+    rows = [("milk", 1), ("whole", 1), ("milky", 2), ("whole", 2), ("bread", 3), ("milk", None)]
+    index = spark.createDataFrame(rows, "token string, doc long").where("token <> 'marker'")
+    found = search.prefix_search(spark.createDataFrame([("whole milk",), ("bread",), ("whole bread",)], "q string"), index, "doc")
+    assert {(r.q, r.doc) for r in found.collect()} == {("whole milk", 1), ("whole milk", 2), ("bread", 3)}
+    assert "marker" not in found._jdf.queryExecution().optimizedPlan().toString()
