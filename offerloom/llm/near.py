@@ -1,24 +1,21 @@
 """MinHash near-duplicate detection by an inverted join over signature coordinates.
 
-Texts with equal shingle sets are one class. A class is posted under its (coordinate, value)
-pairs; two classes above the similarity threshold agree in at least ``matches`` of the
-coordinates (up to a miss rate of about 1 in 100,000 at the threshold, less above it). Values
-that only one class has cannot match, a class with fewer than ``matches`` shared values has no
-partner, and of the others only the rarest values, one more than may fail, have to be posted:
-two partners must meet in one of those. Sizes that rule the similarity out are skipped.
-
-Meetings are tried in rounds. In each, every posting list tries its members against one pivot,
-so that a list of thousands of near copies costs as many trials as members; trials that pass on
-signatures are confirmed on the full shingle sets, and components join up. Lists whose members
-are all in one component are done. Lists left after the rounds hold classes that are mostly
-unlike, and nearly all of their pairs fail only on the full sets. So those are compared inside
-tasks: every class left goes, with its full set, to ``LEADERS`` of its lists, the smallest of them
-under that many hashes, so that classes with many lists in common meet in one of these nearly
-always. Blocks of at most ``BLOCK`` members meet block against block; a task counts the common
-shingles of all pairs and returns only the links that join components. Pairs without a common
-leader meet in their lists by their signatures in the same way, and those that pass go on to the
-full sets as rows. So no pair is skipped that could join two components, and the pairs of a group
-are neither rows nor tried twice.
+Texts with equal shingle sets are one class. Two classes above the similarity threshold agree
+in at least ``matches`` of the coordinates (up to a miss rate of about 1 in 100,000 at the
+threshold, less above it). Coordinates are taken by twos where those that may differ cannot spoil
+all twos: of 32 twos, 28 coordinates spoil 28 at most, so partners have four in common for certain.
+Classes of unlike texts share a two far less often than a single value. Twos that only one class has cannot match, a class
+with too few shared ones has no partner, and of the others only the rarest, one more than may
+fail, have to be posted: two partners must meet in one of those. Sizes that rule the similarity
+out are skipped.
+
+The posting lists give groups of classes that are alike by their signatures, directly or through
+others: each list first tries its members against one pivot, then lists whose members are still in
+several groups are compared inside tasks, block against block of at most ``BLOCK`` members, and a
+task returns only the pairs that join groups, never all pairs of a list. A class is in one group
+at most; there it is sent with its full set, and all members of a group are compared block against
+block in the same way. So every pair that is alike by signatures is decided on the full sets,
+a set is sent once for each block of its own group, and pairs of a group are not rows.
 
 A pair at exactly 0.8 agrees in fewer than ``MATCHES`` of the 64 coordinates once in 240,000 times
 (binomial sum 4.2e-6), and is then missed; above 0.8 less often.
@@ -34,6 +31,7 @@ names, and carried along by ``drop_near_duplicates``.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pandas as pd
@@ -45,15 +43,12 @@ from pyspark.sql import types as T
 from offerloom.llm.bloom import blocks_for, flagged, present_filter
 from offerloom.llm.common import attach_groups, stored
 from offerloom.llm.components import components
-from offerloom.llm.shingles import Signer, set_key, shingle_set
+from offerloom.llm.shingles import Signer, mix, set_key, shingle_set
 
 COORDINATES = 64
 #: Coordinates in which two sets at the threshold of 0.8 agree at least: mean 51.2, deviation 3.2, so 4.75 deviations below.
 MATCHES = 36
-#: Lists to which a class is sent with its full set.
-LEADERS = 4
 BLOCK = 512
-ROUNDS = 2
 
 
 def _row_hash(docs: DataFrame, id_col: str, text: str):
@@ -82,23 +77,29 @@ def signatures(docs: DataFrame, shingle: int, id_col: str = "doc_id", text: str
     return chosen.mapInArrow(sign, f"id {kind}, h long, n_shingles long, key binary, sig binary")
 
 
-def post_coordinates(classes: DataFrame, matches: int) -> DataFrame:
-    """(token, cid, n): each class under the rarest of the values that it shares with others."""
+def post_coordinates(classes: DataFrame, matches: int, coordinates: int = COORDINATES) -> DataFrame:
+    """(token, cid): each class under the rarest of the values, or twos of values, that it shares with others."""
+    spoilt = coordinates - matches
+    width = 2 if coordinates // 2 > spoilt else 1
+    needed = coordinates // width - spoilt
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                values = np.frombuffer(b"".join(x.as_py() for x in part.column(1)), "<u4").reshape(part.num_rows, -1)
-                tokens = values.astype(np.int64) + (np.arange(values.shape[1], dtype=np.int64) << 32)
-                owners = np.repeat(part.column(0).to_numpy(), values.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(owners), pa.array(tokens.ravel())], ["cid", "token"])
+                values = np.frombuffer(b"".join(x.as_py() for x in part.column(1)), "<u4").reshape(part.num_rows, -1).astype(np.uint64)
+                places = values.shape[1] // width
+                tokens = np.broadcast_to(np.arange(1, places + 1, dtype=np.uint64), (part.num_rows, places))
+                for i in range(width):
+                    tokens = mix(tokens + (values[:, i : places * width : width] << np.uint64(16)))
+                owners = np.repeat(part.column(0).to_numpy(), places)
+                yield pa.RecordBatch.from_arrays([pa.array(owners), pa.array(tokens.ravel().view(np.int64))], ["cid", "token"])
 
     tokens = classes.select("cid", "sig").mapInArrow(spread, "cid long, token long")
     shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     met = tokens.join(stored(shared, "near-shared"), "token")
-    gathered = met.groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("values")).where(F.size("values") >= matches)
-    prefix = F.slice("values", F.lit(1), F.size("values") - (matches - 1))
+    gathered = met.groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("values")).where(F.size("values") >= needed)
+    prefix = F.slice("values", F.lit(1), F.size("values") - (needed - 1))
     return gathered.select("cid", F.explode(prefix).alias("v")).select(F.col("v.token").alias("token"), "cid")
 
 
@@ -127,22 +128,11 @@ def class_sets(docs: DataFrame, wanted: DataFrame, shingle: int, id_col: str, te
     return near.join(wanted, "h").select("h", "cid", "text").dropDuplicates(["h", "cid"]).select(F.col("cid").alias("h"), "text").mapInArrow(sets, "h long, shingles array<long>").withColumnRenamed("h", "cid")
 
 
-def _among(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows (cid, ...) that a Bloom filter says may be among the ids ``wanted``, a few more included, without a shuffle."""
-    hashed = stored(wanted.toDF("cid").select(F.xxhash64("cid").alias("h")).distinct(), "near-ids")
-    blocks = blocks_for(hashed.count())
-    return flagged(rows.withColumn("h", F.xxhash64("cid")), "h", present_filter(hashed, "h", blocks), blocks).where("__maybe").drop("h", "__maybe")
-
-
-def similar_pairs(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, matches: int) -> DataFrame:
-    """Of the pairs (a, b), those that pass on signatures and then on the full sets."""
-    sig_a, sig_b = (_among(classes.select("cid", "sig"), pairs.select(F.explode(F.array("a", "b")))).select(F.col("cid").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
-    close = pairs.join(sig_a, "a").join(sig_b, "b").where(agreements("sig_a", "sig_b") >= matches).select("a", "b")
-    close = stored(close, "near-close")
-    sets = _among(sets, close.select(F.explode(F.array("a", "b"))))
-    set_a, set_b = (sets.select(F.col("cid").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
-    both = close.join(set_a, "a").join(set_b, "b").withColumn("common", F.size(F.array_intersect("set_a", "set_b")))
-    return both.where(F.col("common") * 100 >= (F.size("set_a") + F.size("set_b") - F.col("common")) * percent).select("a", "b")
+def close_pairs(pairs: DataFrame, classes: DataFrame, percent: int, matches: int) -> DataFrame:
+    """Of the pairs (a, b) of classes (cid, n_shingles, sig), those that sizes and signatures allow."""
+    one, two = (classes.select(F.col("cid").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}")) for x in "ab")
+    sized = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    return pairs.join(one, "a").join(two, "b").where(sized).where(agreements("sig_a", "sig_b") >= matches).select("a", "b")
 
 
 def _between_components(lists: DataFrame) -> DataFrame:
@@ -152,13 +142,13 @@ def _between_components(lists: DataFrame) -> DataFrame:
 
 
 def _tiles(lists: DataFrame, payload: DataFrame, keep: list[str], block: int) -> DataFrame:
-    """Rows (token, i, j, part, cid, ``keep``, payload), grouped: every two blocks of a list's members once."""
+    """Rows (token, i, j, part, cid, ``keep``, payload): in tiles (token, i, j), every two blocks of a list's members once."""
     sizes = stored(lists.groupBy("token").agg(F.count("*").alias("size")), "near-left-sizes")
     sized = attach_groups(lists, sizes, "token", "size", lists.count())
     parts = F.ceil(F.col("size") / block)
     own = sized.withColumn("part", F.pmod(F.xxhash64("cid"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
     dealt = own.select("token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "cid", *keep)
-    return dealt.join(payload, "cid").groupBy("token", "i", "j")
+    return dealt.join(payload, "cid")
 
 
 def _members(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -187,6 +177,7 @@ def tile_links(cid: np.ndarray, root: np.ndarray, sets: list[np.ndarray], part:
         others = _sized(n, i, others[label[others] != label[i]], percent)
         for start in range(0, len(others), 64):
             some = others[start : start + 64]
+            some = some[label[some] != label[i]]
             common = np.bitwise_count(held[some] & held[i]).sum(axis=1, dtype=np.int64)
             for o in some[common * 100 >= (n[some] + n[i] - common) * percent]:
                 if label[o] != label[i]:
@@ -206,12 +197,12 @@ def leader_links(leading: DataFrame, sets: DataFrame, percent: int, block: int =
         links = tile_links(cid, root, [x.values.to_numpy() for x in table["shingles"]], part, percent)
         return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
 
-    return _tiles(lists, sets, ["root"], block).applyInArrow(compare, "a long, b long").distinct()
+    return _tiles(lists, sets, ["root"], block).groupBy("token", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
 def pairs_in_blocks(lists: DataFrame, leading: DataFrame, percent: int, matches: int, block: int = BLOCK) -> DataFrame:
     """Distinct (a, b) of the posting lists (token, cid, n_shingles, root) between components that agree in enough coordinates and have
-    no leader in common; ``leading`` (cid, sig, leaders)."""
+    no leader in common; ``leading`` (cid, sig, leaders). All of them: what ``alike_links`` thins out."""
 
     def compare(table: pa.Table) -> pa.Table:
         cid, root, n, part = (table[c].to_numpy() for c in ("cid", "root", "n_shingles", "part"))
@@ -226,63 +217,72 @@ def pairs_in_blocks(lists: DataFrame, leading: DataFrame, percent: int, matches:
             b.append(np.maximum(cid[others], cid[i]))
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-    return _tiles(stored(lists, "near-left"), leading.select("cid", "sig", "leaders"), ["n_shingles", "root"], block).applyInArrow(compare, "a long, b long").distinct()
+    return _tiles(stored(lists, "near-left"), leading.select("cid", "sig", "leaders"), ["n_shingles", "root"], block).groupBy("token", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
-def _leading(lists: DataFrame, wanted: DataFrame, leaders: int = LEADERS) -> DataFrame:
-    """(cid, root, sig, leaders) of the classes on these lists."""
-    smallest = [F.min(F.struct(F.xxhash64("token", F.lit(seed)).alias("h"), "token"))["token"] for seed in range(leaders)]
-    chosen = lists.groupBy("cid").agg(F.first("root").alias("root"), F.array(*smallest).alias("leaders"))
-    return chosen.join(wanted.select("cid", "sig"), "cid")
+def _alike(cid: np.ndarray, root: np.ndarray, n: np.ndarray, sig: np.ndarray, part: np.ndarray, percent: int, matches: int) -> Iterator[tuple[int, int]]:
+    """Links (smaller, larger cid) that join the groups of a tile's members, from their signatures."""
+    label = root.copy()
+    for i, others in _members(part):
+        others = _sized(n, i, others[label[others] != label[i]], percent)
+        if not len(others):
+            continue
+        for o in others[(sig[others] == sig[i]).sum(axis=1) >= matches]:
+            if label[o] != label[i]:
+                yield min(cid[i], cid[o]), max(cid[i], cid[o])
+                label[label == label[o]] = label[i]
+
+
+def alike_links(lists: DataFrame, classes: DataFrame, percent: int, matches: int, block: int = BLOCK) -> DataFrame:
+    """Distinct (a, b) that join the groups ``root`` of the posting lists (token, cid, root) wherever two members agree in enough
+    coordinates; ``classes`` (cid, n_shingles, sig). A tile gives fewer links than it has members."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        # A tile is at most two blocks; the last of a batch waits for the next batch.
+        for batch in chain(batches, [None]):
+            rows = [x for x in (rest, None if batch is None else pa.Table.from_batches([batch])) if x is not None and x.num_rows]
+            if not rows:
+                continue
+            table = pa.concat_tables(rows)
+            keys = np.stack([table[c].to_numpy() for c in ("token", "i", "j")])
+            bounds = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1)]
+            if batch is None:
+                bounds.append(table.num_rows)
+            rest = table.slice(bounds[-1])
+            cid, root, n, part = (table[c].to_numpy() for c in ("cid", "root", "n_shingles", "part"))
+            sig = np.frombuffer(b"".join(table["sig"].to_pylist()), "<u4").reshape(len(cid), -1)
+            links = [x for lo, hi in pairwise(bounds) for x in _alike(cid[lo:hi], root[lo:hi], n[lo:hi], sig[lo:hi], part[lo:hi], percent, matches)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    dealt = _tiles(lists, classes.select("cid", "n_shingles", "sig"), ["root"], block)
+    return dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(compare, "a long, b long").distinct()
+
+
+def alike_groups(classes: DataFrame, percent: int, matches: int) -> tuple[DataFrame, DataFrame]:
+    """(node, root) of the groups of classes that are alike by signatures, directly or through others; and (cid, h) of a few more classes."""
+    # A smaller set cannot be similar to a set that is not equal.
+    smallest = -(-percent // (100 - percent))
+    posted = stored(post_coordinates(classes.where(F.col("n_shingles") >= smallest), matches), "near-posted")
+    busy = posted.groupBy("token").agg(F.count("*").alias("members")).where("members > 1").select("token")
+    lists = stored(posted.join(stored(busy, "near-busy"), "token"), "near-lists")
+    wanted = stored(lists.select("cid").distinct().join(classes.select("cid", "h", "n_shingles", "sig"), "cid"), "near-wanted")
+    order = F.struct(F.xxhash64("cid").alias("x"), "cid")
+    pivots = stored(lists.groupBy("token").agg(F.min(order)["cid"].alias("pivot")), "near-pivots")
+    met = lists.join(pivots, "token").where("cid <> pivot").select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct()
+    close = stored(close_pairs(stored(met, "near-pairs"), wanted, percent, matches), "near-close")
+    known = lists.join(components(close).withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    mixed = stored(_between_components(stored(known, "near-known")), "near-mixed-lists")
+    found = stored(alike_links(mixed, wanted, percent, matches), "near-alike")
+    return components(close.unionByName(found)), wanted.select("cid", "h")
 
 
 def class_components(docs: DataFrame, classes: DataFrame, shingle: int, percent: int, matches: int, id_col: str, text: str) -> DataFrame:
     """(node, root) of the classes that are linked with others. ``classes``: (cid, h, n_shingles, sig), stored."""
-    # A smaller set cannot be similar to a set that is not equal.
-    smallest = -(-percent // (100 - percent))
-    able = classes.where(F.col("n_shingles") >= smallest)
-    posted = post_coordinates(able, matches)
-    lists = stored(posted.join(classes.select("cid", "n_shingles"), "cid"), "near-posted")
-    busy = lists.groupBy("token").agg(F.count("*").alias("members")).where("members > 1")
-    lists = stored(lists.join(stored(busy, "near-busy"), "token"), "near-lists")
-    wanted = stored(lists.select("cid").distinct().join(classes.select("cid", "h", "sig"), "cid"), "near-wanted")
-    sets = stored(class_sets(docs, wanted.select("cid", "h"), shingle, id_col, text), "near-sets")
-    sized = F.least("n", "n_shingles") * 100 >= F.greatest("n", "n_shingles") * percent
-    edges = labels = tried = None
-    def open_lists() -> DataFrame:
-        """The lists that members of several components are on, with those."""
-        if labels is None:
-            return stored(lists.withColumn("root", F.col("cid")), "near-lists")
-        known = lists.join(labels, lists["cid"] == labels["node"], "left").select(lists["*"], F.coalesce("root", "cid").alias("root"))
-        return stored(_between_components(stored(known, "near-known")), "near-lists")
-
-    def joined(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-        every = stored(found if edges is None else found.unionByName(edges), "near-edges")
-        return every, components(every)
-
-    for step in range(ROUNDS):
-        known = open_lists()
-        lists = known.drop("root")
-        if known.isEmpty():
-            break
-        order = F.struct(F.xxhash64("cid", F.lit(step)), "cid", "n_shingles", "root")
-        pivots = stored(known.groupBy("token").agg(F.min(order).alias("p")).select("token", F.col("p.cid").alias("pivot"), F.col("p.n_shingles").alias("n"), F.col("p.root").alias("other")), "near-pivots")
-        met = known.join(pivots, "token").where((F.col("root") != F.col("other")) & sized)
-        pairs = met.select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct()
-        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        edges, labels = joined(similar_pairs(pairs, wanted, sets, percent, matches))
-    known = open_lists()
-    if not known.isEmpty():
-        leading = stored(_leading(known, wanted), "near-leaders")
-        edges, labels = joined(stored(leader_links(leading, _among(sets, leading.select("cid")), percent), "near-linked"))
-        lists = known.drop("root")
-        known = open_lists()
-        pairs = stored(pairs_in_blocks(known, leading, percent, matches).join(tried, ["a", "b"], "left_anti"), "near-pairs")
-        edges, labels = joined(similar_pairs(pairs, wanted, sets, percent, matches))
-    if labels is None:
-        labels = classes.where("false").select(F.col("cid").alias("node"), F.col("cid").alias("root"))
-    return labels
+    groups, wanted = alike_groups(classes, percent, matches)
+    leading = stored(groups.select(F.col("node").alias("cid"), F.col("node").alias("root"), F.array("root").alias("leaders")), "near-leaders")
+    sets = class_sets(docs, stored(wanted.join(leading.select("cid"), "cid").select("h", "cid"), "near-members"), shingle, id_col, text)
+    return components(stored(leader_links(leading, sets, percent), "near-edges"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, matches: int = MATCHES, id_col: str = "doc_id", text: str = "text") -> DataFrame:

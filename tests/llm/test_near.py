@@ -134,3 +134,64 @@ def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(500, i) for i in range(501, 560)] + [(7, 7), (9, 8), (8, 9)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 100 for i in range(100, 161)} | {i: 500 for i in range(500, 560)} | {8: 8, 9: 8}
+
+
+def test_links_by_signatures_join_the_groups_that_all_pairs_join(spark):
+    """A list of many classes alike, in small blocks: the same groups as from all of its pairs, with no more rows than members of tiles."""
+    draw = random.Random(8)
+    bases = [[draw.getrandbits(32) for _ in range(64)] for _ in range(3)]
+    sigs = {c: [v if draw.random() < 0.85 else draw.getrandbits(32) for v in bases[c % 3]] for c in range(90)}
+    rows = [(c, 100 + c, near.np.array(sigs[c], "<u4").tobytes(), [-c - 1]) for c in sigs]
+    classes = spark.createDataFrame(rows, "cid long, n_shingles long, sig binary, leaders array<long>")
+    lists = classes.selectExpr("explode(array(1L, 2L)) AS token", "cid", "n_shingles", "cid - cid % 2 AS root")
+    pairs = [tuple(r) for r in near.pairs_in_blocks(lists, classes, 80, 45, block=7).collect()]
+    links = [tuple(r) for r in near.alike_links(lists.drop("n_shingles"), classes, 80, 45, block=45).collect()]
+
+    def joined(found):
+        parent = {c: c - c % 2 for c in sigs}
+        for _ in parent:
+            for a, b in found:
+                low, high = sorted((parent[a], parent[b]))
+                parent = {c: low if p == high else p for c, p in parent.items()}
+        return parent
+
+    assert set(links) <= set(pairs) and joined(links) == joined(pairs)
+    # Two blocks are three tiles: either block, and both.
+    assert len(links) < 2 * 90 < len(pairs) / 2
+
+
+def test_partners_meet_in_a_posted_two_of_coordinates(spark):
+    """Any 28 of 64 coordinates may differ, in the worst places too, and a value alone makes no list."""
+    draw = random.Random(4)
+    rows = []
+    for i in range(20):
+        sig = [draw.getrandbits(32) for _ in range(64)]
+        spoilt = range(0, 56, 2) if i < 10 else draw.sample(range(64), 28)
+        other = [draw.getrandbits(32) if k in spoilt else v for k, v in enumerate(sig)]
+        rows += [(2 * i, sig), (2 * i + 1, other)]
+    one = [draw.getrandbits(32) for _ in range(64)]
+    rows += [(100 + i, [v if k % 2 else draw.getrandbits(32) for k, v in enumerate(one)]) for i in range(30)]
+    table = spark.createDataFrame([(c, near.np.array(s, "<u4").tobytes()) for c, s in rows], "cid long, sig binary")
+    lists = defaultdict(set)
+    for r in near.post_coordinates(table, near.MATCHES).collect():
+        lists[r.token].add(r.cid)
+    met = {tuple(sorted(x)) for x in lists.values() if len(x) > 1}
+    assert met == {(2 * i, 2 * i + 1) for i in range(20)}
+
+
+def test_a_group_alike_by_signatures_only_is_decided_on_full_sets(spark):
+    """Texts at about 0.7 of each other, none at 0.8, more than one block of them, and one pair that is linked."""
+    draw = random.Random(5)
+    body = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(90):
+        other = body[:]
+        for at in draw.sample(range(150), 16):
+            other[at] = f"z{draw.randrange(10**9)}"
+        rows.append((i, " ".join(other)))
+    rows.append((500, rows[7][1] + " tail of it"))
+    groups, _ = brute(rows, 2)
+    want = {rows[i][0]: min(rows[j][0] for j in m) for m in groups.values() for i in m}
+    got = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2)
+    assert {r.doc_id: r.component_id for r in got.collect()} == want
+    assert want[500] == 7 and len(set(want.values())) > 40
