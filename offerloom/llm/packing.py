@@ -41,6 +41,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(tokenizer, end_id)
         for batch in batches:
+            # A worker lives as long as its executor: what earlier batches and stages have freed goes back.
+            pa.default_memory_pool().release_unused()
             texts, lo = batch.column(1), 0
             while lo < batch.num_rows:
                 part, chars, hi = [], 0, lo
