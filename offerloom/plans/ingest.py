@@ -22,39 +22,46 @@ S = "string"
 def nested_brochures(t: Tables):
     """Brochures in the nested shape of their files: an order is a brochure, its lines are pages with one offer each."""
     raw = t.raw_offers
-    comma = lambda c: F.replace(F.col(c).cast(S), F.lit("."), F.lit(","))
     none = F.lit(None).cast(S)
     deal = lambda kind, price, base: F.struct(F.lit(kind).alias("type"), price.alias("min"), F.lit("EUR").alias("currencyCode"), base.alias("priceByBaseUnit"))
-    product = F.struct(
-        F.concat(F.lit(" "), "product_name", F.lit("  ")).alias("name"), F.col("brand").alias("brandName"),
-        F.array(F.struct(F.col("description").alias("paragraph")), F.struct(F.lit(" ").alias("paragraph"))).alias("description"),
-        F.array(F.struct(F.lit("Food").alias("name"))).alias("categoryPaths"),
-    )
-    content = F.struct(
-        F.col("offer_id").alias("id"), F.lit("offer").alias("type"), F.concat(F.lit("img/"), "offer_id").alias("image"),
-        F.array(deal("OTHER", none, none), deal("REGULAR_PRICE", comma("regular_price"), none), deal("SALES_PRICE", comma("sales_price"), F.col("base_price_text"))).alias("deals"),
-        F.struct(F.when(F.col("page_number") % 2 == 0, "percent").alias("type"), F.when(F.col("page_number") % 2 == 0, F.concat((F.col("page_number") * 5).cast(S), F.lit(",5"))).alias("value")).alias("discountLabel"),
-        F.array(product).alias("products"),
-        F.struct(F.struct(F.struct(
-            F.struct(F.lit(0.1).alias("x"), (F.col("page_number") / 10.0).alias("y")).alias("topLeft"), F.struct(F.lit(0.9).alias("x"), F.lit(1.0).alias("y")).alias("bottomRight"),
-        ).alias("area")).alias("page")).alias("parentContent"),
-    )
     image = lambda size, url: F.struct(size.alias("size"), url.alias("url"))
-    page = F.struct(
-        (F.col("page_number") - 1).cast("int").alias("number"),
-        F.array(
-            image(F.lit("100x200"), F.lit("small")), image(F.concat((F.col("page_number") * 100).cast(S), F.lit("x300")), F.concat(F.lit("wide"), F.col("page_number").cast(S))),
-            image(F.lit("bad"), F.lit("none")), image(F.lit("200x100"), F.lit("flat")),
-        ).alias("images"),
-        F.array(F.lit("a"), F.lit("b")).alias("linkOuts"),
-        F.array(F.struct(F.lit("main").alias("placement"), F.lit("std").alias("adFormat"), content.alias("content"))).alias("offers"),
-    )
+
+    def page(o: Column) -> Column:
+        """The page that one printed offer makes."""
+        comma = lambda c: F.replace(o[c].cast(S), F.lit("."), F.lit(","))
+        product = F.struct(
+            F.concat(F.lit(" "), o["product_name"], F.lit("  ")).alias("name"), o["brand"].alias("brandName"),
+            F.array(F.struct(o["description"].alias("paragraph")), F.struct(F.lit(" ").alias("paragraph"))).alias("description"),
+            F.array(F.struct(F.lit("Food").alias("name"))).alias("categoryPaths"),
+        )
+        content = F.struct(
+            o["offer_id"].alias("id"), F.lit("offer").alias("type"), F.concat(F.lit("img/"), o["offer_id"]).alias("image"),
+            F.array(deal("OTHER", none, none), deal("REGULAR_PRICE", comma("regular_price"), none), deal("SALES_PRICE", comma("sales_price"), o["base_price_text"])).alias("deals"),
+            F.struct(F.when(o["page_number"] % 2 == 0, "percent").alias("type"), F.when(o["page_number"] % 2 == 0, F.concat((o["page_number"] * 5).cast(S), F.lit(",5"))).alias("value")).alias("discountLabel"),
+            F.array(product).alias("products"),
+            F.struct(F.struct(F.struct(
+                F.struct(F.lit(0.1).alias("x"), (o["page_number"] / 10.0).alias("y")).alias("topLeft"), F.struct(F.lit(0.9).alias("x"), F.lit(1.0).alias("y")).alias("bottomRight"),
+            ).alias("area")).alias("page")).alias("parentContent"),
+        )
+        return F.struct(
+            (o["page_number"] - 1).cast("int").alias("number"),
+            F.array(
+                image(F.lit("100x200"), F.lit("small")), image(F.concat((o["page_number"] * 100).cast(S), F.lit("x300")), F.concat(F.lit("wide"), o["page_number"].cast(S))),
+                image(F.lit("bad"), F.lit("none")), image(F.lit("200x100"), F.lit("flat")),
+            ).alias("images"),
+            F.array(F.lit("a"), F.lit("b")).alias("linkOuts"),
+            F.array(F.struct(F.lit("main").alias("placement"), F.lit("std").alias("adFormat"), content.alias("content"))).alias("offers"),
+        )
+
     head = F.struct(
         F.col("brochure_id").cast(S).alias("id"), F.first("brochure_id").alias("legacyId"), F.concat(F.lit("Angebote  "), F.first("brochure_id").cast(S)).alias("title"),
         F.lit("static_brochure").alias("type"), F.count(F.lit(1)).cast("int").alias("pageCount"), F.struct(F.lit("p").alias("id"), F.first("chain").alias("name")).alias("publisher"),
         F.concat(F.min("valid_from").cast(S), F.lit("T00:00:00.000+0000")).alias("validFrom"), F.concat(F.max("valid_until").cast(S), F.lit("T22:59:59.000+0000")).alias("validUntil"),
     )
-    return raw.groupBy("brochure_id").agg(F.collect_list(page).alias("contents"), head.alias("content")).withColumn("chain_key", F.lit("key"))
+    # prints are shuffled as they are, pages are made of them afterwards
+    printed = F.struct("offer_id", "product_name", "brand", "description", "regular_price", "sales_price", "base_price_text", "page_number")
+    grouped = raw.groupBy("brochure_id").agg(F.collect_list(printed).alias("prints"), head.alias("content"))
+    return grouped.select("brochure_id", F.transform("prints", page).alias("contents"), "content", F.lit("key").alias("chain_key"))
 
 
 @query(
@@ -70,7 +77,8 @@ def _(t: Tables):
     root = shared_folder(t.spark, "brochures")
     number = F.col("folder").cast("long")
     br.write_folders(nested, root, number % 7 != 0, number % 11 != 0)
-    return br.read_folders(t.spark, root).select("chain_key", "folder", F.col("content.id").alias("brochure_id"), F.size("contents").alias("pages"))
+    read = br.read_folders(t.spark, root, {"pages": F.size("contents")})
+    return read.select("chain_key", "folder", F.col("content.id").alias("brochure_id"), "pages")
 
 
 @query(

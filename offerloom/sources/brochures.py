@@ -23,6 +23,9 @@ PAGES_SCHEMA = (
     f"offers array<struct<placement string, adFormat string, content {_CONTENT}>>>>"
 )
 
+# Brochures in a packed file: a few MB.
+BROCHURES_PER_FILE = 20_000
+
 
 def read_brochures(spark: SparkSession, root: str) -> DataFrame:
     """(chain_key, folder, content, contents) of every chain/brochure folder that has both files."""
@@ -38,21 +41,27 @@ def read_brochures(spark: SparkSession, root: str) -> DataFrame:
 
 
 def write_folders(brochures: DataFrame, root: str, metadata: Column | None = None, pages_of: Column | None = None) -> None:
-    """Brochures (chain_key, folder, content, contents) as JSON lines below ``root``, metadata and pages apart, by chain.
+    """Brochures (chain_key, folder, content, contents) as packed JSON lines below ``root``, metadata and pages apart, by chain.
 
-    The conditions choose which brochures get either of the two.
+    The conditions choose which brochures get either of the two. A packed file is read by one task, so that its lines are bounded.
     """
     for name, column, chosen in (("metadata", "content", metadata), ("pages", "contents", pages_of)):
         rows = brochures if chosen is None else brochures.where(chosen)
-        rows.select("chain_key", "folder", column).write.mode("overwrite").partitionBy("chain_key").json(f"{root}/{name}")
+        rows.select("chain_key", "folder", column).write.mode("overwrite").option("compression", "gzip").option("maxRecordsPerFile", BROCHURES_PER_FILE).partitionBy("chain_key").json(f"{root}/{name}")
+
 
+def read_folders(spark: SparkSession, root: str, pages: dict[str, Column] | None = None) -> DataFrame:
+    """What ``write_folders`` wrote: (chain_key, folder, content, contents) of the brochures that have both.
 
-def read_folders(spark: SparkSession, root: str) -> DataFrame:
-    """What ``write_folders`` wrote: (chain_key, folder, content, contents) of the brochures that have both."""
+    ``pages``, where given, are the columns wanted instead of ``contents``; they are made as pages are read, so that nothing else of them is shuffled.
+    """
     def read(name: str, schema: str) -> DataFrame:
         return spark.read.schema(f"chain_key string, folder string, {schema}").option("basePath", f"{root}/{name}").json(f"{root}/{name}")
 
-    return read("metadata", METADATA_SCHEMA).join(read("pages", PAGES_SCHEMA), ["chain_key", "folder"])
+    found = read("pages", PAGES_SCHEMA)
+    if pages is not None:
+        found = found.select("chain_key", "folder", *[c.alias(name) for name, c in pages.items()])
+    return read("metadata", METADATA_SCHEMA).join(found, ["chain_key", "folder"])
 
 
 def brochure_dimension(brochures: DataFrame, order: str) -> DataFrame:
