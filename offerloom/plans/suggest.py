@@ -249,5 +249,4 @@ def _(t: Tables):
     asked = t.read("lineitem").select("l_partkey", F.col("l_suppkey").alias("location_id")).join(part, F.col("l_partkey") == F.col("p_partkey"))
     requests = asked.select("location_id", "category_id").distinct().join(scope.leaders, "location_id")
     counts = scope.category_counts(t.categories).withColumnRenamed("offers", "n")
-    found = taxonomy.local_siblings(requests.select("leader", "category_id").distinct(), t.categories, category_counts(t), counts, 6)
-    return requests.join(found, ["leader", "category_id"]).drop("leader")
+    return taxonomy.local_siblings(requests, t.categories, category_counts(t), counts, 6).drop("leader")
